@@ -210,6 +210,8 @@ def scan_texts(texts: pa.Array, windows: Windows, split: Words) -> dict[str, lis
     np.add.at(out["n_hit"], doc[covered], 1)
     for d, own in owned.items():
         out["items"][d] = sorted(own)
+    if not owned:
+        return out
     at = np.flatnonzero(covered)
     # neighbouring covered words of one text merge to a span
     joined = np.zeros(len(at), bool)
