@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, near_dedup, packing, secret_scan, token_files
+from . import decontam, language_id, near_dedup, packing, secret_scan, token_files, warc
 from .common import new_folder, read_table
 
 
@@ -47,6 +47,16 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "warc")
+    names = warc.write_archives(read_table(spark, sf_dir, "pages"), folder)
+    return warc.read_archives(spark, folder, names, with_payload=False)
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontam.annotate(docs, read_table(spark, sf_dir, "benchmark"))
@@ -66,6 +76,8 @@ QUERIES = {
     "op2_token_files": op2_token_files,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op7_warc": op7_warc,
+    "op8_language_id": op8_language_id,
     "op10_decontamination": op10_decontamination,
 }
 
