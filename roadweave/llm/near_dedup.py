@@ -5,9 +5,9 @@
 2. Texts with equal sets collapse to one class (aggregated by digest).
 3. Classes that share a band key form a bucket. A bucket doesn't emit its pairs:
    its members are compared with a few centres, first one chosen by hash, then
-   those with the most links so far, four times as many each round. Members that
-   are in one component already need no comparison, so a tight group takes two
-   rounds; a bucket that stays apart is gone through fully in the end, so no
+   those with the most links so far, ``GROWTH`` times as many each round. Members
+   that are in one component already need no comparison, so a tight group takes
+   two rounds; a bucket that stays apart is gone through fully in the end, so no
    candidate pair is left out.
 4. A candidate's signatures are compared in batches of ``BATCH`` hashes. After
    each, the pair is dropped if the posterior probability of a similarity at the
@@ -37,9 +37,11 @@ N_HASHES = 128
 BANDS, ROWS = 21, 6
 BATCH = 32
 #: Posterior probability of being similar below which a candidate is dropped.
-MISS = 1e-6
+MISS = 1e-5
 #: Buckets of up to so many members are compared fully in the second round.
 SMALL_BUCKET = 16
+#: Centres of the second round, and how much their number grows from round to round.
+CENTRES, GROWTH = 4, 16
 #: Columns of the min-hash product that are held at once.
 COLUMNS = 4096
 
@@ -168,6 +170,8 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     changes nothing; only counts reach the driver.
     """
     edges = materialize(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
+    if edges.isEmpty():
+        return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -225,7 +229,7 @@ def _components(rows: DataFrame, classes: DataFrame, shingle: int, percent: int,
     grams = materialize(rows.join(wanted, "id", "left_semi").select("text").mapInArrow(_sets(shingle), "node binary, grams binary"), "grams")
     bounds = least_matches(percent, miss)
     roots = held.select("node", F.col("node").alias("root"))
-    seen = pending = links = None
+    seen = links = None
     centres, first = 1, True
     while True:
         marked = buckets.join(roots, "node")
@@ -245,29 +249,28 @@ def _components(rows: DataFrame, classes: DataFrame, shingle: int, percent: int,
         seen = fresh if seen is None else seen.unionByName(fresh)
         sig = held.select("node", "sig")
         both = fresh.join(sig.select(F.col("node").alias("a"), F.col("sig").alias("x")), "a").join(sig.select(F.col("node").alias("b"), F.col("sig").alias("y")), "b").select("a", "b", "x", "y")
-        alive = both.mapInArrow(_pruned(bounds), "a binary, b binary, matches int")
-        pending = materialize(alive if pending is None else alive.unionByName(pending), "pending")
-        while not pending.isEmpty():
-            roots, links, pending = _verify_some(roots, links, pending, grams, percent)
+        pending = materialize(both.mapInArrow(_pruned(bounds), "a binary, b binary, matches int"), "pending")
+        if first:
+            # each node's most promising pair comes first: in a tight group it makes the others needless
+            best = materialize(pending.groupBy("b").agg(F.max_by("a", F.struct("matches", "a")).alias("a")), "best")
+            rest = pending.join(best, ["a", "b"], "left_anti")
+            roots, links = _verify(roots, None, best, grams, percent)
+            of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))  # noqa: B023, E731
+            pending = rest.join(of("a"), "a").join(of("b"), "b").where("a_root <> b_root")
+        roots, links = _verify(roots, links, pending, grams, percent)
         if not first and centres >= largest:
             break
-        centres, first = (centres if first else centres * 4), False
-        centres = max(centres, 4)
+        centres, first = (CENTRES if first else centres * GROWTH), False
     return roots
 
 
-def _verify_some(roots: DataFrame, links: DataFrame | None, pending: DataFrame, grams: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Verify each node's most promising pending pair; keep the others that still stand between components."""
-    best = pending.groupBy("b").agg(F.max_by("a", F.struct("matches", "a")).alias("a"))
+def _verify(roots: DataFrame, links: DataFrame | None, pairs: DataFrame, grams: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Verify pairs on their full sets; merge the components of those that hold."""
     sets = grams.select("node", "grams")
-    tried = materialize(best.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b").join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").select("a", "b", "x", "y").mapInArrow(_verified(percent), "a binary, b binary").distinct(), "links")
-    links = tried if links is None else links.unionByName(tried)
-    rest = pending.join(best, ["a", "b"], "left_anti")
-    if tried.isEmpty():
-        return roots, links, materialize(rest, "pending")
+    with_sets = pairs.select("a", "b").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b").join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a")
+    held = materialize(with_sets.select("a", "b", "x", "y").mapInArrow(_verified(percent), "a binary, b binary").distinct(), "links")
+    links = held if links is None else links.unionByName(held)
     of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
-    moved = connected_components(tried.join(of("a"), "a").join(of("b"), "b").select("a_root", "b_root").where("a_root <> b_root"), "a_root", "b_root").select(F.col("node").alias("root"), F.col("root").alias("to"))
-    roots = materialize(roots.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "roots")
-    of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
-    rest = materialize(rest.join(of("a"), "a").join(of("b"), "b").where("a_root <> b_root").select("a", "b", "matches"), "pending")
-    return roots, links, rest
+    between = held.join(of("a"), "a").join(of("b"), "b").select("a_root", "b_root").where("a_root <> b_root")
+    moved = connected_components(between, "a_root", "b_root").select(F.col("node").alias("root"), F.col("root").alias("to"))
+    return materialize(roots.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "roots"), links
