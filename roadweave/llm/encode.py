@@ -18,7 +18,7 @@ import re
 import numpy as np
 
 #: Pieces remembered in each of two generations; the older one goes when the newer is full.
-REMEMBERED = 200_000
+REMEMBERED = 600_000
 #: Words of letters only that are encoded in one call and split by their word marks.
 JOINED = 256
 _DOUBLE = re.compile(r"\s\s")
@@ -41,7 +41,7 @@ class _Recent:
         if len(self.new) > self.most:
             self.old, self.new = self.new, {}
         out, new, old = [], self.new, self.old
-        for key in keys - new.keys():
+        for key in [k for k in keys if k not in new]:
             if (value := old.get(key)) is None:
                 out.append(key)
             else:
