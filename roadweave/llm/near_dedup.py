@@ -1,7 +1,9 @@
 """MinHash near-duplicate detection with sequential Bayesian verification.
 
 1. One pass over the texts: distinct word shingles as 64-bit hashes, a digest of
-   the set, ``N_HASHES`` min-hashes and the keys of ``BANDS`` bands.
+   the set, ``N_HASHES`` min-hashes and the keys of their bands.
+   They are chosen so that a pair at the threshold shares no band with a
+   probability of ``UNBANDED`` at most, and a more similar one with less.
 2. Texts with equal sets collapse to one class (aggregated by digest).
 3. Classes that share a band key form a bucket. A bucket doesn't emit its pairs:
    its members are compared with a few centres, first one chosen by hash, then
@@ -13,9 +15,6 @@
    each, the pair is dropped if the posterior probability of a similarity at the
    threshold or above (uniform prior) is under ``MISS``.
 5. Survivors are verified on the full shingle sets. Verified links merge components.
-
-A pair at the threshold shares no band with probability below 5e-5
-((1 - 0.85**6)**21), and less above it.
 """
 
 from __future__ import annotations
@@ -34,7 +33,7 @@ from .common import NOT_SPACE, Words, blocks, materialize, mix64, ship_package
 SHINGLE = 5
 SIMILARITY_PERCENT = 80
 N_HASHES = 128
-BANDS, ROWS = 21, 6
+UNBANDED = 1e-4
 BATCH = 32
 #: Posterior probability of being similar below which a candidate is dropped.
 MISS = 1e-5
@@ -46,7 +45,7 @@ CENTRES, GROWTH = 4, 16
 COLUMNS = 4096
 
 _FACTORS = mix64(np.arange(1, N_HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-_BAND_FACTORS = mix64(np.arange(1, ROWS + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) | np.uint64(1)
+_BAND_FACTORS = mix64(np.arange(1, N_HASHES + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) | np.uint64(1)
 
 
 def shingle_sets(texts: pa.Array, size: int = SHINGLE):
@@ -80,13 +79,22 @@ def signature(grams: np.ndarray) -> np.ndarray:
     return (best >> np.uint64(32)).astype(np.uint32)
 
 
-def band_keys(signatures: np.ndarray) -> np.ndarray:
-    rows = signatures[:, : BANDS * ROWS].reshape(len(signatures), BANDS, ROWS).astype(np.uint64)
-    mixed = mix64(rows + np.uint64(1)) * _BAND_FACTORS
-    return mix64(mixed.sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+def banding(percent: int, unbanded: float = UNBANDED) -> tuple[int, int]:
+    """(bands, rows): the longest bands with which a pair at the threshold is found."""
+    for rows in range(N_HASHES, 1, -1):
+        bands = N_HASHES // rows
+        if (1 - (percent / 100) ** rows) ** bands <= unbanded:
+            return bands, rows
+    return N_HASHES, 1
+
 
+def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    banded = signatures[:, : bands * rows].reshape(len(signatures), bands, rows).astype(np.uint64)
+    mixed = mix64(banded + np.uint64(1)) * _BAND_FACTORS[:rows]
+    return mix64(mixed.sum(axis=2, dtype=np.uint64) + np.arange(bands, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
-def _signed(size: int):
+
+def _signed(size: int, bands: int, rows: int):
     def run(batches):
         for batch in batches:
             digests, counts, signatures, keys = [], [], [], []
@@ -100,7 +108,7 @@ def _signed(size: int):
                 else:
                     digests.append(None)
                     signatures.append(None)
-            banded = iter(band_keys(np.array(keys)).tolist() if keys else [])
+            banded = iter(band_keys(np.array(keys), bands, rows).tolist() if keys else [])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary()), pa.array([next(banded) if d else None for d in digests], pa.list_(pa.int64()))],
                 names=["id", "n_shingles", "node", "sig", "keys"],
@@ -203,7 +211,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ship_package(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()
-    signed = materialize(rows.mapInArrow(_signed(shingle), f"id {id_type}, n_shingles bigint, node binary, sig binary, keys array<bigint>"), "signed")
+    signed = materialize(rows.mapInArrow(_signed(shingle, *banding(percent)), f"id {id_type}, n_shingles bigint, node binary, sig binary, keys array<bigint>"), "signed")
     texts = signed.where("node is not null")
     classes = materialize(texts.groupBy("node").agg(F.min("id").alias("first_id"), F.first("sig").alias("sig"), F.first("keys").alias("keys")), "classes")
     roots = _components(rows, classes, shingle, percent, miss)
@@ -274,3 +282,12 @@ def _verify(roots: DataFrame, links: DataFrame | None, pairs: DataFrame, grams:
     between = held.join(of("a"), "a").join(of("b"), "b").select("a_root", "b_root").where("a_root <> b_root")
     moved = connected_components(between, "a_root", "b_root").select(F.col("node").alias("root"), F.col("root").alias("to"))
     return materialize(roots.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "roots"), links
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
+    """``docs`` with the document of the smallest id of each component of near-duplicates.
+
+    Rows with one id stay or go together; rows without an id stay.
+    """
+    gone = near_duplicates(docs, id_col, text_col, **parameters).where("not kept").select(F.col("id").alias(id_col)).distinct()
+    return docs.join(gone, id_col, "left_anti").select(*docs.columns)

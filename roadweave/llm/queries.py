@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, language_id, near_dedup, packing, secret_scan, token_files, warc
+from . import decontam, language_id, near_dedup, packing, quality, secret_scan, token_files, warc
 from .common import new_folder, read_table
 
 
@@ -57,6 +57,16 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of the documents that the labels call good and not toxic."""
+    return read_table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.assess(docs, trusted_ids(spark, sf_dir)).select("doc_id", "quality.*")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontam.annotate(docs, read_table(spark, sf_dir, "benchmark"))
@@ -78,6 +88,7 @@ QUERIES = {
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_warc": op7_warc,
     "op8_language_id": op8_language_id,
+    "op9_quality_rules": op9_quality_rules,
     "op10_decontamination": op10_decontamination,
 }
 
