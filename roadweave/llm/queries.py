@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, language_id, near_dedup, packing, quality, secret_scan, token_files, warc
+from . import decontam, language_id, near_dedup, packing, personal_data, quality, secret_scan, token_files, warc
 from .common import new_folder, read_table
 
 
@@ -37,6 +37,20 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, folder, with_ids=False)
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data.find(read_table(spark, sf_dir, "documents"))
+    n = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    return found.select(
+        F.col("id").alias("doc_id"),
+        n(0).alias("n_email"),
+        n(1).alias("n_ip"),
+        n(2).alias("n_card"),
+        n(3).alias("n_phone"),
+        F.sha2(personal_data.spans_text(F.col("base")), 256).alias("base_sha256"),
+        personal_data.spans_text(F.col("spans")).alias("spans"),
+    )
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
     return packed.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -84,6 +98,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_token_files": op2_token_files,
+    "op4_personal_data": op4_personal_data,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_warc": op7_warc,
