@@ -1,12 +1,13 @@
 """MinHash near-duplicate detection with sequential Bayesian verification.
 
 1. One pass over the texts: distinct word shingles as 64-bit hashes, a digest of
-   the set, ``N_HASHES`` min-hashes and the keys of their bands.
+   the set, the keys of the bands of ``N_HASHES`` min-hashes, and the first
+   ``COMPARED`` of these.
    They are chosen so that a pair at the threshold shares no band with a
    probability of ``UNBANDED`` at most, and a more similar one with less.
 2. Texts with equal sets collapse to one class (aggregated by digest).
 3. Classes that share a band key form a bucket. A bucket doesn't emit its pairs:
-   its members are compared with a few centres, first one chosen by hash, then
+   its members are compared with a few centres, if their sets' sizes allow it, first one chosen by hash, then
    those with the most links so far, ``GROWTH`` times as many each round. Members
    that are in one component already need no comparison, so a tight group takes
    two rounds; a bucket that stays apart is gone through fully in the end, so no
@@ -32,9 +33,13 @@ from .common import NOT_SPACE, Words, blocks, materialize, mix64, ship_package
 
 SHINGLE = 5
 SIMILARITY_PERCENT = 80
-N_HASHES = 128
+N_HASHES = 256
 UNBANDED = 1e-4
 BATCH = 32
+#: Hashes of a signature that verification compares at most.
+COMPARED = 128
+#: A list of up to so many short rows is broadcast to its join, a longer one is shuffled.
+MAX_BROADCAST = 1_000_000
 #: Posterior probability of being similar below which a candidate is dropped.
 MISS = 1e-5
 #: Buckets of up to so many members are compared fully in the second round.
@@ -103,15 +108,15 @@ def _signed(size: int, bands: int, rows: int):
                 if len(grams):
                     digests.append(xxhash.xxh3_128_digest(grams.tobytes()))
                     sig = signature(grams)
-                    signatures.append(sig.tobytes())
+                    signatures.append(sig[:COMPARED].tobytes())
                     keys.append(sig)
                 else:
                     digests.append(None)
                     signatures.append(None)
             banded = iter(band_keys(np.array(keys), bands, rows).tolist() if keys else [])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary()), pa.array([next(banded) if d else None for d in digests], pa.list_(pa.int64()))],
-                names=["id", "n_shingles", "node", "sig", "keys"],
+                [batch.column(0), batch.column(2), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary()), pa.array([next(banded) if d else None for d in digests], pa.list_(pa.int64()))],
+                names=["id", "row", "n_shingles", "digest", "sig", "keys"],
             )
 
     return run
@@ -121,13 +126,14 @@ def _sets(size: int):
     def run(batches):
         for batch in batches:
             made = [g.tobytes() for g in shingle_sets(batch.column(0), size)]
-            digests = [xxhash.xxh3_128_digest(g) for g in made]
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(made, pa.binary())], names=["node", "grams"])
+            same = [xxhash.xxh3_128_digest(g) == d for g, d in zip(made, batch.column(2).to_pylist(), strict=True)]
+            table = pa.RecordBatch.from_arrays([batch.column(1), pa.array(made, pa.binary())], names=["node", "grams"])
+            yield table.filter(pa.array(same, pa.bool_()))
 
     return run
 
 
-def least_matches(percent: int, miss: float, n_hashes: int = N_HASHES, batch: int = BATCH) -> list[tuple[int, int]]:
+def least_matches(percent: int, miss: float, n_hashes: int = COMPARED, batch: int = BATCH) -> list[tuple[int, int]]:
     """(hashes compared, fewest matches to go on): with m of n equal and a uniform
     prior, P(similarity >= t) = P(Binomial(n + 1, t) <= m)."""
     t, out = percent / 100, []
@@ -143,8 +149,8 @@ def least_matches(percent: int, miss: float, n_hashes: int = N_HASHES, batch: in
 def _pruned(bounds: list[tuple[int, int]]):
     def run(batches):
         for batch in batches:
-            left = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(-1, N_HASHES)
-            right = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint32).reshape(-1, N_HASHES)
+            left = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(-1, COMPARED)
+            right = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint32).reshape(-1, COMPARED)
             live, matches, at = np.arange(len(left)), np.zeros(len(left), np.int64), 0
             for n, least in bounds:
                 matches[live] += (left[live, at:n] == right[live, at:n]).sum(axis=1)
@@ -211,30 +217,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ship_package(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()
-    signed = materialize(rows.mapInArrow(_signed(shingle, *banding(percent)), f"id {id_type}, n_shingles bigint, node binary, sig binary, keys array<bigint>"), "signed")
-    texts = signed.where("node is not null")
-    classes = materialize(texts.groupBy("node").agg(F.min("id").alias("first_id"), F.first("sig").alias("sig"), F.first("keys").alias("keys")), "classes")
-    roots = _components(rows, classes, shingle, percent, miss)
-    least = classes.select("node", "first_id").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first_id")
-    names = least.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_node = least.join(names, "root").select("node", "component_id")
+    numbered = rows.select("id", "text", F.monotonically_increasing_id().alias("row"))
+    signed = materialize(numbered.mapInArrow(_signed(shingle, *banding(percent)), f"id {id_type}, row bigint, n_shingles bigint, digest binary, sig binary, keys array<bigint>"), "signed")
+    # a class is named by the row of its smallest id
+    least = signed.where("digest is not null").groupBy("digest").agg(F.min(F.struct("id", "row")).alias("first"), F.first("n_shingles").alias("n"))
+    classes = materialize(least.select("digest", F.col("first.id").alias("first_id"), F.col("first.row").alias("node"), "n"), "classes")
+    roots = _components(rows, signed, classes, shingle, percent, miss)
+    named = classes.select("node", "digest", "first_id").join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"), "first_id")
+    names = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    by_digest = named.join(names, "root").select("digest", "component_id")
     return (
-        signed.select("id", "n_shingles", "node")
-        .join(by_node, "node", "left")
+        signed.select("id", "n_shingles", "digest")
+        .join(by_digest, "digest", "left")
         .select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
         .withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
     )
 
 
-def _components(rows: DataFrame, classes: DataFrame, shingle: int, percent: int, miss: float) -> DataFrame:
-    """(node, root) of the classes that have links."""
-    keyed = classes.select("node", F.explode("keys").alias("key"))
+def _small(table: DataFrame) -> DataFrame:
+    """A written table of short rows, to be broadcast if it is counted and found small."""
+    return F.broadcast(table) if table.count() <= MAX_BROADCAST else table
+
+
+def _components(rows: DataFrame, signed: DataFrame, classes: DataFrame, shingle: int, percent: int, miss: float) -> DataFrame:
+    """(node, root) of the classes that share a bucket with others."""
+    keyed = signed.select(F.col("row").alias("node"), "keys").join(classes.select("node", F.col("n").cast("int").alias("n")), "node").select("node", "n", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    buckets = materialize(keyed.join(shared, "key").select("key", "node", F.col("size").cast("int").alias("size")), "buckets")
-    nodes = buckets.select("node").distinct()
-    held = materialize(classes.join(nodes, "node", "left_semi").select("node", "first_id", "sig"), "held")
-    wanted = held.select(F.col("first_id").alias("id")).distinct()
-    grams = materialize(rows.join(wanted, "id", "left_semi").select("text").mapInArrow(_sets(shingle), "node binary, grams binary"), "grams")
+    buckets = materialize(keyed.join(shared, "key").select("key", "node", "n", F.col("size").cast("int").alias("size")), "buckets")
+    nodes = _small(materialize(buckets.select("node").distinct(), "nodes"))
+    held = materialize(signed.select(F.col("row").alias("node"), "sig").join(nodes, "node", "left_semi"), "held")
+    wanted = _small(materialize(classes.join(nodes, "node", "left_semi").select(F.col("first_id").alias("id"), "node", "digest"), "wanted"))
+    named = rows.join(wanted, rows["id"].eqNullSafe(wanted["id"])).select("text", "node", "digest")
+    grams = materialize(named.mapInArrow(_sets(shingle), "node bigint, grams binary").dropDuplicates(["node"]), "grams")
     bounds = least_matches(percent, miss)
     roots = held.select("node", F.col("node").alias("root"))
     seen = links = None
@@ -250,21 +264,20 @@ def _components(rows: DataFrame, classes: DataFrame, shingle: int, percent: int,
         if not largest:
             break
         by = [F.col("order")] if first else [F.coalesce("degree", F.lit(0)).desc(), F.col("order")]
-        ranked = open_.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy(*by))).where(F.col("place") <= max(centres, 1 if first else SMALL_BUCKET))
-        chosen = ranked.where((F.col("place") <= centres) | (F.lit(not first) & (F.col("size") <= SMALL_BUCKET))).select("key", F.col("node").alias("centre"), F.col("root").alias("of"))
-        pairs = open_.join(chosen, "key").where("root <> of").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+        ranked = open_.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy(*by))).where(F.col("place") <= (1 if first else max(centres, SMALL_BUCKET)))
+        chosen = ranked.where((F.col("place") <= centres) | (F.lit(not first) & (F.col("size") <= SMALL_BUCKET))).select("key", F.col("node").alias("centre"), F.col("root").alias("of"), F.col("n").alias("m"))
+        similar_size = (F.col("root") != F.col("of")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
+        pairs = open_.join(chosen, (open_["key"] == chosen["key"]) & similar_size).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
         fresh = materialize(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
         seen = fresh if seen is None else seen.unionByName(fresh)
-        sig = held.select("node", "sig")
-        both = fresh.join(sig.select(F.col("node").alias("a"), F.col("sig").alias("x")), "a").join(sig.select(F.col("node").alias("b"), F.col("sig").alias("y")), "b").select("a", "b", "x", "y")
-        pending = materialize(both.mapInArrow(_pruned(bounds), "a binary, b binary, matches int"), "pending")
+        pending = materialize(_with_both(fresh, held, "sig").mapInArrow(_pruned(bounds), "a bigint, b bigint, matches int"), "pending")
         if first:
             # each node's most promising pair comes first: in a tight group it makes the others needless
             best = materialize(pending.groupBy("b").agg(F.max_by("a", F.struct("matches", "a")).alias("a")), "best")
             rest = pending.join(best, ["a", "b"], "left_anti")
             roots, links = _verify(roots, None, best, grams, percent)
             of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))  # noqa: B023, E731
-            pending = rest.join(of("a"), "a").join(of("b"), "b").where("a_root <> b_root")
+            pending = materialize(rest.join(of("a"), "a").join(of("b"), "b").where("a_root <> b_root").select("a", "b"), "pending")
         roots, links = _verify(roots, links, pending, grams, percent)
         if not first and centres >= largest:
             break
@@ -272,11 +285,18 @@ def _components(rows: DataFrame, classes: DataFrame, shingle: int, percent: int,
     return roots
 
 
+def _with_both(pairs: DataFrame, values: DataFrame, value: str) -> DataFrame:
+    """(a, b, x, y) of written pairs with their values. Only values of nodes in the
+    pairs are moved, as long as the pairs are few enough to be broadcast."""
+    few = _small(pairs.select("a", "b"))
+    left = values.select(F.col("node").alias("a"), F.col(value).alias("x")).join(_small(materialize(pairs.select("a").distinct(), "side")), "a", "left_semi")
+    right = few.join(values.select(F.col("node").alias("b"), F.col(value).alias("y")), "b")
+    return right.join(left, "a").select("a", "b", "x", "y")
+
+
 def _verify(roots: DataFrame, links: DataFrame | None, pairs: DataFrame, grams: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Verify pairs on their full sets; merge the components of those that hold."""
-    sets = grams.select("node", "grams")
-    with_sets = pairs.select("a", "b").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b").join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a")
-    held = materialize(with_sets.select("a", "b", "x", "y").mapInArrow(_verified(percent), "a binary, b binary").distinct(), "links")
+    held = materialize(_with_both(pairs, grams, "grams").mapInArrow(_verified(percent), "a bigint, b bigint"), "links")
     links = held if links is None else links.unionByName(held)
     of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
     between = held.join(of("a"), "a").join(of("b"), "b").select("a_root", "b_root").where("a_root <> b_root")
