@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, language_id, near_dedup, packing, personal_data, quality, secret_scan, token_files, warc
+from . import decontam, language_id, near_dedup, packing, personal_data, quality, secret_scan, substring_dedup, token_files, warc
 from .common import new_folder, read_table
 
 
@@ -37,6 +37,11 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, folder, with_ids=False)
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with repeated passages; the others have no row."""
+    return substring_dedup.repeated_documents(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal_data.find(read_table(spark, sf_dir, "documents"))
     n = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
@@ -98,6 +103,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_token_files": op2_token_files,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_personal_data": op4_personal_data,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
