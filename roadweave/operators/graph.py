@@ -4,19 +4,23 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Cut lineage through a table in the shared folder ``spark.checkpoint.dir``;
-    without one (local tests), through the session's warehouse."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder ``spark.checkpoint.dir``; without one (local
+    tests), in the session's warehouse."""
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or (held.get() if held.isDefined() else spark.conf.get("spark.sql.warehouse.dir"))
-    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """Cut lineage through a table in the shared folder."""
+    path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def normalised_adjacency(edges: DataFrame) -> DataFrame:
