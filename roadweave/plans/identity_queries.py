@@ -8,8 +8,8 @@ from pyspark.sql.window import Window
 from ..functions import geo, match, text
 from ..functions.traffic import distance_kernel, half_up
 from ..operators import boxes as boxops
-from ..operators import graph, identity, snapshots, windows
-from ..sources import registry
+from ..operators import forecast, fusion, graph, identity, snapshots, windows
+from ..sources import files, registry
 from .tables import BOXES, HOUR, IOU, JOURNEYS, OBS, TRANS, boxes, journeys, observations, table, transitions
 from .traffic_queries import KEYS, noisy_keys
 
@@ -254,5 +254,46 @@ def d9_run_statistics_cube(spark, sf_dir):
     return rows.cube("node_id", "day").agg(F.count("*").alias("n"), F.grouping_id().alias("level"))
 
 
-def edge_rows(spark, sf_dir):
-    return snapshots.edge_snapshot(transitions(spark, sf_dir), HOUR)
+@query()
+def d26_evidence_fusion(spark, sf_dir):
+    """Noisy keys of every user and day fused to one (see the tests for golden rows)."""
+    rows = noisy_keys(spark, sf_dir)
+    day = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd")
+    obs = rows.select(F.concat_ws("@", "user_id", day).alias("track_id"), F.col("event_id").alias("frame_id"), F.lit("raw").alias("variant"), F.col("event_id").alias("seq"), F.col("key").alias("norm_text"), (0.5 + F.col("event_id") % 50 / 100.0).alias("ocr_conf"), F.lit(0.65).alias("valid_conf"), F.lit(0.5).alias("quality"))
+    return fusion.fused(obs)
+
+
+@query(f"WITH {BOXES}, c AS (SELECT a.frame, a.id AS plate, b.id AS vehicle, greatest(0.0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0.0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) / ((a.x2 - a.x1) * (a.y2 - a.y1)) AS held, {IOU} AS iou, (b.x2 - b.x1) * (b.y2 - b.y1) AS area FROM bx a JOIN bx b ON a.frame = b.frame AND a.kind = 'N' AND b.kind <> 'N'), m AS (SELECT *, max(held) OVER (PARTITION BY frame, plate) AS best FROM c WHERE held > 0.05), r AS (SELECT *, row_number() OVER (PARTITION BY frame, plate ORDER BY iou DESC, area, vehicle DESC) AS k FROM m WHERE best - held <= 0.05) SELECT frame, plate, vehicle FROM r WHERE k = 1")
+def c6_spatial_ownership(spark, sf_dir):
+    b = boxes(spark, sf_dir)
+    return boxops.owners(b.where("kind = 'N'"), b.where("kind <> 'N'"), ["frame"]).select("frame", F.col("inner").alias("plate"), F.col("outer").alias("vehicle"))
+
+
+@query(f"WITH {ROADS}, e AS (SELECT source, target, exp(-power(cost / 1000.0, 2)) AS w FROM rd) SELECT * FROM e UNION ALL SELECT b.target, b.source, b.w FROM e b WHERE NOT EXISTS (SELECT 1 FROM e f WHERE f.source = b.target AND f.target = b.source)")
+def a4_weighted_edges(spark, sf_dir):
+    return files.with_reverse(roads(spark, sf_dir).select("source", "target", distance_kernel("cost").alias("w")))
+
+
+@query("SELECT x.c AS column, floor(x.p * 1000000.0 + 0.5) / 1000000.0 AS present FROM (SELECT count(CASE WHEN value > 100 THEN value END) / count(*) AS v, count(user_id) / count(*) AS u FROM events) t, LATERAL (VALUES ('value', v), ('user_id', u)) x(c, p)")
+def a14_availability(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.when(F.col("value") > 100, F.col("value")).alias("value"), "user_id")
+    return files.availability(e, ["value", "user_id"])
+
+
+@query("SELECT s_nationkey AS k, count(*) AS n, floor(100.0 * (avg(s_acctbal) - 1000) / avg(s_acctbal) * 100.0 + 0.5) / 100.0 AS gain FROM supplier GROUP BY ALL")
+def d22_improvement(spark, sf_dir):
+    own = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.count("*").alias("n"), F.avg("s_acctbal").alias("m"))
+    return own.select("k", "n", forecast.improvement("m", F.lit(1000.0)).alias("gain"))
+
+
+@query(f"WITH {TRANS}, e AS (SELECT t // 3600 * 3600 AS window_start, source, target, count(*) AS n FROM tr GROUP BY ALL) SELECT node, CAST(sum(o) AS BIGINT) AS out_edges, CAST(sum(i) AS BIGINT) AS in_edges FROM (SELECT source AS node, 1 AS o, 0 AS i FROM e UNION ALL SELECT target, 0, 1 FROM e) GROUP BY ALL")
+def d34_junction_degrees(spark, sf_dir):
+    edges = snapshots.edge_snapshot(transitions(spark, sf_dir), HOUR).select("source", "target")
+    ends = edges.select(F.explode(F.array(F.struct(F.col("source").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("target").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("x"))
+    return ends.groupBy("x.node").agg(F.sum("x.o").alias("out_edges"), F.sum("x.i").alias("in_edges"))
+
+
+@query(f"WITH {JOURNEYS} SELECT entity_id, seq, count(CASE WHEN event_id % 7 <> 0 THEN 1 END) AS confirmed, count(CASE WHEN event_id % 7 = 0 THEN 1 END) AS pending, count(DISTINCT node_id) AS sources FROM j GROUP BY ALL")
+def d33_journey_kpis(spark, sf_dir):
+    ok = F.col("event_id") % 7 != 0
+    return journeys(spark, sf_dir).groupBy("entity_id", "seq").agg(F.count_if(ok).alias("confirmed"), F.count_if(~ok).alias("pending"), F.countDistinct("node_id").alias("sources"))
