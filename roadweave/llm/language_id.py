@@ -104,10 +104,12 @@ def fit(texts: list[str], languages: list[str], landmarks: int = LANDMARKS, ridg
 
 def sample(docs: DataFrame, lang_col: str, text_col: str, id_col: str, each: int = SAMPLE) -> list[tuple[str, str]]:
     """Up to ``each`` (text, language) a language, those with the smallest hashes of
-    their ids; a limit is kept in every partition before anything is shuffled."""
-    at = F.row_number().over(Window.partitionBy("lang").orderBy("order", "id"))
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).cast("string").alias("id"), F.xxhash64(F.col(id_col).cast("string")).alias("order"), F.col(text_col).cast("string").alias("text"))
-    found = rows.withColumn("at", at).where(F.col("at") <= each).select("lang", "at", "text")
+    their ids. Ids alone are ranked, with a limit kept in every partition before
+    anything is shuffled; the chosen ones, a bounded list, are broadcast to the texts."""
+    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"))
+    at = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
+    chosen = rows.select("lang", "id").withColumn("at", at).where(F.col("at") <= each)
+    found = rows.join(F.broadcast(chosen.groupBy("lang", "id").agg(F.min("at").alias("at"))), ["lang", "id"]).groupBy("lang", "id").agg(F.min("at").alias("at"), F.min("text").alias("text"))
     return [(r["text"], r["lang"]) for r in sorted(found.toLocalIterator(), key=lambda r: (r["lang"], r["at"]))]
 
 
