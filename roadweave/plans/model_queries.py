@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.traffic import half_up
-from ..operators import forecast, incidents, windows
+from ..operators import forecast, graph, incidents, windows
 from .tables import HOUR, OBS, STATES, TRANS, observations, states, table, transitions
 
 QUERIES = {}
@@ -199,3 +199,25 @@ def e19_k10_priority_windows(spark, sf_dir):
     path = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey"))), lambda s: s["l_suppkey"])
     paths = li.groupBy(F.col("l_orderkey").alias("vehicle")).agg(path.alias("path")).withColumn("seconds", F.lit(60.0))
     return incidents.priority_windows(paths, "vehicle")
+
+
+@query()
+def j11_j12_ablation(spark, sf_dir):
+    """Ridge on own lags, on lags propagated over the transition graph, on both, and on
+    one step of history: errors on the test split."""
+    rows = samples(spark, sf_dir)
+    trans = transitions(spark, sf_dir)
+    adjacency = graph.normalised_adjacency(trans.groupBy("source", "target").agg(F.count("*").alias("w")))
+    lags = rows.select(F.col("node_id").alias("node"), "window_start", F.posexplode("x").alias("lag", "x")).withColumn("x", F.col("x").cast("double"))
+    near = graph.propagated(adjacency, lags, 1, ["window_start", "lag"])
+    beside = near.groupBy(F.col("node").alias("node_id"), "window_start").agg(F.map_from_entries(F.collect_list(F.struct("lag", "x"))).alias("beside"))
+    both = graph.written(rows.join(beside, ["node_id", "window_start"]), "samples")
+    own = [F.get("x", i).cast("double") for i in range(3)]
+    spread = [F.coalesce(F.try_element_at("beside", F.lit(i)), F.lit(0.0)) for i in range(3)]
+    sets = {"full": own + spread, "temporal_only": own, "spatial_only": spread, "one_step": own[2:]}
+    train = both.where("split = 'train'")
+    models = {}
+    for name, inputs in sets.items():
+        weights = forecast.ridge(train, inputs, [F.col(f"y_{h}") for h in HORIZONS])
+        models[name] = {h: forecast.linear(inputs, weights[:, k]) for k, h in enumerate(HORIZONS)}
+    return forecast.errors(forecast.predictions(both, HORIZONS, models).where("split = 'test'"), ["model", "horizon"])
