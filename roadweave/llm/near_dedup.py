@@ -41,7 +41,7 @@ COMPARED = 128
 #: A list of up to so many short rows is broadcast to its join, a longer one is shuffled.
 MAX_BROADCAST = 1_000_000
 #: Posterior probability of being similar below which a candidate is dropped.
-MISS = 1e-5
+MISS = 1e-6
 #: Buckets of up to so many members are compared fully in the second round.
 SMALL_BUCKET = 16
 #: Centres of the second round, and how much their number grows from round to round.
