@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 from .common import _byte_values, _power_tables, blocks, code_points, materialize, mix64, ship_package
 
 #: Bytes that the rolling hash sees, and one of how many positions ends a chunk.
-WINDOW, ONE_IN = 16, 20
+WINDOW, ONE_IN = 16, 14
 #: Fewest bytes between two possible ends, and most bytes of a chunk.
 LEAST_CHUNK, MOST_CHUNK = 8, 2048
 #: Fewest code points of a repeated passage.
