@@ -9,8 +9,10 @@ sure as the share of its occurrences that stand before known identifiers, an
 instance as sure as its sure patterns together. Instances that end up sure are
 found identifiers of kind ``context``.
 
-Occurrences of words and pairs are counted in ``PLACES`` hashed places; words
-that share a place make a pattern less sure, never surer.
+Occurrences are counted exactly, by 64-bit hash, and only for the patterns that
+stand before enough different instances; no other word or pair is shuffled.
+Patterns are whole words: a word glued to an entity, cut by the window or broken
+by the match before is none, as it isn't counted as a word of the corpus either.
 """
 
 from __future__ import annotations
@@ -33,8 +35,10 @@ TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 
 #: Kinds by number, in the order in which spans are listed.
 KINDS = ("email", "ip", "card", "phone", "context")
-#: Code points of context that are looked at, and hashed places of context counts.
-CONTEXT, PLACES = 48, 1 << 20
+#: Code points of context that are looked at.
+CONTEXT = 48
+#: At most so many patterns are broadcast to count them; more are joined after their counts are shuffled.
+MOST_BROADCAST = 1_000_000
 #: Rounds over the graph; a pattern needs so many different known instances and such a share of its occurrences, an instance such a score.
 ROUNDS, LEAST_SUPPORT, LEAST_SHARE, LEAST_SCORE = 3, 5, 0.5, 0.8
 #: An instance has so many code points and digits.
@@ -94,6 +98,8 @@ def matches(found: DataFrame) -> DataFrame:
     placed = placed.withColumn("start", F.col("end") - F.length("value"))
     # tokens lose the punctuation around them
     token = F.col("kind") == 4
+    from_start = (F.col("at") == 0) & (F.col("gap") == F.length("left"))
+    placed = placed.withColumn("left", F.when(from_start, F.col("left")).otherwise(F.regexp_replace("left", r"^[^\x20\x09-\x0D]++", "")))
     lead = F.length(F.regexp_extract("value", r"^[\"'(\[<{.,;:!?]*+", 0))
     bare = F.regexp_replace(F.regexp_replace("value", r"^[\"'(\[<{.,;:!?]++", ""), r"(?<![\"')\]>}.,;:!?])[\"')\]>}.,;:!?]++$", "")
     placed = placed.withColumn("start", F.when(token, F.col("start") + lead).otherwise(F.col("start"))).withColumn("value", F.when(token, bare).otherwise(F.col("value")))
@@ -109,34 +115,37 @@ def matches(found: DataFrame) -> DataFrame:
 
 
 def _patterns(left: Column) -> Column:
-    """The last word and the last two words before an entity, as hashes with their places."""
-    words = F.filter(F.split(F.lower(left), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    """The last word and the last two words before an entity, as hashes."""
+    words = F.when(left.rlike(r"[\x20\x09-\x0D]$"), F.filter(F.split(F.lower(left), r"[\x20\x09-\x0D]+"), lambda w: w != "")).otherwise(F.expr("cast(array() as array<string>)"))
     one, two = F.try_element_at(words, F.lit(-1)), F.try_element_at(words, F.lit(-2))
     both = F.array(F.when(one.isNotNull(), _context(one)), F.when(two.isNotNull(), _context(two, one)))
     return F.filter(both, lambda p: p.isNotNull())
 
 
 def _context(*words: Column) -> Column:
-    """A pattern's hash; its place for counting is that modulo ``PLACES``."""
+    """A pattern's hash."""
     return F.xxhash64(*words, F.lit(len(words)))
 
 
-def context_counts(docs: DataFrame) -> DataFrame:
-    """(place, total): occurrences of all words and pairs of neighbours in all texts."""
+def context_counts(docs: DataFrame, patterns: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """(pattern, total): occurrences in all texts of the words and pairs of neighbours that are among ``patterns``, which are distinct."""
     words = words_of(F.lower(normal(F.col("text"))))
     rows = docs.select(words.alias("words"))
     both = F.concat(F.transform("words", lambda w: _context(w)), F.zip_with("words", F.slice("words", 2, F.size("words") + 1), lambda a, b: F.when(b.isNotNull(), _context(a, b))))
-    places = rows.select(F.explode(both).alias("pattern")).where("pattern is not null").select(F.pmod("pattern", F.lit(PLACES)).alias("place"))
-    return places.groupBy("place").agg(F.count("*").alias("total"))
+    each = rows.select(F.explode(both).alias("pattern")).where("pattern is not null")
+    count = F.count("*").alias("total")
+    if patterns.count() <= most_broadcast:
+        return each.join(F.broadcast(patterns), "pattern", "left_semi").groupBy("pattern").agg(count)
+    return each.groupBy("pattern").agg(count).join(patterns, "pattern", "left_semi")
 
 
-def sure_instances(found: DataFrame, totals: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def sure_instances(found: DataFrame, docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(instance, score) of the identifier-like tokens that the graph makes sure."""
     seed = F.col("kind") < 4
     edges = found.select(F.xxhash64("value").alias("instance"), seed.alias("seed"), F.explode(_patterns(F.col("left"))).alias("pattern"))
     edges = materialize(edges.groupBy("pattern", "instance").agg(F.count("*").alias("n"), F.max("seed").alias("seed")), "edges")
-    patterns = edges.groupBy("pattern").agg(F.count("*").alias("instances")).where(F.col("instances") >= LEAST_SUPPORT).withColumn("place", F.pmod("pattern", F.lit(PLACES)))
-    total = materialize(patterns.join(totals, "place").select("pattern", "total"), "totals")
+    patterns = materialize(edges.groupBy("pattern").agg(F.count("*").alias("instances")).where(F.col("instances") >= LEAST_SUPPORT).select("pattern"), "patterns")
+    total = materialize(context_counts(docs, patterns), "totals")
     live = materialize(edges.join(total, "pattern"), "edges")  # only patterns with enough instances can become sure
     sure = None
     for _ in range(rounds):
@@ -161,7 +170,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     held = materialize(rows.select("row", "id", candidates(F.col("text")).alias("found")), "candidates")
     found = materialize(matches(held.select("row", "found")), "found")
-    sure = sure_instances(found, context_counts(rows), rounds)
+    sure = sure_instances(found, rows, rounds)
     extra = found.where("kind = 4").withColumn("instance", F.xxhash64("value")).join(sure, "instance").select("row", "kind", "start", "end")
     spans = found.where("kind < 4").select("row", "kind", "start", "end").unionByName(extra)
     by_row = spans.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("spans"))

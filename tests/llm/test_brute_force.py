@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from roadweave.llm import near_dedup, substring_dedup
+from roadweave.llm import near_dedup, personal_data, substring_dedup
 from roadweave.llm.queries import QUERIES, vocabulary
 
 SF = "/root/testdata/sf0.001"
@@ -95,6 +95,27 @@ def test_op4(spark, texts):
         assert got[i].base_sha256 == hashlib.sha256(",".join(found).encode()).hexdigest()
 
 
+@pytest.mark.parametrize("most_broadcast", [1_000_000, 0])
+def test_op4_rare_context(spark, monkeypatch, most_broadcast):
+    """A rare label is learned however common the words are that share 20 bits of its hash;
+    one that mostly stands before other words isn't, nor is a word glued to entities."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(personal_data.context_counts, "__defaults__", (most_broadcast,))
+    place = lambda *x: F.pmod(F.xxhash64(*x, F.lit(len(x))), F.lit(1 << 20))
+    word = F.concat(F.lit("f"), F.col("id"))
+    label = spark.range(1).select(place(F.lit("zqlabel")), place(F.lit("our"), F.lit("zqlabel"))).first()
+    foreign = [r.w for r in spark.range(4_000_000).select(word.alias("w"), place(word).alias("p")).where(F.col("p").isin(*label)).collect()]
+    assert len(foreign) >= 2
+    rows = [(k, f"our zqlabel mail{k}@host.org and") for k in range(8)] + [(20 + k, f"our zqlabel 70{k}-88{k}19 and") for k in range(5)]
+    rows += [(40 + k, f"the common mail{k}@host.net and") for k in range(8)] + [(60 + k, f"the common 60{k}-77{k}19 and") for k in range(5)]
+    rows += [(80 + k, f"so glued:mail{k}@host.com and") for k in range(8)] + [(100 + k, f"so glued: 50{k}-66{k}19 and") for k in range(5)]
+    rows += [(200, " ".join(foreign * 60)), (201, "the common thing " * 60)]
+    got = {r.id: [(s.kind, s.start, s.end) for s in r.spans if s.kind == 4] for r in personal_data.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[20 + k] == [(4, 12, 21)] for k in range(5))
+    assert not any(got[i] for i in got if i not in range(20, 25))
+
+
 def test_op6(spark, texts):
     got = rows(spark, "op6_minhash_near_dedup")
     sets = {}
