@@ -28,6 +28,7 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         secret_scan.spans_text(F.col("spans")).alias("spans"),
         "n_live",
         "n_example",
+        secret_scan.counts_text(F.col("counts")).alias("counts"),
     )
 
 

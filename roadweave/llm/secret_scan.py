@@ -5,8 +5,9 @@ hex) and opaque tokens, which look random but carry no marker of their own.
 Candidates go on as digests. A digest's owners and repositories are counted over
 the whole corpus, pre-aggregated by (digest, owner, repository), so that a value
 copied into a third of all texts reaches its task as one row per map task. A
-value that many owners share is an example; one that a single owner has and
-that looks random is live. Opaque tokens become spans only if they are live.
+value that many owners share is an example, and so is one that stands in several
+repositories and in many texts an owner; another that a single owner has and that
+looks random is live. Opaque tokens become spans only if they are live.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ LEAST_TOKEN, LEAST_ENTROPY = 20, 3.0
 TOKEN = rf"[A-Za-z0-9+/_=-]{{{LEAST_TOKEN},}}"
 #: A value of at most so many owners is owner-specific, one of at least so many an example.
 MAX_LIVE_OWNERS, MIN_EXAMPLE_OWNERS = 1, 3
+#: Within fewer owners a value of at least so many distinct repositories is an example too, if it stands in so many texts an owner.
+MIN_EXAMPLE_REPOSITORIES, MIN_EXAMPLE_TEXTS = 3, 20
 
 _PATTERNS = {0: re.compile(ASSIGN.encode(), re.IGNORECASE), 1: re.compile(ACCESS.encode()), 2: re.compile(HEX.encode()), 3: re.compile(TOKEN.encode())}
 #: What a text must hold to be searched for a kind, for a linear-time matcher.
@@ -105,22 +108,31 @@ def _candidates(batches):
         yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(rows, pa.list_(_CANDIDATE))], names=["row", "id", "owner", "repository", "found"])
 
 
-def ownership(candidates: DataFrame, max_live_owners: int = MAX_LIVE_OWNERS, min_example_owners: int = MIN_EXAMPLE_OWNERS) -> DataFrame:
-    """(digest, n_owners, n_repositories, n_uses, verdict) of candidate rows (digest,
-    owner, repository, random). A null owner counts as one owner of its own."""
-    each = candidates.groupBy("digest", "owner", "repository").agg(F.count("*").alias("n"), F.max("random").alias("random"))
-    owners = each.groupBy("digest", "owner").agg(F.count("*").alias("n_repositories"), F.sum("n").alias("n"), F.max("random").alias("random"))
-    total = owners.groupBy("digest").agg(F.count("*").alias("n_owners"), F.sum("n_repositories").alias("n_repositories"), F.sum("n").alias("n_uses"), F.max("random").alias("random"))
-    verdict = F.when(F.col("n_owners") >= min_example_owners, "example").when((F.col("n_owners") <= max_live_owners) & F.col("random"), "live").otherwise("shared")
-    return total.select("digest", "n_owners", "n_repositories", "n_uses", verdict.alias("verdict"))
+def ownership(
+    candidates: DataFrame,
+    max_live_owners: int = MAX_LIVE_OWNERS,
+    min_example_owners: int = MIN_EXAMPLE_OWNERS,
+    min_example_repositories: int = MIN_EXAMPLE_REPOSITORIES,
+    min_example_texts: int = MIN_EXAMPLE_TEXTS,
+) -> DataFrame:
+    """(digest, n_owners, n_repositories, n_texts, n_uses, verdict) of candidate rows (row,
+    digest, owner, repository, random). A null owner counts as one owner of its own."""
+    texts = candidates.groupBy("digest", "owner", "repository", "row").agg(F.count("*").alias("n"), F.max("random").alias("random"))
+    each = texts.groupBy("digest", "owner", "repository").agg(F.count("*").alias("n_texts"), F.sum("n").alias("n"), F.max("random").alias("random"))
+    owners = each.groupBy("digest", "owner").agg(F.count("*").alias("n_repositories"), F.sum("n_texts").alias("n_texts"), F.sum("n").alias("n"), F.max("random").alias("random"))
+    total = owners.groupBy("digest").agg(F.count("*").alias("n_owners"), F.sum("n_repositories").alias("n_repositories"), F.sum("n_texts").alias("n_texts"), F.sum("n").alias("n_uses"), F.max("random").alias("random"))
+    copied = (F.col("n_repositories") >= min_example_repositories) & (F.col("n_texts") >= min_example_texts * F.col("n_owners"))
+    verdict = F.when((F.col("n_owners") >= min_example_owners) | copied, "example").when((F.col("n_owners") <= max_live_owners) & F.col("random"), "live").otherwise("shared")
+    return total.select("digest", "n_owners", "n_repositories", "n_texts", "n_uses", verdict.alias("verdict"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner: Column | str = "source", repository: Column | str | None = None, **limits) -> DataFrame:
     """One row for each of ``docs``: id, base spans and all spans (start, kind, end in
-    code points, by start and then kind), n_live and n_example candidates.
+    code points, by start and then kind), n_live and n_example candidates, and of
+    every candidate by start and kind its place, verdict and counts (``counts``).
 
     Null or empty text: no spans. Every row is scanned for itself, repeated rows
-    and ids too; copies within one owner stay owner-specific. An empty table
+    and ids too; copies within one repository stay owner-specific. An empty table
     gives no rows. Digests are of the values alone, so no secret leaves a task.
     """
     ship_package(docs.sparkSession)
@@ -131,21 +143,24 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner:
     span = "start:bigint,kind:int,end:bigint"
     found = materialize(rows.mapInArrow(_candidates, f"row bigint, id {id_type}, owner string, repository string, found array<struct<{span},digest:binary,random:boolean>>"), "candidates")
     each = found.where(F.size("found") > 0).select("row", "owner", "repository", F.explode("found").alias("c")).select("row", "owner", "repository", "c.*")
-    judged = each.select("row", "start", "kind", "end", "digest").join(ownership(each, **limits).select("digest", "verdict"), "digest")
+    judged = each.select("row", "start", "kind", "end", "digest").join(ownership(each, **limits), "digest")
     live_token = (F.col("kind") == 3) & (F.col("verdict") == "live")
     by_row = judged.groupBy("row").agg(
         F.count_if(F.col("verdict") == "live").alias("n_live"),
         F.count_if(F.col("verdict") == "example").alias("n_example"),
         F.collect_list(F.when(live_token, F.struct("start", "kind", "end"))).alias("added"),
+        F.array_sort(F.collect_list(F.struct("start", "kind", "end", "verdict", "n_owners", "n_repositories", "n_texts", "n_uses"))).alias("counts"),
     )
     base = F.transform(F.filter("found", lambda c: c["kind"] < 3), lambda c: F.struct(c["start"], c["kind"], c["end"]))
     none = F.expr(f"cast(array() as array<struct<{span}>>)")
+    uncounted = F.expr(f"cast(array() as array<struct<{span},verdict:string,n_owners:bigint,n_repositories:bigint,n_texts:bigint,n_uses:bigint>>)")
     return found.join(by_row, "row", "left").select(
         "id",
         base.alias("base"),
         F.array_sort(F.concat(base, F.coalesce("added", none))).alias("spans"),
         F.coalesce("n_live", F.lit(0)).cast("long").alias("n_live"),
         F.coalesce("n_example", F.lit(0)).cast("long").alias("n_example"),
+        F.coalesce("counts", uncounted).alias("counts"),
         "row",
     )
 
@@ -156,6 +171,12 @@ def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def counts_text(counts: Column) -> Column:
+    """verdict:owners:repositories:texts:uses of each candidate, comma-joined."""
+    said = lambda c: F.concat_ws(":", c["verdict"], *[c[n].cast("string") for n in ("n_owners", "n_repositories", "n_texts", "n_uses")])
+    return F.array_join(F.transform(counts, said), ",")
+
+
 def redact(docs: DataFrame, text_col: str = "text", placeholder: str = "[secret]", **names) -> DataFrame:
     """``docs`` with every span of ``scan`` replaced by ``placeholder``.
 

@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from roadweave.llm import decontam, language_id, near_dedup, packing, personal_data, quality, secret_scan, substring_dedup, token_files, warc
 from roadweave.llm.common import new_folder
@@ -48,6 +49,20 @@ def test_secret_scan(docs, none):
     assert [r.text for r in clean.where("doc_id = 6").collect()] == ["[secret] mail a.b@c.de"]
 
 
+def test_secret_scan_hot_source(spark):
+    """A sample in all repositories of one owner is an example; copies in one repository stay live."""
+    sample, own = "Zx81Kq90Lm22Vb73Nc64", "Qw12Er34Ty56Ui78Op90"
+    rows = [(k, f"see {sample} here", "hot", f"l{k % 4}") for k in range(80)] + [(100 + k, f"see {own} here", "hot", "l0") for k in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = {r.id: r for r in secret_scan.scan(docs, repository=F.concat_ws("/", "source", "lang")).collect()}
+    assert all(got[k].spans == [] and (got[k].n_live, got[k].n_example) == (0, 1) for k in range(80))
+    assert all(len(got[100 + k].spans) == 1 and got[100 + k].n_live == 1 for k in range(80))
+    at = lambda k: [tuple(c)[3:] for c in got[k].counts]
+    assert at(0) == [("example", 1, 4, 80, 80)] and at(100) == [("live", 1, 1, 80, 80)]
+    clean = secret_scan.redact(docs, repository=F.concat_ws("/", "source", "lang"))
+    assert {r.text for r in clean.collect()} == {f"see {sample} here", "see [secret] here"}
+
+
 def test_token_files(spark, docs, none):
     folder = new_folder(spark, "t")
     token_files.write_token_files(docs, folder, vocabulary("byte_bpe_50k.json"))
