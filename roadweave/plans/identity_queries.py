@@ -58,10 +58,15 @@ def c2_e2_h22_distance_and_feasibility(spark, sf_dir):
 
 
 def legs(spark, sf_dir):
-    """Legs: one for each event, with noisy key and embedding as appearance."""
+    """Legs: one for each event, with noisy key and embedding as appearance.
+
+    A user's vector is the one with their id modulo the table's number of vectors; of
+    several with one remainder, that with the smallest id."""
     keys = noisy_keys(spark, sf_dir)
-    vectors = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 500).alias("v"), "embedding").dropDuplicates(["v"])
-    rows = keys.select(F.col("event_id").alias("track_id"), F.col("event_type").alias("node_id"), windows.epoch("ts").alias("first_ts"), windows.epoch("ts").alias("last_ts"), "key", F.when(F.col("user_id") % 2 == 0, "car").otherwise("truck").alias("kind"), (F.col("user_id") % 500).alias("v"), (20.0 + F.col("user_id") % 7).alias("width"), (10.0 + F.col("user_id") % 3).alias("height"), F.lit("UNKNOWN").alias("direction"))
+    given = table(spark, sf_dir, "embeddings")
+    n = F.lit(max(1, given.count()))
+    vectors = given.groupBy(F.pmod("vec_id", n).alias("v")).agg(F.min(F.struct("vec_id", "embedding"))["embedding"].alias("embedding"))
+    rows = keys.select(F.col("event_id").alias("track_id"), F.col("event_type").alias("node_id"), windows.epoch("ts").alias("first_ts"), windows.epoch("ts").alias("last_ts"), "key", F.when(F.col("user_id") % 2 == 0, "car").otherwise("truck").alias("kind"), F.pmod("user_id", n).alias("v"), (20.0 + F.col("user_id") % 7).alias("width"), (10.0 + F.col("user_id") % 3).alias("height"), F.lit("UNKNOWN").alias("direction"))
     return rows.join(vectors, "v", "left").select("*", F.col("embedding").alias("vector")).drop("embedding", "v")
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from roadweave.functions import geo, match, text, traffic
 from roadweave.operators import boxes, fusion, graph, identity, incidents, series
+from roadweave.plans.identity_queries import legs
 from roadweave.sources import files
 
 
@@ -91,3 +92,13 @@ def test_sources(spark, tmp_path):
     assert (a.density, a.congestion, b.flow, b.density, b.congestion) == (10.0, 0.0, None, None, 100.0)
     files.save_graph(rows, rows, str(tmp_path / "g"))
     assert files.load_graph(spark, str(tmp_path / "g"))[0].count() == 2
+
+
+def test_legs_use_every_vector(spark):
+    """A leg's vector is that of its user's id modulo the table's number of vectors."""
+    sf = "/root/testdata/sf0.1"
+    vectors = {r.vec_id: list(r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
+    users = {r.event_id: r.user_id for r in spark.read.parquet(f"{sf}/events.parquet").where("event_id % 40 = 0").collect()}
+    got = {r.track_id: list(r.vector) for r in legs(spark, sf).where("track_id % 40 = 0").select("track_id", "vector").collect()}
+    assert len(vectors) > 500 and sorted(vectors) in (list(range(len(vectors))), list(range(1, len(vectors) + 1)))
+    assert got.keys() == users.keys() and all(got[e] == vectors.get(u % len(vectors), vectors.get(len(vectors))) for e, u in users.items())
