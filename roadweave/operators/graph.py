@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,16 +48,24 @@ def propagated(adjacency: DataFrame, values: DataFrame, hops: int = 1, by: list[
     return values
 
 
-def shortest_paths(edges: DataFrame, origins: DataFrame, goals: DataFrame | None = None, rounds: int = 64) -> DataFrame:
+def _rounds(most: int | None) -> Iterator[int]:
+    """Round numbers without end; with a bound, an error once it is passed."""
+    for n in count():
+        if n == most:
+            raise RuntimeError(f"not settled after {most} rounds")
+        yield n
+
+
+def shortest_paths(edges: DataFrame, origins: DataFrame, goals: DataFrame | None = None, rounds: int | None = None) -> DataFrame:
     """(origin, node, cost, path, metres) of the cheapest path to every node that is
     reached, or to the goals only. ``edges``: source, target, cost, metres.
 
     Each round relaxes the edges that leave what the round before improved; it
-    ends when nothing improves. Equal costs: the path that comes first."""
+    ends when nothing improves, and fails if ``rounds`` is given and doesn't do. Equal costs: the path that comes first."""
     best = written(origins.select(F.col("node").alias("origin"), "node", F.lit(0.0).alias("cost"), F.array("node").alias("path"), F.lit(0.0).alias("metres")), "paths")
     frontier = best
     e = edges.select("source", F.col("target").alias("to"), F.col("cost").alias("c"), F.col("metres").alias("m"))
-    for _ in range(rounds):
+    for _ in _rounds(rounds):
         steps = frontier.join(e, frontier["node"] == e["source"]).where(~F.array_contains("path", F.col("to")))
         new = steps.select("origin", F.col("to").alias("node"), (F.col("cost") + F.col("c")).alias("cost"), F.concat("path", F.array("to")).alias("path"), (F.col("metres") + F.col("m")).alias("metres"))
         both = best.withColumn("old", F.lit(1)).unionByName(new.withColumn("old", F.lit(0)))
@@ -67,16 +77,17 @@ def shortest_paths(edges: DataFrame, origins: DataFrame, goals: DataFrame | None
     return best if goals is None else best.join(goals, ["origin", "node"], "left_semi")
 
 
-def timed_paths(edges: DataFrame, profile: DataFrame, origins: DataFrame, rounds: int = 64) -> DataFrame:
+def timed_paths(edges: DataFrame, profile: DataFrame, origins: DataFrame, rounds: int | None = None) -> DataFrame:
     """Earliest arrivals with travel times that depend on the time of entry.
 
     ``profile``: source, target, from_s, to_s, seconds, without overlaps and such that
-    who leaves later doesn't arrive earlier. Outside, the edge's own ``cost`` holds."""
+    who leaves later doesn't arrive earlier. Outside, the edge's own ``cost`` holds.
+    Fails if ``rounds`` is given and doesn't do."""
     best = written(origins.select(F.col("node").alias("origin"), "node", F.col("start").cast("double").alias("arrival"), F.array("node").alias("path")), "arrivals")
     frontier = best
     e = edges.select("source", F.col("target").alias("to"), F.col("cost").alias("c"))
     p = profile.select(F.col("source").alias("ps"), F.col("target").alias("pt"), "from_s", "to_s", "seconds")
-    for _ in range(rounds):
+    for _ in _rounds(rounds):
         steps = frontier.join(e, frontier["node"] == e["source"]).where(~F.array_contains("path", F.col("to")))
         timed = steps.join(p, (F.col("node") == F.col("ps")) & (F.col("to") == F.col("pt")) & (F.col("arrival") >= F.col("from_s")) & (F.col("arrival") < F.col("to_s")), "left")
         new = timed.select("origin", F.col("to").alias("node"), (F.col("arrival") + F.coalesce("seconds", "c")).alias("arrival"), F.concat("path", F.array("to")).alias("path"))
@@ -88,12 +99,12 @@ def timed_paths(edges: DataFrame, profile: DataFrame, origins: DataFrame, rounds
     return best
 
 
-def components(links: DataFrame, rounds: int = 64) -> DataFrame:
-    """(node, component) of (a, b) links; the least node names a component."""
+def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(node, component) of (a, b) links; the least node names a component. Fails if ``rounds`` is given and doesn't do."""
     once = written(links.select("a", "b"), "links")
     both = once.union(once.select("b", "a")).distinct()
     labels = written(both.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct(), "labels")
-    for _ in range(rounds):
+    for _ in _rounds(rounds):
         near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("m"))
         new = labels.join(near, labels["node"] == near["a"], "left").select("node", F.least("component", F.coalesce("m", "component")).alias("component"))
         # jump to the component of the component

@@ -1,5 +1,6 @@
 """Golden rows: small literal inputs with known answers."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from roadweave.functions import geo, match, text, traffic
@@ -102,3 +103,23 @@ def test_legs_use_every_vector(spark):
     got = {r.track_id: list(r.vector) for r in legs(spark, sf).where("track_id % 40 = 0").select("track_id", "vector").collect()}
     assert len(vectors) > 500 and sorted(vectors) in (list(range(len(vectors))), list(range(1, len(vectors) + 1)))
     assert got.keys() == users.keys() and all(got[e] == vectors.get(u % len(vectors), vectors.get(len(vectors))) for e, u in users.items())
+
+
+def test_rounds(spark):
+    """A path of more than 64 edges is found; a bound that doesn't do is an error."""
+    chain = spark.range(67).selectExpr("id source", "id + 1 target", "1D cost", "1D metres").coalesce(1)
+    start = spark.range(1).select(F.col("id").alias("node"))
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        assert {r.node: r.cost for r in graph.shortest_paths(chain, start).collect()} == {k: float(k) for k in range(68)}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    few = chain.limit(5)
+    timetable = spark.createDataFrame([], "source long, target long, from_s double, to_s double, seconds double")
+    with pytest.raises(RuntimeError):
+        graph.shortest_paths(few, start, rounds=2)
+    with pytest.raises(RuntimeError):
+        graph.timed_paths(few, timetable, start.withColumn("start", F.lit(0)), rounds=2)
+    with pytest.raises(RuntimeError):
+        graph.components(few.select(F.col("source").alias("a"), F.col("target").alias("b")), rounds=1)
