@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one vectorised step takes at once. A longer single text is taken alone.
@@ -102,24 +103,17 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _byte_values(lower: bool) -> np.ndarray:
-    code = np.arange(256, dtype=np.uint64)
-    if lower:
-        code[65:91] += np.uint64(32)
-    return mix64((code + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-
-
-_BASE = 0x9E3779B97F4A7C15 & ~7 | 5
-_powers: dict[str, np.ndarray] = {}
+def _upper_to_lower() -> np.ndarray:
+    table = np.arange(256, dtype=np.uint8)
+    table[65:91] += 32
+    return table
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("up", ())) < n:
-        size = max(n, BLOCK_BYTES + 1)
-        one = np.ones(1, np.uint64)
-        for key, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            _powers[key] = np.concatenate([one, np.cumprod(np.full(size, base, np.uint64))])
-    return _powers["up"], _powers["down"]
+_AS_IS, _LOWERED = np.arange(256, dtype=np.uint8), _upper_to_lower()
+#: The first 0 to 8 bytes of a little-endian 64-bit number.
+_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Words of up to so many bytes are hashed from their bytes as numbers, longer ones one by one.
+SHORT_WORD = 16
 
 
 class Words:
@@ -127,7 +121,7 @@ class Words:
 
     def __init__(self, is_word: np.ndarray, lower: bool = True):
         self.is_word = is_word
-        self.values = _byte_values(lower)
+        self.case = _LOWERED if lower else _AS_IS
 
     def spans(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start and end byte of every word, and the number of words in each text."""
@@ -148,12 +142,28 @@ class Words:
         counts = np.diff(np.searchsorted(starts, offsets))
         return starts, ends, counts
 
+    def numbers(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The first eight and the next eight of each word's (lower-cased) bytes as
+        numbers, and the padded bytes. With its length they are a short word itself."""
+        padded = np.zeros(len(data) + SHORT_WORD, np.uint8)
+        np.take(self.case, data, out=padded[: len(data)])
+        at = np.ndarray(len(data) + 9, "<u8", padded, strides=(1,))
+        n = ends - starts
+        low = at[starts] & _FIRST_BYTES[np.minimum(n, 8)]
+        high = at[np.minimum(starts + 8, len(data) + 8)] & _FIRST_BYTES[np.clip(n - 8, 0, 8)]
+        return low, high, padded
+
     def hashes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """A 64-bit hash of each word's (lower-cased) bytes."""
-        up, down = _power_tables(len(data) + 1)
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self.values[data] * up[: len(data)], out=sums[1:])
-        return mix64((sums[ends] - sums[starts]) * down[starts])
+        """A 64-bit hash of each word's (lower-cased) bytes, mixed so that no
+        structure of words makes equal ones: 64 random bits, in effect."""
+        low, high, padded = self.numbers(data, starts, ends)
+        n = ends - starts
+        out = mix64(mix64(low + n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) + high * np.uint64(0xC2B2AE3D27D4EB4F))
+        long = np.flatnonzero(n > SHORT_WORD)
+        if len(long):
+            raw = padded.data
+            out[long] = np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)), np.uint64, len(long))
+        return out
 
 
 def byte_table(kept) -> np.ndarray:

@@ -6,12 +6,16 @@
    They are chosen so that a pair at the threshold shares no band with a
    probability of ``UNBANDED`` at most, and a more similar one with less.
 2. Texts with equal sets collapse to one class (aggregated by digest).
-3. Classes that share a band key form a bucket. A bucket doesn't emit its pairs:
-   its members are compared with a few centres, if their sets' sizes allow it, first one chosen by hash, then
-   those with the most links so far, ``GROWTH`` times as many each round. Members
-   that are in one component already need no comparison, so a tight group takes
-   two rounds; a bucket that stays apart is gone through fully in the end, so no
-   candidate pair is left out.
+3. Classes that share a band key form a bucket, and a bucket never emits all its
+   pairs. Each member is compared with one centre first; that joins most copies.
+   The members of buckets that stay apart then order their shingles by how many of
+   these members have them, rarest first. Two sets at the threshold share one of
+   the first n - ceil(t n) + 1 shingles of either, and at its places enough must be
+   left for the overlap that is asked for; a pair that fails this can't be similar,
+   so nothing is lost. Lists of members by such a shingle are again compared with
+   the member with the most links, and then with ``CENTRES`` at a time, until few
+   pairs are left between components or such a round joins little; all those left are
+   compared.
 4. A candidate's signatures are compared in batches of ``BATCH`` hashes. After
    each, the pair is dropped if the posterior probability of a similarity at the
    threshold or above (uniform prior) is under ``MISS``.
@@ -25,7 +29,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -38,14 +42,13 @@ UNBANDED = 1e-4
 BATCH = 32
 #: Hashes of a signature that verification compares at most.
 COMPARED = 128
-#: A list of up to so many short rows is broadcast to its join, a longer one is shuffled.
-MAX_BROADCAST = 1_000_000
+#: A counted list of ids is broadcast to its join up to so many bytes, at so many a row in a join's table; a longer one is shuffled.
+MAX_BROADCAST, ROW_BYTES = 32 << 20, 64
 #: Posterior probability of being similar below which a candidate is dropped.
 MISS = 1e-6
-#: Buckets of up to so many members are compared fully in the second round.
-SMALL_BUCKET = 16
-#: Centres of the second round, and how much their number grows from round to round.
-CENTRES, GROWTH = 4, 16
+#: Centres of a list in each round. Rounds end when so few pairs a row
+#: of the lists are left between components, or when one leaves more than that share of them.
+CENTRES, FEW, WORTH = 8, 4, 0.8
 #: Columns of the min-hash product that are held at once.
 COLUMNS = 4096
 
@@ -125,9 +128,9 @@ def _signed(size: int, bands: int, rows: int):
 def _sets(size: int):
     def run(batches):
         for batch in batches:
-            made = [g.tobytes() for g in shingle_sets(batch.column(0), size)]
-            same = [xxhash.xxh3_128_digest(g) == d for g, d in zip(made, batch.column(2).to_pylist(), strict=True)]
-            table = pa.RecordBatch.from_arrays([batch.column(1), pa.array(made, pa.binary())], names=["node", "grams"])
+            made = list(shingle_sets(batch.column(0), size))
+            same = [xxhash.xxh3_128_digest(g.tobytes()) == d for g, d in zip(made, batch.column(2).to_pylist(), strict=True)]
+            table = pa.RecordBatch.from_arrays([batch.column(1), pa.array([g.view(np.int64) for g in made], pa.list_(pa.int64()))], names=["node", "grams"])
             yield table.filter(pa.array(same, pa.bool_()))
 
     return run
@@ -146,17 +149,28 @@ def least_matches(percent: int, miss: float, n_hashes: int = COMPARED, batch: in
     return out
 
 
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    """The lists of a column, without copying."""
+    offsets = column.offsets.to_numpy()
+    return np.split(column.values.to_numpy()[: offsets[-1]], offsets[1:-1]) if len(column) else []
+
+
 def _pruned(bounds: list[tuple[int, int]]):
+    """Pairs with a common band that the batches of their signatures leave."""
+
     def run(batches):
         for batch in batches:
-            left = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(-1, COMPARED)
-            right = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint32).reshape(-1, COMPARED)
-            live, matches, at = np.arange(len(left)), np.zeros(len(left), np.int64), 0
+            if not batch.num_rows:
+                continue
+            sigs = [np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint32).reshape(-1, COMPARED) for k in (2, 3)]
+            keys = [np.stack(_lists(batch.column(k))) for k in (4, 5)]
+            live, at = np.flatnonzero((keys[0] == keys[1]).any(axis=1)), 0
+            matches = np.zeros(batch.num_rows, np.int64)
             for n, least in bounds:
-                matches[live] += (left[live, at:n] == right[live, at:n]).sum(axis=1)
+                matches[live] += (sigs[0][live, at:n] == sigs[1][live, at:n]).sum(axis=1)
                 live, at = live[matches[live] >= least], n
             kept = pa.array(live)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(kept), batch.column(1).take(kept), pa.array(matches[live].astype(np.int32))], names=["a", "b", "matches"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(kept), batch.column(1).take(kept)], names=["a", "b"])
 
     return run
 
@@ -165,8 +179,7 @@ def _verified(percent: int):
     def run(batches):
         for batch in batches:
             keep = []
-            for left, right in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(left.as_buffer(), np.uint64), np.frombuffer(right.as_buffer(), np.uint64)
+            for x, y in zip(_lists(batch.column(2)), _lists(batch.column(3)), strict=True):
                 both = len(x) + len(y) - len(np.union1d(x, y))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             mask = pa.array(keep, pa.bool_())
@@ -235,73 +248,109 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _small(table: DataFrame) -> DataFrame:
-    """A written table of short rows, to be broadcast if it is counted and found small."""
-    return F.broadcast(table) if table.count() <= MAX_BROADCAST else table
+    """A written table of ids, to be broadcast if it is counted and found small."""
+    return F.broadcast(table) if table.count() * ROW_BYTES <= MAX_BROADCAST else table
 
 
 def _components(rows: DataFrame, signed: DataFrame, classes: DataFrame, shingle: int, percent: int, miss: float) -> DataFrame:
     """(node, root) of the classes that share a bucket with others."""
     keyed = signed.select(F.col("row").alias("node"), "keys").join(classes.select("node", F.col("n").cast("int").alias("n")), "node").select("node", "n", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    buckets = materialize(keyed.join(shared, "key").select("key", "node", "n", F.col("size").cast("int").alias("size")), "buckets")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
+    buckets = materialize(keyed.join(shared, "key").select("key", "node", "n"), "buckets")
     nodes = _small(materialize(buckets.select("node").distinct(), "nodes"))
-    held = materialize(signed.select(F.col("row").alias("node"), "sig").join(nodes, "node", "left_semi"), "held")
+    held = materialize(signed.select(F.col("row").alias("node"), "sig", "keys").join(nodes, "node", "left_semi"), "held")
     wanted = _small(materialize(classes.join(nodes, "node", "left_semi").select(F.col("first_id").alias("id"), "node", "digest"), "wanted"))
     named = rows.join(wanted, rows["id"].eqNullSafe(wanted["id"])).select("text", "node", "digest")
-    grams = materialize(named.mapInArrow(_sets(shingle), "node bigint, grams binary").dropDuplicates(["node"]), "grams")
-    bounds = least_matches(percent, miss)
-    roots = held.select("node", F.col("node").alias("root"))
-    seen = links = None
-    centres, first = 1, True
+    grams = materialize(named.mapInArrow(_sets(shingle), "node bigint, grams array<bigint>").dropDuplicates(["node"]), "grams")
+    search = _Search(held, grams, percent, miss)
+
+    # every member of a bucket with its centre; the smallest hash, so that buckets with the same members have the same centre
+    order = F.struct(F.xxhash64("node").alias("h"), "node", "n")
+    centres = materialize(buckets.groupBy("key").agg(F.min(order).alias("c")).select("key", F.col("c.node").alias("centre"), F.col("c.n").alias("m")), "centres")
+    near = (F.col("node") != F.col("centre")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
+    search.compare(buckets.join(centres, "key").where(near).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")))
+
+    marked = buckets.join(search.roots, "node")
+    apart = marked.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    members = materialize(marked.join(apart, "key", "left_semi").select("node").distinct(), "members")
+    if members.isEmpty():
+        return search.roots
+    lists = materialize(_prefixes(grams.join(members, "node", "left_semi"), percent), "prefixes")
+    seed, before = 0, math.inf
     while True:
-        marked = buckets.join(roots, "node")
-        apart = marked.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-        if links is not None:
-            degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
-            marked = marked.join(degrees, "node", "left")
-        open_ = materialize(marked.join(apart, "key", "left_semi").withColumn("order", F.xxhash64("node", "key")), "open")
-        largest = open_.agg(F.max("size")).first()[0] or 0
-        if not largest:
-            break
-        by = [F.col("order")] if first else [F.coalesce("degree", F.lit(0)).desc(), F.col("order")]
-        ranked = open_.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy(*by))).where(F.col("place") <= (1 if first else max(centres, SMALL_BUCKET)))
-        chosen = ranked.where((F.col("place") <= centres) | (F.lit(not first) & (F.col("size") <= SMALL_BUCKET))).select("key", F.col("node").alias("centre"), F.col("root").alias("of"), F.col("n").alias("m"))
-        similar_size = (F.col("root") != F.col("of")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
-        pairs = open_.join(chosen, (open_["key"] == chosen["key"]) & similar_size).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-        fresh = materialize(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
-        seen = fresh if seen is None else seen.unionByName(fresh)
-        pending = materialize(_with_both(fresh, held, "sig").mapInArrow(_pruned(bounds), "a bigint, b bigint, matches int"), "pending")
-        if first:
-            # each node's most promising pair comes first: in a tight group it makes the others needless
-            best = materialize(pending.groupBy("b").agg(F.max_by("a", F.struct("matches", "a")).alias("a")), "best")
-            rest = pending.join(best, ["a", "b"], "left_anti")
-            roots, links = _verify(roots, None, best, grams, percent)
-            of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))  # noqa: B023, E731
-            pending = materialize(rest.join(of("a"), "a").join(of("b"), "b").where("a_root <> b_root").select("a", "b"), "pending")
-        roots, links = _verify(roots, links, pending, grams, percent)
-        if not first and centres >= largest:
+        own = materialize(lists.join(search.roots, "node"), "lists")
+        between = _pairs_between(own)
+        if between <= FEW * own.count() or between > WORTH * before:
             break
-        centres, first = (CENTRES if first else centres * GROWTH), False
-    return roots
-
-
-def _with_both(pairs: DataFrame, values: DataFrame, value: str) -> DataFrame:
-    """(a, b, x, y) of written pairs with their values. Only values of nodes in the
+        before = between
+        # centres with few rare shingles before the list's own are near to what its members come from; ever coarser, to vary them
+        orders = [F.struct((-F.shiftright("at", k)).alias("rare"), F.xxhash64("node", F.lit(seed + k)).alias("h")) for k in range(CENTRES)]
+        found = own.groupBy("gram").agg(F.array_distinct(F.array(*[F.max_by(F.struct("node", "n", "at", "root"), o) for o in orders])).alias("c"), F.min("root").alias("low"), F.max("root").alias("high"))
+        each = found.where("low <> high").select("gram", F.explode("c").alias("c"))
+        centres = materialize(each.select("gram", *[F.col(f"c.{x}").alias(f"{x}_") for x in ("node", "n", "at", "root")]), "centres")
+        search.compare(own.join(centres, "gram").where(_possible(percent)).select(F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b")))
+        seed += CENTRES
+    other = own.select("gram", *[F.col(x).alias(f"{x}_") for x in ("node", "n", "at", "root")])
+    search.compare(own.join(other, "gram").where((F.col("node") < F.col("node_")) & _possible(percent)).select(F.col("node").alias("a"), F.col("node_").alias("b")))
+    return search.roots
+
+
+def _pairs_between(lists: DataFrame) -> int:
+    """At most so many pairs of members of one list are in different components."""
+    each = lists.groupBy("gram", "root").agg(F.count("*").alias("c"))
+    by_list = each.groupBy("gram").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs"))
+    return by_list.agg(F.sum("pairs")).first()[0] or 0
+
+
+def _possible(percent: int) -> Column:
+    """Whether two members of a list can be similar, if its shingle is the first that they
+    share: they are in different components, and enough is left of both from there on."""
+    left = F.least(F.col("n") - F.col("at"), F.col("n_") - F.col("at_"))
+    return (F.col("root") != F.col("root_")) & (100 * F.least("n", "n_") >= percent * F.greatest("n", "n_")) & ((100 + percent) * left >= percent * (F.col("n") + F.col("n_")))
+
+
+def _prefixes(grams: DataFrame, percent: int) -> DataFrame:
+    """(gram, node, n, at) of the shingles of each set that a similar one must share.
+
+    Shingles are in order of the number of sets that have them, then of their
+    hash; ``at`` is a shingle's place in that order. Those of one set alone come
+    first; they count for the places of the others and have no rows.
+    """
+    each = grams.select("node", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    common = materialize(each.groupBy("gram").agg(F.count("*").alias("f")).where("f > 1"), "frequencies")
+    own = each.join(common, "gram")
+    of = Window.partitionBy("node")
+    own = own.withColumn("at", F.col("n") - F.count("*").over(of) + F.row_number().over(of.orderBy("f", "gram")) - 1)
+    return own.where(F.col("at") <= F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100)).select("gram", "node", "n", F.col("at").cast("int").alias("at"))
+
+
+class _Search:
+    """The components of the links verified so far."""
+
+    def __init__(self, held: DataFrame, grams: DataFrame, percent: int, miss: float):
+        self.held, self.grams, self.percent, self.bounds = held, grams, percent, least_matches(percent, miss)
+        self.roots = held.select("node", F.col("node").alias("root"))
+
+    def compare(self, pairs: DataFrame) -> None:
+        """Prune and verify candidate pairs, and merge the components of those that hold."""
+        fresh = materialize(pairs.distinct(), "pairs")
+        pending = materialize(_with_both(fresh, self.held, ["sig", "keys"]).mapInArrow(_pruned(self.bounds), "a bigint, b bigint"), "pending")
+        held = materialize(_with_both(pending, self.grams, ["grams"]).mapInArrow(_verified(self.percent), "a bigint, b bigint"), "links")
+        if held.isEmpty():
+            return
+        of = lambda side: self.roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
+        between = held.join(of("a"), "a").join(of("b"), "b").select("a_root", "b_root").where("a_root <> b_root")
+        moved = connected_components(between, "a_root", "b_root").select(F.col("node").alias("root"), F.col("root").alias("to"))
+        self.roots = materialize(self.roots.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "roots")
+
+
+def _with_both(pairs: DataFrame, values: DataFrame, names: list[str]) -> DataFrame:
+    """(a, b, and each value of a and of b) of written pairs. Only values of nodes in the
     pairs are moved, as long as the pairs are few enough to be broadcast."""
-    few = _small(pairs.select("a", "b"))
-    left = values.select(F.col("node").alias("a"), F.col(value).alias("x")).join(_small(materialize(pairs.select("a").distinct(), "side")), "a", "left_semi")
-    right = few.join(values.select(F.col("node").alias("b"), F.col(value).alias("y")), "b")
-    return right.join(left, "a").select("a", "b", "x", "y")
-
-
-def _verify(roots: DataFrame, links: DataFrame | None, pairs: DataFrame, grams: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Verify pairs on their full sets; merge the components of those that hold."""
-    held = materialize(_with_both(pairs, grams, "grams").mapInArrow(_verified(percent), "a bigint, b bigint"), "links")
-    links = held if links is None else links.unionByName(held)
-    of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
-    between = held.join(of("a"), "a").join(of("b"), "b").select("a_root", "b_root").where("a_root <> b_root")
-    moved = connected_components(between, "a_root", "b_root").select(F.col("node").alias("root"), F.col("root").alias("to"))
-    return materialize(roots.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "roots"), links
+    of = lambda side: values.select(F.col("node").alias(side), *[F.col(x).alias(f"{x}_{side}") for x in names])
+    left = of("a").join(_small(materialize(pairs.select("a").distinct(), "side")), "a", "left_semi")
+    right = _small(pairs).join(of("b"), "b")
+    return right.join(left, "a").select("a", "b", *[f"{x}_{side}" for x in names for side in ("a", "b")])
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:

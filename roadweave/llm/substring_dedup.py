@@ -4,10 +4,11 @@ A gear hash rolls over the bytes of a text; a chunk ends where the hash of the
 last ``WINDOW`` bytes falls under a bound, so that the same passage is cut alike
 wherever it stands, and an insertion shifts no cut beyond its neighbourhood. An
 end too near to the last possible one is left out, a chunk without an end for
-long is cut at a fixed length. Chunks are compared by digest over the whole
-corpus, pre-aggregated, and chunks that occur in two texts or more and stand
-side by side make up the repeated passages. Passages under ``LEAST_RUN`` code
-points, such as a shared phrase or line, are no repeats.
+long is cut at a fixed length. Digests of chunks are counted over the whole
+corpus, pre-aggregated; chunks that occur twice or more, in one text or in
+several, and stand side by side make up the repeated passages. Every passage is
+returned with its length; documents are reported for passages of ``LEAST_RUN``
+code points or more, as shorter ones are shared phrases and lines.
 
 The rolling hash is taken for all positions at once: the hash over 2k bytes is
 that over the last k plus the shifted one over the k before.
@@ -21,19 +22,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import _byte_values, _power_tables, blocks, code_points, materialize, mix64, ship_package
+from .common import NOT_SPACE, Words, blocks, code_points, materialize, mix64, ship_package
 
 #: Bytes that the rolling hash sees, and one of how many positions ends a chunk.
 WINDOW, ONE_IN = 16, 14
 #: Fewest bytes between two possible ends, and most bytes of a chunk.
 LEAST_CHUNK, MOST_CHUNK = 8, 2048
-#: Fewest code points of a repeated passage.
+#: Fewest code points of a passage for which a document is reported.
 LEAST_RUN = 110
 #: A chunk's length is held in so many bits beside its start.
 LENGTH_BITS = 12
 
 _GEAR = (mix64((np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xD1B54A32D192ED03)) >> np.uint64(32)).astype(np.uint32)
-_VALUES = _byte_values(lower=False)
+_HASHED = Words(NOT_SPACE, lower=False)
 
 
 def gear_hashes(data: np.ndarray) -> np.ndarray:
@@ -79,10 +80,7 @@ def _chunked(batches):
                 continue
             ends = cuts(data, offsets)
             starts = np.append(0, ends[:-1])
-            up, down = _power_tables(len(data) + 1)
-            sums = np.zeros(len(data) + 1, np.uint64)
-            np.cumsum(_VALUES[data] * up[: len(data)], out=sums[1:])
-            digests = mix64((sums[ends] - sums[starts]) * down[starts]).view(np.int64)
+            digests = _HASHED.hashes(data, starts, ends).view(np.int64)
             points = code_points(data)
             text = np.searchsorted(offsets, starts, side="right") - 1
             begin = points[starts] - points[offsets[text]]
@@ -91,35 +89,77 @@ def _chunked(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(at), pa.array(digests)], names=["row", "id", "at", "digest"])
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_RUN) -> DataFrame:
-    """(row, id, start, end, removed) of every repeated passage, in code points.
-
-    removed counts the code points of chunks that an earlier text of the table
-    has; the first text that holds a chunk keeps it. Repeats inside one text
-    count only if another text has them too. Null, empty and clean texts have no
-    rows here. Rows with one id are texts of their own.
-    """
-    ship_package(docs.sparkSession)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+def _shared(rows: DataFrame) -> DataFrame:
+    """(row, id, start, n, again) of chunks that occur twice or more, given (row, id,
+    text); again: not the first occurrence in order of id, row and place."""
     id_type = rows.schema["id"].dataType.simpleString()
     chunks = materialize(rows.mapInArrow(_chunked, f"row bigint, id {id_type}, at bigint, digest bigint"), "chunks")
-    # a digest's rows are pre-aggregated in every task; a common chunk's join can be split
-    shared = chunks.groupBy("digest").agg(F.min("row").alias("first"), F.max("row").alias("last")).where("first < last").select("digest", "first")
-    found = materialize(chunks.join(shared, "digest").select("row", "id", "at", (F.col("first") < F.col("row")).alias("again")), "shared")
+    # a digest's rows are pre-aggregated in every task; a common chunk's joins can be split
+    common = materialize(chunks.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "common")
+    found = materialize(chunks.join(common, "digest"), "shared")
+    first = materialize(found.groupBy("digest").agg(F.min(F.struct("id", "row", "at")).alias("f")).select("digest", F.col("f.row").alias("row_"), F.col("f.at").alias("at_")), "first")
     size = 1 << LENGTH_BITS
-    placed = found.select("row", "id", "again", F.floor(F.col("at") / size).alias("start"), (F.col("at") % size).alias("n"))
+    again = (F.col("row") != F.col("row_")) | (F.col("at") != F.col("at_"))
+    return found.join(first, "digest").select("row", "id", F.floor(F.col("at") / size).alias("start"), (F.col("at") % size).alias("n"), again.alias("again"))
+
+
+def _runs(shared: DataFrame) -> DataFrame:
+    """Shared chunks that stand side by side have one ``run`` of their row."""
     w = Window.partitionBy("row").orderBy("start")
     new = F.coalesce(F.lag(F.col("start") + F.col("n")).over(w) != F.col("start"), F.lit(True))
-    runs = placed.withColumn("new", new.cast("int")).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    passages = runs.groupBy("row", "run").agg(F.first("id").alias("id"), F.min("start").alias("start"), F.max(F.col("start") + F.col("n")).alias("end"), F.sum(F.when(F.col("again"), F.col("n")).otherwise(0)).alias("removed"))
-    return passages.where(F.col("end") - F.col("start") >= least).select("row", "id", "start", "end", "removed")
+    return shared.withColumn("new", new.cast("int")).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+
+
+def _passages(shared: DataFrame, least: int) -> DataFrame:
+    first, end = F.min("start").alias("start"), F.max(F.col("start") + F.col("n")).alias("end")
+    removed = F.sum(F.when(F.col("again"), F.col("n")).otherwise(0)).alias("removed")
+    cut = F.array_sort(F.collect_list(F.when(F.col("again"), F.struct("start", (F.col("start") + F.col("n")).alias("end"))))).alias("cut")
+    return _runs(shared).groupBy("row", "run").agg(F.first("id").alias("id"), first, end, removed, cut).where(F.col("end") - F.col("start") >= least).drop("run")
 
 
-def repeated_documents(docs: DataFrame, **names) -> DataFrame:
-    """One row for each text with repeated passages: id, n_passages, repeated and
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 1) -> DataFrame:
+    """(row, id, start, end, removed) of every repeated passage of ``least`` code points
+    or more, in code points.
+
+    removed counts the code points of chunks that occurred before, in order of
+    id; the first occurrence stays. A passage that one text repeats counts like
+    one that several texts share. Null, empty and clean texts have no rows here.
+    Rows with one id are texts of their own, in the order in which they are read.
+    Very long texts are cut and compared like others. Extra columns of ``docs``,
+    whatever their names, take no part. An empty table gives no rows.
+    """
+    ship_package(docs.sparkSession)
+    return _passages(_shared(_numbered(docs, id_col, text_col)), least).select("row", "id", "start", "end", "removed")
+
+
+def repeated_documents(docs: DataFrame, least: int = LEAST_RUN, **names) -> DataFrame:
+    """One row for each text with passages of ``least`` code points: id, n_passages, repeated and
     removed code points, and the passages as start:end, comma-joined."""
-    found = repeated_passages(docs, **names)
+    found = repeated_passages(docs, least=least, **names)
     spans = F.array_sort(F.collect_list(F.struct("start", "end")))
     own = found.groupBy("row").agg(F.first("id").alias("id"), F.count("*").alias("n_passages"), F.sum(F.col("end") - F.col("start")).alias("repeated_chars"), F.sum("removed").alias("removed_chars"), spans.alias("spans"))
     text = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
     return own.select("id", "n_passages", "repeated_chars", "removed_chars", text.alias("spans"))
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_RUN) -> DataFrame:
+    """``docs`` with the chunks of repeated passages cut out of their texts wherever
+    they occurred before; the first occurrence stays. Null texts stay null."""
+    ship_package(docs.sparkSession)
+    held = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")), "held")
+    rows = held.select("row", F.col("doc")[id_col].alias("id"), F.col("doc")[text_col].cast("string").alias("text"))
+    cut = _passages(_shared(rows), least).groupBy("row").agg(F.array_sort(F.flatten(F.collect_list("cut"))).alias("cut"))
+    text = F.col("doc")[text_col].cast("string")
+    part = lambda at, n: F.substring(text, (at + 1).cast("int"), n.cast("int"))
+    kept = F.aggregate(
+        "cut",
+        F.struct(F.lit("").alias("t"), F.lit(0).cast("long").alias("at")),
+        lambda done, s: F.struct(F.concat(done["t"], part(done["at"], s["start"] - done["at"])).alias("t"), s["end"].alias("at")),
+        lambda done: F.concat(done["t"], part(done["at"], F.length(text))),
+    )
+    changed = F.when(F.col("cut").isNotNull(), kept).otherwise(text)
+    return held.join(cut, "row", "left").select(*[changed.alias(c) if c == text_col else F.col("doc")[c].alias(c) for c in docs.columns])
