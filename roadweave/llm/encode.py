@@ -8,6 +8,9 @@ pieces are found in memory. The ids equal those of encoding the text whole.
 ``byte``: byte-level BPE that keeps white space. It always cuts before a space
 between two visible characters, and around a line break between two of them.
 ``word``: BPE over words, white space dropped. It always cuts at ASCII white space.
+
+The string of a special token in a text becomes that token's id, as it does in the
+tokenizers library by default; with ``special=False`` it is ordinary text.
 """
 
 from __future__ import annotations
@@ -17,24 +20,25 @@ import re
 
 import numpy as np
 
-#: Pieces remembered in each of two generations; the older one goes when the newer is full.
-REMEMBERED = 600_000
+#: Bytes of pieces, their ids and the dictionary's own that a worker remembers in each of
+#: two generations; the older one goes when the newer is full. Tails and folded words have a quarter each.
+REMEMBERED, ENTRY_BYTES = 64 << 20, 210
 #: Words of letters only that are encoded in one call and split by their word marks.
 JOINED = 256
 _DOUBLE = re.compile(r"\s\s")
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 _TAIL = ".,;:!?"
 
-_encoders: dict[tuple[str, str], PieceEncoder] = {}
+_encoders: dict[tuple[str, str, bool], PieceEncoder] = {}
 
 
 class _Recent:
     """A dictionary of bounded size that keeps what is used."""
 
-    def __init__(self, most: int = REMEMBERED):
+    def __init__(self, most: int):
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.most = most
+        self.most = most // ENTRY_BYTES
 
     def missing(self, keys: set[str]) -> list[str]:
         """Those of ``keys`` that aren't held; the others are held in ``new`` afterwards."""
@@ -50,16 +54,19 @@ class _Recent:
 
 
 class PieceEncoder:
-    def __init__(self, path: str, kind: str):
+    def __init__(self, path: str, kind: str, special: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not special
+        strings = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
+        #: Texts with the string of an added token are encoded whole.
+        self.whole = re.compile("|".join(strings)) if strings else None
         size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         self.kind = kind
-        self.spaced, self.bare, self.lowered = _Recent(), _Recent(), _Recent()
+        self.spaced, self.bare, self.lowered = _Recent(REMEMBERED), _Recent(REMEMBERED // 4), _Recent(REMEMBERED // 4)
         marks = np.zeros(size, bool)
         for token, i in self.tokenizer.get_vocab().items():
             marks[i] = token.startswith("Ġ") if kind == "byte" else token.endswith("</w>")
@@ -118,7 +125,16 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text."""
-        return self._words(texts) if self.kind == "word" else self._bytes(texts)
+        run = self._words if self.kind == "word" else self._bytes
+        odd = [k for k, t in enumerate(texts) if self.whole.search(t)] if self.whole else []
+        if not odd:
+            return run(texts)
+        out, apart = [b""] * len(texts), set(odd)
+        rest = [k for k in range(len(texts)) if k not in apart]
+        for at, found in ((odd, self._ids([texts[k] for k in odd])), (rest, run([texts[k] for k in rest]))):
+            for k, raw in zip(at, found, strict=True):
+                out[k] = raw
+        return out
 
     def _words(self, texts: list[str]) -> list[bytes]:
         parts = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
@@ -148,8 +164,8 @@ class PieceEncoder:
         return out
 
 
-def encoder(path: str, kind: str) -> PieceEncoder:
+def encoder(path: str, kind: str, special: bool = True) -> PieceEncoder:
     """One encoder for each Python worker, kept from task to task."""
-    if (path, kind) not in _encoders:
-        _encoders[path, kind] = PieceEncoder(path, kind)
-    return _encoders[path, kind]
+    if (path, kind, special) not in _encoders:
+        _encoders[path, kind, special] = PieceEncoder(path, kind, special)
+    return _encoders[path, kind, special]
