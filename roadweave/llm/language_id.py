@@ -29,10 +29,15 @@ SAMPLE, LANDMARKS = 300, 16
 RIDGE = 1e-2
 #: Texts that are scored together.
 TOGETHER = 64
-_LETTER = re.compile(r"[^\W\d_]")
+_MAYBE_LETTER = re.compile(r"[^\W\d_]+")
 _WIDTH = PLACES * len(ORDERS)
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character of the text is a letter by Unicode; signs such as the superscript two aren't."""
+    return any(c.isalpha() for m in _MAYBE_LETTER.finditer(text) for c in m[0])
+
+
 def _lower() -> np.ndarray:
     table = np.arange(256, dtype=np.uint32)
     table[65:91] += 32
@@ -121,7 +126,8 @@ def identify(docs: DataFrame, train: DataFrame | None = None, id_col: str = "doc
     sources and ids take no part in a prediction. lang_pred is ``und`` with score
     0 if the text is null or has no letter, or if there was nothing to learn
     from; score is the winning share of the non-negative one-versus-rest outputs.
-    Repeated rows get equal results; an empty table gives none.
+    Repeated rows get equal results; an empty table gives none. Very long texts are
+    scored whole. Extra columns of ``docs``, whatever their names, take no part.
     """
     spark = docs.sparkSession
     ship_package(spark)
@@ -137,7 +143,7 @@ def identify(docs: DataFrame, train: DataFrame | None = None, id_col: str = "doc
             names, best = [], []
             for at in range(0, len(texts), TOGETHER):
                 some = texts.slice(at, TOGETHER)
-                letters = [bool(t is not None and _LETTER.search(t)) for t in some.to_pylist()]
+                letters = [t is not None and has_letter(t) for t in some.to_pylist()]
                 if m is None:
                     names += ["und"] * len(some)
                     best += [0.0] * len(some)
