@@ -53,6 +53,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def refuse_clash(docs: DataFrame, out: str) -> None:
+    if out.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"the table already has a column {out}; name another one")
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable on the Python workers of ``spark``."""
     import shutil

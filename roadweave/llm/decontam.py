@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, Words, blocks, code_points, ship_package
+from .common import ALNUM, Words, blocks, code_points, refuse_clash, ship_package
 
 #: Words of a window.
 WINDOW = 10
@@ -94,24 +94,26 @@ class FMIndex:
             rank = np.zeros(n, np.int64)
             rank[order] = np.cumsum(np.append(False, np.diff(key[order]) != 0))
             width *= 2
-        bwt = text[order - 1]
+        del rank
+        bwt = text[order - 1].astype(np.int32)
         top = int(text.max()) + 1
         self.n = n
         #: Ids smaller than each id in the text.
         self.smaller = np.append(0, np.cumsum(np.bincount(text, minlength=top)))
         self.levels = max(1, int(top - 1).bit_length())
-        self.bits, self.ones, self.zeros = [], [], []
+        #: Ones before each place of each level, and zeros of each level.
+        self.ones, self.zeros = [], []
         row = bwt
         for level in range(self.levels - 1, -1, -1):
             bit = (row >> level) & 1
-            ones = np.append(0, np.cumsum(bit))
-            self.bits.append(bit)
+            ones = np.zeros(n + 1, np.int32)
+            np.cumsum(bit, out=ones[1:])
             self.ones.append(ones)
             self.zeros.append(n - int(ones[-1]))
             row = np.concatenate([row[bit == 0], row[bit == 1]])
         self.bwt = bwt
         self.sampled = order % sample_every == 0
-        self.sample_rank = np.append(0, np.cumsum(self.sampled))
+        self.sample_rank = np.append(0, np.cumsum(self.sampled, dtype=np.int32))
         self.samples = order[self.sampled]
 
     def ranks(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -246,11 +248,15 @@ def annotate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item
     merged removal spans (code points, end exclusive).
 
     Null or empty text: no words, nothing found. Every row is treated for
-    itself, so repeated rows and ids give repeated results. An empty benchmark
+    itself, so repeated rows and ids give repeated results. A benchmark item without
+    an id or a text is left out, as no id could be reported. A very long text is
+    indexed whole. A column named ``out`` that ``docs`` already has is an error. An
+    empty table gives no rows, an empty benchmark
     finds nothing. A benchmark over ``BLOCK_OF_ITEMS`` is searched block by
     block and the findings are merged in place.
     """
     spark = docs.sparkSession
+    refuse_clash(docs, out)
     ship_package(spark)
     result, found = docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("text")), []
     for k, block in enumerate(item_blocks(benchmark, item_col, item_text_col) if benchmark is not None else []):
@@ -296,12 +302,16 @@ def _merged(found: list[Column]) -> Column:
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **names) -> DataFrame:
-    """``docs`` without the documents in which a window of the benchmark occurs."""
+    """``docs`` without the documents in which a window of the benchmark occurs.
+
+    Texts that are null or empty, and all if the benchmark is empty, stay; repeated
+    rows stay or go together.
+    """
     return annotate(docs, benchmark, out="__found", **names).where(F.col("__found.n_hit") == 0).drop("__found")
 
 
 def cut_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **names) -> DataFrame:
-    """``docs`` with the removal spans cut out of their texts."""
+    """``docs`` with the removal spans cut out of their texts; null stays null."""
     found = annotate(docs, benchmark, text_col=text_col, out="__found", **names)
     keep = F.aggregate(
         F.col("__found.spans"),
