@@ -1,16 +1,16 @@
 """Personal data: fixed patterns, and contexts learned from what they find.
 
 Everything is DataFrame expressions. The fixed patterns (email, ip, card, phone)
-give the seed entities. The words that stand before an entity are its lexical
-patterns; how often those words occur at all, over the whole corpus, says how
-surely they announce an identifier. On the graph between patterns and instances
-(identifier-like tokens) scores are passed for some rounds: a pattern is as
-sure as the share of its occurrences that stand before known identifiers, an
-instance as sure as its sure patterns together. Instances that end up sure are
-found identifiers of kind ``context``.
+give the seed entities. The words that stand before and after an entity are its
+lexical patterns; how often those words occur at all, over the whole corpus, says
+how surely they announce an identifier. On the graph between patterns and instances
+(identifier-like tokens) scores are passed until no instance becomes sure any more:
+a pattern is as sure as the share of its occurrences that stand beside known
+identifiers, an instance as sure as its sure patterns together, and what is sure
+stays so. Sure instances are found identifiers of kind ``context``.
 
 Occurrences are counted exactly, by 64-bit hash, and only for the patterns that
-stand before enough different instances; no other word or pair is shuffled.
+stand beside enough different instances; no other word or pair is shuffled.
 Patterns are whole words: a word glued to an entity, cut by the window or broken
 by the match before is none, as it isn't counted as a word of the corpus either.
 """
@@ -39,8 +39,8 @@ KINDS = ("email", "ip", "card", "phone", "context")
 CONTEXT = 48
 #: At most so many patterns are broadcast to count them; more are joined after their counts are shuffled.
 MOST_BROADCAST = 1_000_000
-#: Rounds over the graph; a pattern needs so many different known instances and such a share of its occurrences, an instance such a score.
-ROUNDS, LEAST_SUPPORT, LEAST_SHARE, LEAST_SCORE = 3, 5, 0.5, 0.8
+#: A pattern needs so many different known instances and such a share of its occurrences, an instance such a score.
+LEAST_SUPPORT, LEAST_SHARE, LEAST_SCORE = 5, 0.5, 0.8
 #: An instance has so many code points and digits.
 LEAST_LENGTH, LEAST_DIGITS = 6, 4
 
@@ -59,6 +59,10 @@ def _matches(text: Column, pattern: str, kind: int) -> Column:
                     F.length(F.get(t["gaps"], i)).alias("gap"),
                     h.alias("value"),
                     F.right(F.get(t["gaps"], i), F.lit(CONTEXT)).alias("left"),
+                    # the word at which the text is cut, or that is glued to the next match, is left out
+                    F.when(
+                        (i + 2 == F.size(t["gaps"])) & (F.length(F.get(t["gaps"], i + 1)) <= CONTEXT), F.get(t["gaps"], i + 1)
+                    ).otherwise(F.regexp_replace(F.left(F.get(t["gaps"], i + 1), F.lit(CONTEXT)), r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]++$", "")).alias("right"),
                 ),
             ),
         ),
@@ -81,7 +85,7 @@ def _holds(kind: Column, value: Column) -> Column:
 def candidates(text: Column) -> Column:
     """All matches of a text, before their places and validity are known."""
     text = F.coalesce(text, F.lit(""))
-    none = F.expr("cast(array() as array<struct<kind:int,at:int,gap:int,value:string,left:string>>)")
+    none = F.expr("cast(array() as array<struct<kind:int,at:int,gap:int,value:string,left:string,right:string>>)")
     maybe = lambda test, kind, pattern: F.when(test, _matches(text, pattern, kind)).otherwise(none)
     digit = text.rlike("[0-9]")
     return F.concat(
@@ -91,7 +95,7 @@ def candidates(text: Column) -> Column:
 
 
 def matches(found: DataFrame) -> DataFrame:
-    """(row, kind, start, end, value, left) of all matches that hold, given (row,
+    """(row, kind, start, end, value, left, right) of all matches that hold, given (row,
     found); kind 4 are identifier-like tokens that meet no match of the base kinds."""
     each = found.where(F.size("found") > 0).select("row", F.explode("found").alias("m")).select("row", "m.*")
     placed = each.withColumn("end", F.sum(F.col("gap") + F.length("value")).over(Window.partitionBy("row", "kind").orderBy("at")))
@@ -104,7 +108,7 @@ def matches(found: DataFrame) -> DataFrame:
     bare = F.regexp_replace(F.regexp_replace("value", r"^[\"'(\[<{.,;:!?]++", ""), r"(?<![\"')\]>}.,;:!?])[\"')\]>}.,;:!?]++$", "")
     placed = placed.withColumn("start", F.when(token, F.col("start") + lead).otherwise(F.col("start"))).withColumn("value", F.when(token, bare).otherwise(F.col("value")))
     placed = placed.withColumn("end", F.when(token, F.col("start") + F.length("value")).otherwise(F.col("end")))
-    held = placed.where(_holds(F.col("kind"), F.col("value"))).select("row", "kind", "start", "end", "value", "left")
+    held = placed.where(_holds(F.col("kind"), F.col("value"))).select("row", "kind", "start", "end", "value", "left", "right")
     order = Window.partitionBy("row").orderBy("start", "kind")
     base = F.col("kind") < 4
     before = F.max(F.when(base, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
@@ -114,63 +118,79 @@ def matches(found: DataFrame) -> DataFrame:
     return beside.where(base | clear).drop("before", "after")
 
 
-def _patterns(left: Column) -> Column:
-    """The last word and the last two words before an entity, as hashes."""
-    words = F.when(left.rlike(r"[\x20\x09-\x0D]$"), F.filter(F.split(F.lower(left), r"[\x20\x09-\x0D]+"), lambda w: w != "")).otherwise(F.expr("cast(array() as array<string>)"))
-    one, two = F.try_element_at(words, F.lit(-1)), F.try_element_at(words, F.lit(-2))
-    both = F.array(F.when(one.isNotNull(), _context(one)), F.when(two.isNotNull(), _context(two, one)))
-    return F.filter(both, lambda p: p.isNotNull())
+def _patterns(left: Column, right: Column) -> Column:
+    """The last word and the last two words before an entity, and the first ones
+    after it, as (context, after): the hash of the words, and their side."""
+    none = F.expr("cast(array() as array<string>)")
+    split = lambda text: F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    before = F.when(left.rlike(r"[\x20\x09-\x0D]$"), split(left)).otherwise(none)
+    after = F.when(right.rlike(r"^[\x20\x09-\x0D]"), split(right)).otherwise(none)
+    found = []
+    for words, ends, side in ((before, (-1, -2), False), (after, (1, 2), True)):
+        one, two = F.try_element_at(words, F.lit(ends[0])), F.try_element_at(words, F.lit(ends[1]))
+        both = (one, two) if side else (two, one)
+        found += [F.when(one.isNotNull(), F.struct(_context(one).alias("context"), F.lit(side).alias("after"))), F.when(two.isNotNull(), F.struct(_context(*both).alias("context"), F.lit(side).alias("after")))]
+    return F.filter(F.array(*found), lambda p: p.isNotNull())
 
 
 def _context(*words: Column) -> Column:
-    """A pattern's hash."""
+    """A context's hash."""
     return F.xxhash64(*words, F.lit(len(words)))
 
 
-def context_counts(docs: DataFrame, patterns: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
-    """(pattern, total): occurrences in all texts of the words and pairs of neighbours that are among ``patterns``, which are distinct."""
+def context_counts(docs: DataFrame, contexts: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """(context, total): occurrences in all texts of the words and pairs of neighbours that are among ``contexts``, which are distinct."""
     words = words_of(F.lower(normal(F.col("text"))))
     rows = docs.select(words.alias("words"))
     both = F.concat(F.transform("words", lambda w: _context(w)), F.zip_with("words", F.slice("words", 2, F.size("words") + 1), lambda a, b: F.when(b.isNotNull(), _context(a, b))))
-    each = rows.select(F.explode(both).alias("pattern")).where("pattern is not null")
+    each = rows.select(F.explode(both).alias("context")).where("context is not null")
     count = F.count("*").alias("total")
-    if patterns.count() <= most_broadcast:
-        return each.join(F.broadcast(patterns), "pattern", "left_semi").groupBy("pattern").agg(count)
-    return each.groupBy("pattern").agg(count).join(patterns, "pattern", "left_semi")
+    if contexts.count() <= most_broadcast:
+        return each.join(F.broadcast(contexts), "context", "left_semi").groupBy("context").agg(count)
+    return each.groupBy("context").agg(count).join(contexts, "context", "left_semi")
 
 
-def sure_instances(found: DataFrame, docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def sure_instances(found: DataFrame, docs: DataFrame) -> DataFrame:
     """(instance, score) of the identifier-like tokens that the graph makes sure."""
     seed = F.col("kind") < 4
-    edges = found.select(F.xxhash64("value").alias("instance"), seed.alias("seed"), F.explode(_patterns(F.col("left"))).alias("pattern"))
-    edges = materialize(edges.groupBy("pattern", "instance").agg(F.count("*").alias("n"), F.max("seed").alias("seed")), "edges")
-    patterns = materialize(edges.groupBy("pattern").agg(F.count("*").alias("instances")).where(F.col("instances") >= LEAST_SUPPORT).select("pattern"), "patterns")
-    total = materialize(context_counts(docs, patterns), "totals")
-    live = materialize(edges.join(total, "pattern"), "edges")  # only patterns with enough instances can become sure
-    sure = None
-    for _ in range(rounds):
+    key = ["context", "after"]
+    edges = found.select(F.xxhash64("value").alias("instance"), seed.alias("seed"), F.explode(_patterns(F.col("left"), F.col("right"))).alias("p")).select("instance", "seed", "p.*")
+    edges = materialize(edges.groupBy(*key, "instance").agg(F.count("*").alias("n"), F.max("seed").alias("seed")), "edges")
+    patterns = materialize(edges.groupBy(*key).agg(F.count("*").alias("instances")).where(F.col("instances") >= LEAST_SUPPORT).select(*key), "patterns")
+    total = materialize(context_counts(docs, patterns.select("context").distinct()), "totals")
+    # only patterns with enough instances can become sure
+    live = materialize(edges.join(patterns, key, "left_semi").join(total, "context"), "edges")
+    sure, before = None, 0
+    while True:
         if sure is None:
             scored = live.withColumn("s", F.col("seed").cast("double"))
         else:
             scored = live.join(sure, "instance", "left").withColumn("s", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("score", F.lit(0.0)))).drop("score")
-        known = scored.groupBy("pattern").agg((F.sum(F.col("n") * F.col("s")) / F.first("total")).alias("share"), F.count_if(F.col("s") >= LEAST_SCORE).alias("support"))
-        known = known.where((F.col("share") >= LEAST_SHARE) & (F.col("support") >= LEAST_SUPPORT)).select("pattern", F.least("share", F.lit(0.999)).alias("share"))
-        by_instance = live.where("not seed").join(known, "pattern").groupBy("instance").agg((1 - F.exp(F.sum(F.log1p(-F.col("share"))))).alias("score"))
-        sure = materialize(by_instance.where(F.col("score") >= LEAST_SCORE), "sure")
-    return sure
-
-
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
+        known = scored.groupBy(*key).agg((F.sum(F.col("n") * F.col("s")) / F.first("total")).alias("share"), F.count_if(F.col("s") >= LEAST_SCORE).alias("support"))
+        known = known.where((F.col("share") >= LEAST_SHARE) & (F.col("support") >= LEAST_SUPPORT)).select(*key, F.least("share", F.lit(0.999)).alias("share"))
+        by_instance = live.where("not seed").join(known, key).groupBy("instance").agg((1 - F.exp(F.sum(F.log1p(-F.col("share"))))).alias("score"))
+        now = by_instance.where(F.col("score") >= LEAST_SCORE)
+        if sure is not None:
+            now = now.unionByName(sure).groupBy("instance").agg(F.max("score").alias("score"))
+        sure = materialize(now, "sure")
+        n = sure.count()
+        if n == before:
+            return sure
+        before = n
+
+
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, base, spans) for every row of ``docs``: base spans and all spans as arrays of
     (kind, start, end), code points, end exclusive, by kind and start.
 
     Null or empty text: none. Every row is searched for itself, repeated rows and
-    ids too. An empty table gives no rows.
+    ids too, and very long texts whole. Extra columns of ``docs``, whatever their
+    names, take no part. An empty table gives no rows.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     held = materialize(rows.select("row", "id", candidates(F.col("text")).alias("found")), "candidates")
     found = materialize(matches(held.select("row", "found")), "found")
-    sure = sure_instances(found, rows, rounds)
+    sure = sure_instances(found, rows)
     extra = found.where("kind = 4").withColumn("instance", F.xxhash64("value")).join(sure, "instance").select("row", "kind", "start", "end")
     spans = found.where("kind < 4").select("row", "kind", "start", "end").unionByName(extra)
     by_row = spans.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("spans"))
