@@ -71,9 +71,9 @@ def in_polygon(x, y, points: Column) -> Column:
 
 
 def project(x, y, m: list[float]) -> tuple[Column, Column]:
-    """A point through a 3 x 3 homography, row by row."""
+    """A point through a 3 x 3 homography, row by row; a point at infinity stays as it is."""
     w = m[6] * c(x) + m[7] * c(y) + m[8]
-    return (m[0] * c(x) + m[1] * c(y) + m[2]) / w, (m[3] * c(x) + m[4] * c(y) + m[5]) / w
+    return F.when(w != 0, (m[0] * c(x) + m[1] * c(y) + m[2]) / w).otherwise(c(x)), F.when(w != 0, (m[3] * c(x) + m[4] * c(y) + m[5]) / w).otherwise(c(y))
 
 
 # Directions by eighth of a turn, clockwise from east on a screen.

@@ -119,3 +119,18 @@ def pixel_quality(width, height, sharp=0.5, contrast=0.5, bright=0.5, edge=0.5)
     aspect = F.when(ratio.between(1.5, 6.0), clip(1 - F.abs(ratio - 3.5) / 3.5, 0.2, 1)).otherwise(0.05)
     size = F.least(F.lit(1.0), c(width) * c(height) / 1500.0)
     return 0.25 * c(sharp) + 0.20 * c(contrast) + 0.20 * size + 0.15 * aspect + 0.10 * c(bright) + 0.10 * c(edge)
+
+
+def road_congestion(speed, limit, n, capacity, severity=0.0) -> Column:
+    """Congestion of a road by its own count and limit; ``severity`` (0 to 1) of what blocks it, if anything."""
+    return F.least(F.lit(1.0), 0.6 * F.greatest(F.lit(0.0), 1 - c(speed) / c(limit)) + 0.4 * c(n) / c(capacity) + 0.5 * c(severity))
+
+
+def four_levels(score) -> Column:
+    return F.when(c(score) < 0.25, "LOW").when(c(score) < 0.5, "MEDIUM").when(c(score) < 0.75, "HIGH").otherwise("SEVERE")
+
+
+def single_forecast_spread(value) -> Column:
+    """(lower, upper, std) of a forecast that stands alone: a tenth to either side."""
+    lower, upper = c(value) * 0.9, c(value) * 1.1
+    return F.struct(lower.alias("lower"), upper.alias("upper"), ((upper - lower) / 3.92).alias("std"))

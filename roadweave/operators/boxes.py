@@ -64,3 +64,14 @@ def first_crossings(points: DataFrame, lines: DataFrame, by: list[str], at: str)
     return hit.withColumn("way", way).withColumn("__k", k).where("__k = 1").drop("__k")
 
 
+
+
+def unclaimed(claims: DataFrame, frame: list[str], order: str, kind: str, threshold: float = 0.6) -> DataFrame:
+    """Claims without an earlier one of another kind in the frame that overlaps them by more than the threshold."""
+    before = claims.select(*frame, F.col(order).alias("__order"), F.col(kind).alias("__kind"), F.col("box").alias("__box"))
+    same = [claims[x] == before[x] for x in frame]
+    hit = (F.col("__order") < claims[order]) & (F.col("__kind") != claims[kind]) & (geo.iou(F.col("__box"), claims["box"]) > threshold)
+    both = same[0]
+    for x in same[1:]:
+        both = both & x
+    return claims.join(before, both & hit, "left_anti")

@@ -121,3 +121,9 @@ def upsert_edges(updates: DataFrame) -> DataFrame:
     """Multi-edges keyed by type and time (time 0 is one edge); the later write wins."""
     key = F.when(F.col("at") == 0, F.lit("0")).otherwise(F.concat_ws("@", "type", F.col("at").cast("string")))
     return updates.withColumn("key", key).groupBy("source", "target", "key").agg(F.max_by("value", "seq").alias("value"), F.count("*").alias("writes"))
+
+
+def symmetric(edges: DataFrame, n: str = "n", last: str = "l") -> DataFrame:
+    """Evidence of both directions on either: the larger count and the later struct ``last``."""
+    back = edges.where("source <> target").select(F.col("target").alias("source"), F.col("source").alias("target"), *[c for c in edges.columns if c not in ("source", "target")])
+    return edges.unionByName(back).groupBy("source", "target").agg(F.max(n).alias(n), F.max(last).alias(last))

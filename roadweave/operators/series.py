@@ -95,3 +95,22 @@ def as_of(left: DataFrame, right: DataFrame, by: list[str], at: str, value: str,
     last = F.last("__v", ignorenulls=True).over(Window.partitionBy(*by).orderBy(at, "__left").rowsBetween(Window.unboundedPreceding, 0))
     out = both.withColumn("__last", last).where("__left = 1")
     return out.withColumn(value, F.when(F.col(at) - F.col("__last.t") <= tolerance, F.col("__last.v"))).drop("__v", "__left", "__last")
+
+
+def windowed_speed(t0: Column, at0: Column, t: Column, at: Column, most: float = 200.0) -> Column:
+    """km/h between two places in metres, capped; null without time between them."""
+    return F.when(t > t0, traffic.half_up(F.least(F.lit(most), F.abs(at - at0) / (t - t0) * 3.6), 4))
+
+
+def blockages(points: DataFrame, by: str, node: str, order: list[str], at: str, speed: str = "speed", most_kmh: float = 3.6, least_points: int = 5, least_s: float = 30.0, least_stopped: int = 3) -> DataFrame:
+    """Stopped entities by the node of their last slow point: three and more block it."""
+    w = Window.partitionBy(by).orderBy(*order)
+    slow = F.col(speed) <= most_kmh
+    new = F.when(slow & ~F.coalesce(F.lag(slow).over(w), F.lit(False)), 1).otherwise(0)
+    runs = points.withColumn("__new", new).withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).where(slow)
+    each = runs.groupBy(by, "__run").agg(F.count("*").alias("points"), F.min(at).alias("since"), F.max(at).alias("until"), F.max_by(node, F.struct(*order)).alias(node))
+    held = each.where((F.col("points") >= least_points) & (F.col("until") - F.col("since") >= least_s))
+    own = held.groupBy(node).agg(F.countDistinct(by).alias("stopped"), F.min("since").alias("since"))
+    many = F.col("stopped") >= least_stopped
+    sure = traffic.half_up(F.least(F.lit(1.0), 0.75 + 0.05 * F.col("stopped")), 2)
+    return own.select(node, "stopped", "since", F.when(many, "BLOCKAGE").otherwise("STOPPED_VEHICLE").alias("type"), F.when(many, "CRITICAL").otherwise("HIGH").alias("severity"), sure.alias("confidence"))
