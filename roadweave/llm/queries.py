@@ -97,7 +97,6 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("found.items").cast("long").alias("n_items"),
         F.sha2(F.array_join("found.items", ","), 256).alias("items_sha256"),
         (F.col("found.n_hit") > 0).alias("contaminated"),
-        "found.spans",
     )
 
 
@@ -114,5 +113,24 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
 }
 
+#: Only A-Z are lower-cased by the contracts.
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 #: DuckDB SQL of those that SQL can express on whole tables.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_minhash_near_dedup": rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+ s AS (SELECT doc_id, CASE WHEN len(ws) >= 3 THEN list_distinct([ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] FOR i IN range(1, len(ws) - 1)]) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS shingles FROM w),
+ n AS (SELECT doc_id, len(shingles) AS n_shingles FROM s), u AS (SELECT doc_id, unnest(shingles) AS g FROM s),
+ b AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM u x JOIN u y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+ l AS (SELECT a, b FROM b JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 85 * (p.n_shingles + q.n_shingles - c)), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+ r(doc_id, root) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.root = e.a)
+ SELECT doc_id, CAST(n_shingles AS BIGINT) AS n_shingles, min(root) AS component_id, doc_id = min(root) AS kept FROM r JOIN n USING (doc_id) GROUP BY doc_id, n_shingles""",
+    "op7_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS html, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes FROM pages), f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY html) ELSE page_id END AS first FROM p)
+ SELECT page_id, payload_bytes, sha256(html) AS payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, nullif(first, page_id) AS refers_to FROM f""",
+    "op10_decontamination": rf"""WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents), i AS (SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark WHERE item_id IS NOT NULL),
+ v AS (SELECT DISTINCT item_id, least(10, len(ws)) AS n, array_to_string(ws[p : p + least(10, len(ws)) - 1], ' ') AS w FROM (SELECT *, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS p FROM i WHERE len(ws) > 0)),
+ k AS (SELECT DISTINCT n FROM v), x AS (SELECT doc_id, p, n, array_to_string(ws[p : p + n - 1], ' ') AS w FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS p FROM d, k WHERE len(ws) >= n)),
+ h AS (SELECT doc_id, p, x.n, item_id FROM x JOIN v ON v.n = x.n AND v.w = x.w), c AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM h) GROUP BY ALL),
+ o AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS items FROM h GROUP BY ALL)
+ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN c USING (doc_id) LEFT JOIN o USING (doc_id)""",
+}
