@@ -22,7 +22,7 @@ import numpy as np
 
 #: Bytes of pieces, their ids and the dictionary's own that a worker remembers in each of
 #: two generations; the older one goes when the newer is full. Tails and folded words have a quarter each.
-REMEMBERED, ENTRY_BYTES = 64 << 20, 210
+REMEMBERED, ENTRY_BYTES = 112 << 20, 210
 #: Words of letters only that are encoded in one call and split by their word marks.
 JOINED = 256
 _DOUBLE = re.compile(r"\s\s")
