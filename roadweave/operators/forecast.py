@@ -38,7 +38,7 @@ def chronological(samples: DataFrame, at: str, train: float = 0.70, validation:
     n_train = F.greatest(F.lit(1), F.floor(F.col("__n") * train))
     n_val = F.floor(F.col("__n") * validation)
     split = F.when(F.col("__i") <= n_train - purge, "train").when(F.col("__i") <= n_train, "purged").when(F.col("__i") <= n_train + n_val, "validation").otherwise("test")
-    return samples.join(F.broadcast(placed.select(at, split.alias("split"))), at).where("split <> 'purged'")
+    return samples.join(placed.select(at, split.alias("split")), at).where("split <> 'purged'")
 
 
 def scaler(samples: DataFrame, x: str = "x") -> DataFrame:

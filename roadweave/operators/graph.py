@@ -12,9 +12,14 @@ from pyspark.sql import functions as F
 
 def shared_path(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder ``spark.checkpoint.dir``; without one (local
-    tests), in the session's warehouse."""
+    tests), in the session's warehouse. On a cluster that may be a folder of one
+    machine, so there it is an error."""
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or (held.get() if held.isDefined() else spark.conf.get("spark.sql.warehouse.dir"))
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or (held.get() if held.isDefined() else None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 

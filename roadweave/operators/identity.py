@@ -25,7 +25,7 @@ def distances(pairs: DataFrame, topology: DataFrame, fallback: Column | None = N
     """Metres between two nodes: the edge's, else ``fallback`` (such as the
     haversine), else a default; 0 within one node."""
     edge = topology.select(F.col("source").alias("__s"), F.col("target").alias("__t"), F.col("distance_m").alias("__m"))
-    known = pairs.join(F.broadcast(edge), (F.col("source") == F.col("__s")) & (F.col("target") == F.col("__t")), "left")  # one row for each pair of nodes
+    known = pairs.join(edge, (F.col("source") == F.col("__s")) & (F.col("target") == F.col("__t")), "left")
     metres = F.coalesce(F.col("__m"), *([fallback] if fallback is not None else []), F.lit(default_m))
     return known.withColumn("distance_m", F.when(F.col("source") == F.col("target"), 0.0).otherwise(metres)).withColumn("has_edge", F.col("__m").isNotNull()).drop("__s", "__t", "__m")
 
@@ -81,6 +81,8 @@ def fuzzy_pairs(left: DataFrame, right: DataFrame, most: float = 2.0) -> DataFra
         short = 8 if side == "l" else 8
         return df.select("key").distinct().select(F.col("key").alias(side), folded.alias(f"{side}_folded"), F.explode(F.when(F.length(folded) >= 6, F.when(F.length(folded) < short, F.concat(grams, band)).otherwise(grams)).otherwise(band)).alias("block"))
 
+    if most > 2:
+        raise ValueError("keys are blocked for distances of up to 2; beyond that pairs would be lost")
     near = F.levenshtein("l_folded", "r_folded", 2) >= 0
     pairs = blocked(left, "l").join(blocked(right, "r"), "block").where(near).select("l", "r").distinct()
     return pairs.withColumn("distance", text.confusion_distance("l", "r")).where(F.col("distance") <= most)

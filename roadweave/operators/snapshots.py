@@ -114,4 +114,4 @@ def static_adjacency(edges: DataFrame) -> DataFrame:
     ends = edges.select(F.col("source").alias("node")).union(edges.select("target")).distinct()
     index = ends.withColumn("i", F.row_number().over(Window.orderBy("node")) - 1)  # the dimension of nodes, one row each
     total = edges.groupBy("source", "target").agg(F.sum(F.coalesce("transition_count", F.lit(1))).alias("weight"), F.bool_or("has_gap").alias("has_gap"))
-    return total.join(F.broadcast(index.withColumnsRenamed({"node": "source", "i": "source_index"})), "source").join(F.broadcast(index.withColumnsRenamed({"node": "target", "i": "target_index"})), "target")
+    return total.join(index.withColumnsRenamed({"node": "source", "i": "source_index"}), "source").join(index.withColumnsRenamed({"node": "target", "i": "target_index"}), "target")
