@@ -354,3 +354,30 @@ def k9_controller_comparison(spark, sf_dir):
     own = states(spark, sf_dir).groupBy(kind.alias("controller")).agg(F.count("*").alias("n"), delay.alias("d"), F.max("queue_length").alias("longest_queue"))
     fixed = own.where("controller = 'FIXED'").select(F.col("d").alias("f"))  # one row
     return own.join(F.broadcast(fixed), F.lit(True)).select("controller", "n", half_up("d", 3).alias("delay"), "longest_queue", half_up((F.col("f") - F.col("d")) / F.col("f") * 100.0, 2).alias("gain"))
+
+
+@query("""WITH s AS (SELECT user_id, event_id, value AS x, CAST(event_id % 100 AS DOUBLE) AS y, lag(value) OVER w AS x0, CAST(lag(event_id) OVER w % 100 AS DOUBLE) AS y0 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+ h AS (SELECT *, 'v' AS line FROM s WHERE (x0 - 50) * (x - 50) < 0 UNION ALL SELECT *, 'h' FROM s WHERE (y0 - 40.5) * (y - 40.5) < 0)
+ SELECT user_id, line, event_id, CASE WHEN abs(x - x0) >= abs(y - y0) THEN CASE WHEN x >= x0 THEN 'EAST' ELSE 'WEST' END WHEN y >= y0 THEN 'SOUTH' ELSE 'NORTH' END AS way FROM (SELECT *, row_number() OVER (PARTITION BY user_id, line ORDER BY event_id) AS k FROM h) WHERE k = 1""")
+def c11_e12_line_crossings(spark, sf_dir):
+    points = table(spark, sf_dir, "events").select("user_id", "event_id", F.col("value").alias("x"), (F.col("event_id") % 100).cast("double").alias("y"))
+    lines = spark.createDataFrame([("v", 50.0, -1.0, 50.0, 101.0), ("h", -1.0, 40.5, 100000.0, 40.5)], "line string, px double, py double, qx double, qy double")
+    return boxops.first_crossings(points, lines, ["user_id"], "event_id").select("user_id", "line", "event_id", "way")
+
+
+POLYGON = ((10.0, 10.0), (80.0, 20.5), (60.5, 90.0), (20.0, 70.5))
+INSIDE = " + ".join(f"CASE WHEN ({py} > y) <> ({qy} > y) AND x < {px} + ({qx - px}) * (y - {py}) / ({qy - py}) THEN 1 ELSE 0 END" for (px, py), (qx, qy) in zip(POLYGON, POLYGON[1:] + POLYGON[:1], strict=True))
+
+
+@query(f"SELECT l_orderkey, l_linenumber, ({INSIDE}) % 2 = 1 AS inside FROM (SELECT *, CAST(l_partkey % 100 AS DOUBLE) AS x, CAST(l_suppkey % 100 AS DOUBLE) AS y FROM lineitem)")
+def b7_points_in_polygon(spark, sf_dir):
+    corners = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in POLYGON])
+    inside = geo.in_polygon((F.col("l_partkey") % 100).cast("double"), (F.col("l_suppkey") % 100).cast("double"), corners)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", inside.alias("inside"))
+
+
+@query(f"WITH {OBS}, n AS (SELECT node_id, count(*) AS seen, count(DISTINCT entity_id) AS entities, max(t) AS last_seen FROM obs GROUP BY ALL) SELECT node_id, row_number() OVER (ORDER BY node_id) - 1 AS i, seen, entities, last_seen FROM n")
+def i9_node_features(spark, sf_dir):
+    """Features of the nodes with their places in the order of their ids; nodes are a short list."""
+    own = timed(spark, sf_dir).groupBy("node_id").agg(F.count("*").alias("seen"), F.countDistinct("entity_id").alias("entities"), F.max("t").alias("last_seen"))
+    return own.select("node_id", (F.row_number().over(Window.orderBy("node_id")) - 1).cast("long").alias("i"), "seen", "entities", "last_seen")
