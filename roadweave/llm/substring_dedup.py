@@ -1,10 +1,12 @@
 """Repeated passages by content-defined chunks.
 
 A gear hash rolls over the bytes of a text; a chunk ends where the hash of the
-last ``WINDOW`` bytes falls under a bound, so that the same passage is cut alike
-wherever it stands, and an insertion shifts no cut beyond its neighbourhood. An
-end too near to the last possible one is left out, a chunk without an end for
-long is cut at a fixed length. Digests of chunks are counted over the whole
+last ``WINDOW`` bytes is the least of all within ``REACH`` bytes on either side,
+so that the same passage is cut alike wherever it stands, and an insertion shifts
+no cut beyond its neighbourhood. Such ends are ``REACH`` + 1 bytes apart at least
+and seldom over three times as much, so a passage loses little before its first
+and after its last common end. A chunk without an end for long is cut at a fixed
+length. Digests of chunks are counted over the whole
 corpus, pre-aggregated; chunks that occur twice or more, in one text or in
 several, and stand side by side make up the repeated passages. Every passage is
 returned with its length; documents are reported for passages of ``LEAST_RUN``
@@ -24,10 +26,10 @@ from pyspark.sql.window import Window
 
 from .common import NOT_SPACE, Words, blocks, code_points, materialize, mix64, ship_package
 
-#: Bytes that the rolling hash sees, and one of how many positions ends a chunk.
-WINDOW, ONE_IN = 16, 14
-#: Fewest bytes between two possible ends, and most bytes of a chunk.
-LEAST_CHUNK, MOST_CHUNK = 8, 2048
+#: Bytes that the rolling hash sees, and to how many on either side an end's hash is compared.
+WINDOW, REACH = 8, 11
+#: Most bytes of a chunk.
+MOST_CHUNK = 2048
 #: Fewest code points of a passage for which a document is reported.
 LEAST_RUN = 110
 #: A chunk's length is held in so many bits beside its start.
@@ -46,19 +48,28 @@ def gear_hashes(data: np.ndarray) -> np.ndarray:
     return h
 
 
+def _least(h: np.ndarray, width: int) -> np.ndarray:
+    """The least of the last ``width`` values at each position (fewer at the start)."""
+    low, done = h.copy(), 1
+    while done < width:
+        step = min(done, width - done)
+        low[step:] = np.minimum(low[step:], low[:-step])
+        done += step
+    return low
+
+
 def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Ends of chunks (exclusive) of consecutive texts, each text's end among them."""
     n = len(data)
-    # the bits that only the last WINDOW bytes reach
-    low = gear_hashes(data) & np.uint32((1 << WINDOW) - 1)
-    ends = np.flatnonzero(low < (1 << WINDOW) // ONE_IN) + 1
-    ends = ends[ends < n]
-    ends = ends[(data[ends] & 0xC0) != 0x80]
+    h = gear_hashes(data)
+    h[:-1][(data[1:] & 0xC0) == 0x80] = np.iinfo(h.dtype).max  # no end inside a code point
+    low = _least(h, REACH)
+    inner = h[REACH : n - REACH]
+    ends = np.flatnonzero((inner < low[REACH - 1 : n - REACH - 1]) & (inner <= low[2 * REACH :])) + REACH + 1
     text = np.searchsorted(offsets, ends - 1, side="right") - 1
-    ends = ends[ends - offsets[text] >= WINDOW]  # the window lies in one text
-    apart = np.ones(len(ends), bool)
-    apart[1:] = np.diff(ends) >= LEAST_CHUNK
-    ends = np.union1d(ends[apart], offsets[1:])
+    # all that was compared lies in one text
+    ends = ends[(ends - offsets[text] >= WINDOW + REACH) & (ends + REACH <= offsets[text + 1])]
+    ends = np.union1d(ends, offsets[1:])
     ends = ends[ends > 0]
     starts = np.append(0, ends[:-1])
     long = np.flatnonzero(ends - starts > MOST_CHUNK)
