@@ -104,6 +104,12 @@ def timed_paths(edges: DataFrame, profile: DataFrame, origins: DataFrame, rounds
     return best
 
 
+def in_out(transitions: DataFrame) -> DataFrame:
+    """(node_id, n_in, n_out) of every node that transitions touch, in one aggregation."""
+    ends = F.explode(F.array(F.struct(F.col("target").alias("node_id"), F.lit(1).alias("i"), F.lit(0).alias("o")), F.struct(F.col("source").alias("node_id"), F.lit(0).alias("i"), F.lit(1).alias("o"))))
+    return transitions.select(ends.alias("e")).groupBy("e.node_id").agg(F.sum("e.i").alias("n_in"), F.sum("e.o").alias("n_out"))
+
+
 def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
     """(node, component) of (a, b) links; the least node names a component. Fails if ``rounds`` is given and doesn't do."""
     once = written(links.select("a", "b"), "links")

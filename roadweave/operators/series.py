@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -63,13 +65,21 @@ def extrapolated(box: Column, vx, vy, seconds) -> Column:
 
 
 def smoothed(points: DataFrame, by: list[str], at: str, value: str, a: float = 0.7) -> DataFrame:
-    """Exponential moving average up to each row."""
+    """Exponential moving average up to each row. Rows so far back that a double
+    no longer holds their weight are left out, so a frame is bounded."""
     a = min(1.0, max(0.1, a))
-    w = Window.partitionBy(*by).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    back = math.ceil(math.log(1e-18) / math.log(1 - a)) if a < 1 else 1
+    w = Window.partitionBy(*by).orderBy(at).rowsBetween(-back, 0)
     have = F.collect_list(value).over(w)
     return points.withColumn("smoothed", F.aggregate(F.slice(have, 2, F.size(have) + 1), F.element_at(have, 1).cast("double"), lambda s, v: F.lit(a) * v + F.lit(1 - a) * s))
 
 
+def distinct_in_order(rows: DataFrame, by: list[str], value: str, order: list[str]) -> DataFrame:
+    """The distinct values of each group by first occurrence; only those are collected."""
+    first = rows.groupBy(*by, value).agg(F.min(F.struct(*order)).alias("__first"))
+    return first.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("__first", value))), lambda s: s[value]).alias(value))
+
+
 def repeated_frames(obs: DataFrame) -> DataFrame:
     """The n-th repeat of a variant in a frame becomes a frame of its own; then the
     newest 20 effective frames of a track stay."""

@@ -1,8 +1,8 @@
 """Queries over the given tables, with their SQL."""
 
-from . import identity_queries, lookup_queries, model_queries, stream_queries, traffic_queries
+from . import expression_queries, identity_queries, lookup_queries, model_queries, stream_queries, traffic_queries
 
-MODULES = (traffic_queries, model_queries, identity_queries, lookup_queries, stream_queries)
+MODULES = (traffic_queries, model_queries, identity_queries, lookup_queries, expression_queries, stream_queries)
 
 
 def all_queries() -> dict:

@@ -44,3 +44,17 @@ def l12_stream_transfers(spark, sf_dir):
 @query(f"""WITH {OBS}, o AS (SELECT *, row_number() OVER w AS hits, t - lag(t) OVER w AS gap FROM obs WINDOW w AS (PARTITION BY entity_id ORDER BY ts, event_id)) SELECT entity_id, event_id, CASE WHEN hits = 1 THEN 'NEW' WHEN hits < 3 THEN 'TENTATIVE' WHEN gap > 43200 THEN 'REACTIVATED' ELSE 'CONFIRMED' END AS state, hits FROM o""")
 def l4_stream_tracks(spark, sf_dir):
     return flows.drained(flows.tracks(flows.observations(spark, sf_dir)), "append", "tracks")
+
+
+@query(f"""WITH {OBS}, j AS (SELECT entity_id, sum(CASE WHEN ts - before > INTERVAL 12 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY entity_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS seq, t FROM
+ (SELECT *, lag(ts) OVER (PARTITION BY entity_id ORDER BY ts, event_id) AS before FROM obs)) SELECT entity_id, min(t) AS since, count(*) AS legs FROM j GROUP BY entity_id, seq""")
+def l8_stream_sessions(spark, sf_dir):
+    out = flows.journeys(flows.observations(spark, sf_dir), "12 hours")
+    return flows.drained(out.select("entity_id", F.unix_seconds("session_window.start").alias("since"), "legs"), "complete", "sessions")
+
+
+@query(f"WITH {OBS} SELECT t // 3600 * 3600 AS window_start, node_id, count(DISTINCT entity_id) AS entities FROM obs GROUP BY ALL")
+def l13_stream_distinct(spark, sf_dir):
+    out = flows.distinct_entities(flows.observations(spark, sf_dir), "1 hour", ["node_id"])
+    each = flows.drained(out.select(F.unix_seconds("window.start").alias("window_start"), "node_id", "entity_id"), "append", "entities")
+    return each.groupBy("window_start", "node_id").agg(F.count("*").alias("entities"))

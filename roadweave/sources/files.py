@@ -62,6 +62,19 @@ def detector_states(rows: DataFrame, limit: float = 65.0) -> DataFrame:
     return rows.select("step", "sensor", half_up(clean("flow"), 2).alias("flow"), half_up(clean("occupancy") * 100, 2).alias("density"), half_up(speed, 2).alias("speed"), half_up(congestion, 2).alias("congestion"))
 
 
+def matrix_snapshots(rows: DataFrame, edges: DataFrame, hours: float) -> DataFrame:
+    """A long matrix (step, node, speed, flow, count) with a row for each edge (source, target,
+    w in metres) that leaves the node, and one without where none does.
+
+    NaN and negative values are missing; a missing count is that of the flow over
+    ``hours``; an edge has a travel time where its node moves at over 5 km/h."""
+    clean = lambda c: half_up(F.when(F.isnan(c) | (F.col(c) < 0), None).otherwise(F.col(c)), 2).alias(c)
+    own = rows.select("step", "node", clean("speed"), clean("flow"), "count")
+    own = own.withColumn("count", F.coalesce("count", F.floor(F.col("flow") * hours + 0.5)))
+    moving = F.when(F.col("speed") > 5, half_up(F.col("w") / (F.col("speed") / 3.6), 4))
+    return own.join(edges, own["node"] == edges["source"], "left").select("step", "node", "target", "speed", "flow", "count", moving.alias("travel_time"))
+
+
 def availability(df: DataFrame, columns: list[str]) -> DataFrame:
     """Share of values that are present, a row for each column."""
     one = df.agg(*[F.avg(F.col(c).isNotNull().cast("double")).alias(c) for c in columns])
@@ -70,7 +83,7 @@ def availability(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def aligned(df: DataFrame, cameras: DataFrame, key: str = "camera_id") -> DataFrame:
     """Event times moved by each camera's clock offset in seconds (0 where unknown)."""
-    return df.join(cameras.select(key, "offset_s"), key, "left").withColumn("ts", F.timestamp_seconds(F.unix_micros("ts") / 1e6 + F.coalesce("offset_s", F.lit(0.0)))).drop("offset_s")
+    return df.join(cameras.select(key, "offset_s"), key, "left").withColumn("ts", F.timestamp_micros(F.unix_micros("ts") + F.round(F.coalesce("offset_s", F.lit(0.0)) * 1e6).cast("long"))).drop("offset_s")
 
 
 def sampled_frames(df: DataFrame, every: int, fps: float | Column) -> DataFrame:

@@ -34,6 +34,12 @@ def journeys(stream: DataFrame, timeout: str, late: str = "1 hour") -> DataFrame
     return stream.withWatermark("ts", late).groupBy(F.session_window("ts", timeout), "entity_id").agg(F.count("*").alias("legs"))
 
 
+def distinct_entities(stream: DataFrame, width: str, keys: list[str], late: str = "1 hour") -> DataFrame:
+    """Each entity once for every window and key, to be counted exactly downstream. State
+    is dealt by entity, so that no window's set lies in one place, and goes with the watermark."""
+    return stream.withWatermark("ts", late).withColumn("window", F.window("ts", width)).dropDuplicates(["window", *keys, "entity_id"])
+
+
 def transfers(left: DataFrame, right: DataFrame, most: str, late: str = "1 hour") -> DataFrame:
     """Pairs of an entity's sightings at two nodes, the second at most so much later."""
     a = left.withWatermark("ts", late).select(F.col("entity_id").alias("who"), F.col("event_id").alias("before"), F.col("ts").alias("t0"))
@@ -70,7 +76,7 @@ def tracks(stream: DataFrame) -> DataFrame:
 
 def drained(stream: DataFrame, mode: str, label: str, keys: list[str] | None = None) -> DataFrame:
     """Run a stream over all that is there into a table of the shared folder. In
-    ``update`` mode the newest row of each key is kept."""
+    ``update`` mode the newest row of each key is kept, in ``complete`` mode the last batch."""
     spark = stream.sparkSession
     path = shared_path(spark, label)
 
@@ -82,6 +88,8 @@ def drained(stream: DataFrame, mode: str, label: str, keys: list[str] | None = N
     if not q.lastProgress and not spark.read.option("recursiveFileLookup", "true").schema(stream.schema).parquet(f"{path}/*").take(1):
         return spark.createDataFrame([], stream.schema)
     rows = spark.read.parquet(f"{path}/rows").drop("batch")
+    if mode == "complete":
+        rows = rows.where(F.col("__batch") == rows.agg(F.max("__batch")).first()[0])
     if mode != "update":
         return rows.drop("__batch")
     values = F.struct(*[c for c in rows.columns if c not in (keys or []) and c != "__batch"])
