@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from ..streaming import flows
 from .tables import OBS
 
+#: Where the watermark stands once all is read, in milliseconds.
+MARK = "(SELECT max(epoch_us(ts)) // 1000 - 3600000 FROM events)"
+
 QUERIES = {}
 SQL = {}
 
@@ -41,7 +44,9 @@ def l12_stream_transfers(spark, sf_dir):
     return flows.drained(flows.transfers(a, b, "6 hours"), "append", "transfers")
 
 
-@query(f"""WITH {OBS}, o AS (SELECT *, row_number() OVER w AS hits, t - lag(t) OVER w AS gap FROM obs WINDOW w AS (PARTITION BY entity_id ORDER BY ts, event_id)) SELECT entity_id, event_id, CASE WHEN hits = 1 THEN 'NEW' WHEN hits < 3 THEN 'TENTATIVE' WHEN gap > 43200 THEN 'REACTIVATED' ELSE 'CONFIRMED' END AS state, hits FROM o""")
+@query(f"""WITH {OBS}, g AS (SELECT *, t - lag(t) OVER w AS gap, lead(t) OVER w - t AS next FROM obs WINDOW w AS (PARTITION BY entity_id ORDER BY ts, event_id)), s AS (SELECT *, count(CASE WHEN gap > 259200 THEN 1 END) OVER (PARTITION BY entity_id ORDER BY ts, event_id) AS life FROM g), o AS (SELECT *, row_number() OVER (PARTITION BY entity_id, life ORDER BY ts, event_id) AS hits FROM s)
+ SELECT entity_id, event_id, CASE WHEN hits = 1 THEN 'NEW' WHEN hits < 3 THEN 'TENTATIVE' WHEN gap > 43200 THEN 'REACTIVATED' ELSE 'CONFIRMED' END AS state, hits FROM o UNION ALL
+ SELECT entity_id, NULL, 'REMOVED', hits FROM o WHERE next > 259200 OR (next IS NULL AND (t + 259201) * 1000 < {MARK})""")
 def l4_stream_tracks(spark, sf_dir):
     return flows.drained(flows.tracks(flows.observations(spark, sf_dir)), "append", "tracks")
 
@@ -58,3 +63,33 @@ def l13_stream_distinct(spark, sf_dir):
     out = flows.distinct_entities(flows.observations(spark, sf_dir), "1 hour", ["node_id"])
     each = flows.drained(out.select(F.unix_seconds("window.start").alias("window_start"), "node_id", "entity_id"), "append", "entities")
     return each.groupBy("window_start", "node_id").agg(F.count("*").alias("entities"))
+
+
+@query(f"""WITH d AS (SELECT DISTINCT user_id AS entity_id, event_type AS node_id, epoch_us(ts) // 86400000000 AS step FROM events), g AS (SELECT *, step - row_number() OVER w AS run FROM d WINDOW w AS (PARTITION BY entity_id, node_id ORDER BY step)),
+ h AS (SELECT *, row_number() OVER (PARTITION BY entity_id, node_id, run ORDER BY step) AS k, floor(least(1.0, 0.45 + 0.05 * row_number() OVER (PARTITION BY entity_id, node_id, run ORDER BY step)) * 10000.0 + 0.5) / 10000.0 AS confidence, lead(step) OVER w AS later FROM g WINDOW w AS (PARTITION BY entity_id, node_id ORDER BY step))
+ SELECT entity_id, node_id, step, CASE WHEN k = 1 THEN 'OPENED' ELSE 'REINFORCED' END AS status, confidence FROM h UNION ALL
+ SELECT entity_id, node_id, step + 1, 'RESOLVED', confidence FROM h WHERE later > step + 1 OR (later IS NULL AND (step + 2) * 86400000 < {MARK})""")
+def l9_stream_incidents(spark, sf_dir):
+    return flows.drained(flows.incidents(flows.observations(spark, sf_dir), 86400), "append", "incidents")
+
+
+@query(f"""WITH {OBS}, o AS (SELECT entity_id, t, lag(t) OVER w AS before, lead(t) OVER w AS later FROM obs WINDOW w AS (PARTITION BY entity_id ORDER BY ts, event_id)) SELECT entity_id, t AS at, 'LIVE' AS status FROM o WHERE before IS NULL OR t - before > 43200 UNION ALL
+ SELECT entity_id, t + 43200, 'STALE' FROM o WHERE later - t > 43200 OR (later IS NULL AND (t + 43201) * 1000 < {MARK})""")
+def l11_stream_liveness(spark, sf_dir):
+    return flows.drained(flows.liveness(flows.observations(spark, sf_dir), 43200), "append", "liveness")
+
+
+@query("""WITH RECURSIVE o AS (SELECT user_id AS entity_id, event_id, epoch_us(ts) // 1000000 AS t, value AS size, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+ r(entity_id, k, event_id, reason, tries, frame, last, sure) AS (SELECT DISTINCT entity_id, 0::BIGINT, NULL::BIGINT, '', 0::BIGINT, 0::BIGINT, 0::BIGINT, false FROM o UNION ALL
+ SELECT entity_id, k, event_id, reason, CASE WHEN reason IN ('NEW', 'DUE') THEN tries + 1 ELSE tries END, CASE WHEN reason IN ('NEW', 'DUE') THEN t // 3600 ELSE frame END, CASE WHEN reason IN ('NEW', 'DUE') THEN t ELSE last END, sure OR (reason IN ('NEW', 'DUE') AND size >= 60) FROM
+ (SELECT entity_id, k, event_id, t, size, tries, frame, last, sure, CASE WHEN coalesce(size, 0) < 10 THEN 'TOO_SMALL' WHEN tries = 0 THEN 'NEW' WHEN sure AND t - last < 43200 THEN 'CONFIRMED' WHEN tries >= 10 AND (sure OR size < 40) THEN 'SPENT' WHEN t // 3600 - frame < 5 THEN 'TOO_SOON' ELSE 'DUE' END AS reason FROM (SELECT r.entity_id AS who, r.k AS k0, CASE WHEN fresh THEN 0 ELSE tries END AS tries, CASE WHEN fresh THEN 0 ELSE frame END AS frame, CASE WHEN fresh THEN 0 ELSE last END AS last, sure AND NOT fresh AS sure, o.* FROM (SELECT r.*, n.t - r.last > 2592000 AS fresh FROM r JOIN o n ON n.entity_id IS NOT DISTINCT FROM r.entity_id AND n.k = r.k + 1) r JOIN o ON o.entity_id IS NOT DISTINCT FROM r.entity_id AND o.k = r.k + 1)))
+ SELECT entity_id, event_id, reason IN ('NEW', 'DUE') AS read, reason FROM r WHERE k > 0""")
+def l10_stream_throttle(spark, sf_dir):
+    return flows.drained(flows.throttled(flows.observations(spark, sf_dir)), "append", "throttle")
+
+
+@query("""WITH g AS (SELECT *, epoch_us(ts) // 1000000 - lag(epoch_us(ts) // 1000000) OVER (PARTITION BY user_id ORDER BY ts, event_id) > 2592000 AS far FROM events), s AS (SELECT *, count(CASE WHEN far THEN 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS life FROM g)
+ SELECT user_id AS entity_id, event_id, count(*) OVER w AS n, first_value(value) OVER w AS oldest, min(value) OVER w AS least, max(value) OVER w AS most FROM s WINDOW w AS (PARTITION BY user_id, life ORDER BY ts, event_id ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)""")
+def l14_stream_history(spark, sf_dir):
+    rows = flows.drained(flows.recent(flows.observations(spark, sf_dir)), "append", "history")
+    return rows.select("entity_id", "event_id", F.size("history").cast("long").alias("n"), F.element_at("history", 1).alias("oldest"), F.array_min("history").alias("least"), F.array_max("history").alias("most"))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -48,30 +49,140 @@ def transfers(left: DataFrame, right: DataFrame, most: str, late: str = "1 hour"
     return a.join(b, near).select("entity_id", "before", "after")
 
 
-TRACK = "entity_id long, event_id long, state string, hits long"
+def keyed(stream: DataFrame, keys: list[str], start: tuple, step: Callable, expires: Callable, out: str, state: str, ended: Callable | None = None, late: str = "1 hour") -> DataFrame:
+    """What ``step(state, row) -> (state, rows)`` makes of each key's rows in order of time,
+    the state being kept between micro-batches.
+
+    ``expires(state)`` is the last second of event time in which a key is still held. Past it,
+    by a row of its own or by the watermark, ``ended(state)`` names the rows of that moment and
+    the key starts anew, so results don't depend on how rows fall into batches. Rows later than the watermark are
+    dropped; others that come after a later row of their key's earlier batch are taken as they come.
+    A row has the stream's columns and ``us``, its microseconds. Rows out begin with the keys."""
+    close = ended or (lambda now: [])
+    names = [field.split()[0] for field in out.replace("<", " ").split(", ")]
+
+    def follow(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        now = tuple(held.get) if held.exists else start
+        if held.hasTimedOut:
+            made = close(now)
+            held.remove()
+        else:
+            made = []
+            rows = pd.concat(list(batches)).sort_values(["us", "event_id"])
+            for row in rows.itertuples(index=False):
+                if now != start and row.us // 1_000_000 > expires(now):
+                    made += close(now)
+                    now = start
+                now, new = step(now, row)
+                made += new
+            if now == start:
+                held.remove()
+            else:
+                held.update(now)
+                held.setTimeoutTimestamp(max((expires(now) + 1) * 1000, held.getCurrentWatermarkMs() + 1))
+        if made:
+            yield pd.DataFrame([(*key, *row) for row in made], columns=names)
+
+    timed = stream.withWatermark("ts", late).withColumn("us", F.unix_micros("ts"))
+    return timed.groupBy(*keys).applyInPandasWithState(follow, out, state, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def tracks(stream: DataFrame, lost_s: int = 43200, forget_s: int = 3 * 86400, late: str = "1 hour") -> DataFrame:
+    """The state of each entity's track at every hit: NEW, then TENTATIVE, from the third
+    hit on CONFIRMED; REACTIVATED after a pause of over ``lost_s``, REMOVED after one of over ``forget_s``."""
+
+    def step(now: tuple, row) -> tuple:
+        hits, last = now[0] + 1, now[1]
+        at = row.us // 1_000_000
+        name = "NEW" if hits == 1 else "TENTATIVE" if hits < 3 else "REACTIVATED" if at - last > lost_s else "CONFIRMED"
+        return (hits, max(last, at)), [(row.event_id, name, hits)]
+
+    out = "entity_id long, event_id long, state string, hits long"
+    return keyed(stream, ["entity_id"], (0, 0), step, lambda now: now[1] + forget_s, out, "hits long, last long", lambda now: [(None, "REMOVED", now[0])], late)
+
+
+def incidents(stream: DataFrame, step_s: int, first: float = 0.5, late: str = "1 hour") -> DataFrame:
+    """Incidents of an entity at a node: OPENED, REINFORCED by 0.05 in each next step,
+    RESOLVED in the first step without a sighting, known by a later one or by the watermark."""
+
+    def step(now: tuple, row) -> tuple:
+        last, confidence = now
+        at = row.us // 1_000_000 // step_s
+        if last is None:
+            return (at, first), [(at, "OPENED", first)]
+        if at <= last:
+            return now, []
+        confidence = min(1.0, confidence + 0.05)
+        return (at, confidence), [(at, "REINFORCED", round(confidence, 4))]
+
+    out = "entity_id long, node_id string, step long, status string, confidence double"
+    return keyed(stream, ["entity_id", "node_id"], (None, first), step, lambda now: (now[0] + 2) * step_s - 1, out, "last long, confidence double", lambda now: [(now[0] + 1, "RESOLVED", round(now[1], 4))], late)
+
+
+def liveness(stream: DataFrame, silence_s: int, late: str = "1 hour") -> DataFrame:
+    """When a source became LIVE and, after a silence, STALE."""
+
+    def step(now: tuple, row) -> tuple:
+        at = row.us // 1_000_000
+        return ((at,), [(at, "LIVE")]) if now[0] is None else ((max(now[0], at),), [])
+
+    out = "entity_id long, at long, status string"
+    return keyed(stream, ["entity_id"], (None,), step, lambda now: now[0] + silence_s, out, "last long", lambda now: [(now[0] + silence_s, "STALE")], late)
+
+
+@dataclass(frozen=True)
+class Attempts:
+    """When a costly reading of a sighting is tried."""
+
+    least_size: float = 10.0
+    retry_size: float = 40.0
+    sure_size: float = 60.0
+    most: int = 10
+    frame_s: int = 3600
+    every_frames: int = 5
+    cache_s: int = 43200
+    forget_s: int = 30 * 86400
+
+
+def throttled(stream: DataFrame, rules: Attempts = Attempts(), late: str = "1 hour") -> DataFrame:
+    """Each sighting with whether it is read, and why. ``speed`` stands for its size; a
+    reading of ``sure_size`` confirms the key, and then it is left alone for ``cache_s``."""
+
+    def why(now: tuple, size: float, at: int) -> str:
+        tries, frame, last, sure = now
+        if not size >= rules.least_size:
+            return "TOO_SMALL"
+        if tries == 0:
+            return "NEW"
+        if sure and at - last < rules.cache_s:
+            return "CONFIRMED"
+        if tries >= rules.most and (sure or size < rules.retry_size):
+            return "SPENT"
+        return "TOO_SOON" if at // rules.frame_s - frame < rules.every_frames else "DUE"
+
+    def step(now: tuple, row) -> tuple:
+        at = row.us // 1_000_000
+        size = float("nan") if row.speed is None else float(row.speed)
+        reason = why(now, size, at)
+        read = reason in ("NEW", "DUE")
+        if read:
+            now = (now[0] + 1, at // rules.frame_s, at, bool(now[3] or size >= rules.sure_size))
+        return now, [(row.event_id, read, reason)]
+
+    out = "entity_id long, event_id long, read boolean, reason string"
+    return keyed(stream, ["entity_id"], (0, 0, 0, False), step, lambda now: now[2] + rules.forget_s, out, "tries long, frame long, last long, sure boolean", None, late)
+
+
+def recent(stream: DataFrame, steps: int = 60, forget_s: int = 30 * 86400, late: str = "1 hour") -> DataFrame:
+    """At each sighting, the values that a model sees: the last ``steps`` of its key, oldest first."""
+
+    def step(now: tuple, row) -> tuple:
+        value = None if row.speed is None or row.speed != row.speed else float(row.speed)
+        kept = [*now[1], value][-steps:]
+        return (max(now[0], row.us // 1_000_000), kept), [(row.event_id, kept)]
 
-
-def tracks(stream: DataFrame) -> DataFrame:
-    """The state of each entity's track at every hit, kept between micro-batches."""
-
-    def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        """NEW, then TENTATIVE, from the third hit on CONFIRMED; after a pause REACTIVATED."""
-        if state.hasTimedOut:
-            state.remove()
-            return
-        hits, last = state.get if state.exists else (0, None)
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        out = []
-        for event, ts in zip(rows["event_id"], rows["ts"], strict=True):
-            t = ts.timestamp()
-            hits += 1
-            name = "NEW" if hits == 1 else "TENTATIVE" if hits < 3 else "REACTIVATED" if last is not None and t - last > 43200 else "CONFIRMED"
-            out.append((key[0], event, name, hits))
-            last = t
-        state.update((hits, last))
-        yield pd.DataFrame(out, columns=["entity_id", "event_id", "state", "hits"])
-
-    return stream.groupBy("entity_id").applyInPandasWithState(follow, TRACK, "hits long, last double", "append", GroupStateTimeout.NoTimeout)
+    out = "entity_id long, event_id long, history array<double>"
+    return keyed(stream, ["entity_id"], (0, []), step, lambda now: now[0] + forget_s, out, "last long, kept array<double>", None, late)
 
 
 def drained(stream: DataFrame, mode: str, label: str, keys: list[str] | None = None) -> DataFrame:
