@@ -9,6 +9,9 @@ from itertools import count
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import traffic
+from ..functions.traffic import half_up
+
 
 def shared_path(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder ``spark.checkpoint.dir``; without one (local
@@ -61,20 +64,21 @@ def _rounds(most: int | None) -> Iterator[int]:
         yield n
 
 
-def shortest_paths(edges: DataFrame, origins: DataFrame, goals: DataFrame | None = None, rounds: int | None = None) -> DataFrame:
+def shortest_paths(edges: DataFrame, origins: DataFrame, goals: DataFrame | None = None, rounds: int | None = None, sums: tuple[str, ...] = ("metres",)) -> DataFrame:
     """(origin, node, cost, path, metres) of the cheapest path to every node that is
-    reached, or to the goals only. ``edges``: source, target, cost, metres.
+    reached, or to the goals only. ``edges``: source, target, cost and the columns
+    ``sums`` (metres) that are added up along a path.
 
     Each round relaxes the edges that leave what the round before improved; it
     ends when nothing improves, and fails if ``rounds`` is given and doesn't do. Equal costs: the path that comes first."""
-    best = written(origins.select(F.col("node").alias("origin"), "node", F.lit(0.0).alias("cost"), F.array("node").alias("path"), F.lit(0.0).alias("metres")), "paths")
+    best = written(origins.select(F.col("node").alias("origin"), "node", F.lit(0.0).alias("cost"), F.array("node").alias("path"), *[F.lit(0.0).alias(x) for x in sums]), "paths")
     frontier = best
-    e = edges.select("source", F.col("target").alias("to"), F.col("cost").alias("c"), F.col("metres").alias("m"))
+    e = edges.select("source", F.col("target").alias("to"), F.col("cost").alias("c"), *[F.col(x).alias(f"__{x}") for x in sums])
     for _ in _rounds(rounds):
         steps = frontier.join(e, frontier["node"] == e["source"]).where(~F.array_contains("path", F.col("to")))
-        new = steps.select("origin", F.col("to").alias("node"), (F.col("cost") + F.col("c")).alias("cost"), F.concat("path", F.array("to")).alias("path"), (F.col("metres") + F.col("m")).alias("metres"))
+        new = steps.select("origin", F.col("to").alias("node"), (F.col("cost") + F.col("c")).alias("cost"), F.concat("path", F.array("to")).alias("path"), *[(F.col(x) + F.col(f"__{x}")).alias(x) for x in sums])
         both = best.withColumn("old", F.lit(1)).unionByName(new.withColumn("old", F.lit(0)))
-        merged = both.groupBy("origin", "node").agg(F.min(F.struct("cost", "path", "metres", "old")).alias("b")).select("origin", "node", "b.cost", "b.path", "b.metres", "b.old")
+        merged = both.groupBy("origin", "node").agg(F.min(F.struct("cost", "path", *sums, "old")).alias("b")).select("origin", "node", "b.cost", "b.path", *[f"b.{x}" for x in sums], "b.old")
         merged = written(merged, "paths")
         best, frontier = merged.drop("old"), merged.where("old = 0").drop("old")
         if frontier.isEmpty():
@@ -82,6 +86,17 @@ def shortest_paths(edges: DataFrame, origins: DataFrame, goals: DataFrame | None
     return best if goals is None else best.join(goals, ["origin", "node"], "left_semi")
 
 
+def predictive_routes(edges: DataFrame, origins: DataFrame, goals: DataFrame | None = None) -> DataFrame:
+    """The cheapest route by forecast time, congestion, uncertainty and incidents, with its
+    time, bounds, and delay against a minute a kilometre.
+
+    ``edges``: source, target, seconds, congestion, spread, metres, incident."""
+    e = edges.withColumn("cost", traffic.road_cost("seconds", "congestion", "spread", "metres", F.col("incident")))
+    found = shortest_paths(e, origins, goals, sums=("metres", "seconds"))
+    delay = F.greatest(F.lit(0.0), F.col("seconds") - 60.0 * F.col("metres") / 1000.0)
+    return found.select("*", half_up(delay, 2).alias("delay"), half_up(F.col("seconds") * 0.9, 2).alias("lower"), half_up(F.col("seconds") * 1.15, 2).alias("upper"))
+
+
 def timed_paths(edges: DataFrame, profile: DataFrame, origins: DataFrame, rounds: int | None = None) -> DataFrame:
     """Earliest arrivals with travel times that depend on the time of entry.
 

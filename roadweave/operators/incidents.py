@@ -87,3 +87,15 @@ def priority_windows(paths: DataFrame, by: str, path: str = "path", total: str =
     hops = paths.select(by, F.col(total), F.size(path).alias("__n"), F.posexplode(path).alias("hop", "junction"))
     at = F.when(F.col("__n") > 1, F.col("hop") * F.col(total) / (F.col("__n") - 1)).otherwise(0.0)
     return hops.select(by, "hop", "junction", half_up(at, 4).alias("arrival"), half_up(F.greatest(F.lit(0.0), at - before), 4).alias("green_from"), half_up(at + after, 4).alias("green_to"))
+
+
+def corridors(routes: DataFrame, events: DataFrame, by: list[str], share: float = 0.65) -> DataFrame:
+    """Green windows along each corridor of an emergency vehicle, which takes ``share`` of a
+    route's time; a cancelled or completed corridor gives its junctions back.
+
+    ``routes``: ``by``, path, seconds; ``events``: ``by``, status, seq; the latest status holds."""
+    name = F.struct(*by)
+    plan = priority_windows(routes.select(name.alias("corridor"), "path", (F.col("seconds") * share).alias("seconds")), "corridor")
+    latest = events.groupBy(name.alias("corridor")).agg(F.max_by("status", "seq").alias("status"))
+    status = F.coalesce("status", F.lit("ACTIVE"))
+    return plan.join(latest, "corridor", "left").select("corridor.*", "hop", "junction", "arrival", "green_from", "green_to", status.alias("status"), (status == "ACTIVE").alias("preempted"))

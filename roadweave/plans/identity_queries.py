@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from ..functions import geo, match, text
 from ..functions.traffic import distance_kernel, half_up
 from ..operators import boxes as boxops
-from ..operators import forecast, fusion, graph, identity, snapshots, windows
+from ..operators import forecast, fusion, graph, identity, incidents, snapshots, windows
 from ..sources import files, registry
 from .tables import BOXES, HOUR, IOU, JOURNEYS, OBS, TRANS, boxes, journeys, observations, table, transitions
 from .traffic_queries import KEYS, noisy_keys
@@ -141,8 +141,6 @@ def b5_detection_gate(spark, sf_dir):
 
 ROADS = """w AS (SELECT s_nationkey AS source, c_nationkey AS target, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL),
  rd AS (SELECT CAST(source AS BIGINT) AS source, CAST(target AS BIGINT) AS target, n, CAST(floor(10000.0 / n + 0.5) AS DOUBLE) AS cost FROM w WHERE source <> target)"""
-#: A fifth of the roads, so that SQL can follow simple paths over them.
-SPARSE = ROADS.replace("WHERE source <> target", "WHERE (7 * source + 3 * target) % 5 = 0 AND source <> target")
 
 
 def roads(spark, sf_dir):
@@ -152,10 +150,49 @@ def roads(spark, sf_dir):
     return w.where("source <> target").select("source", "target", "n", F.floor(10000.0 / F.col("n") + 0.5).cast("double").alias("cost"), F.col("n").cast("double").alias("metres"))
 
 
-@query(f"WITH RECURSIVE {SPARSE}, p(node, cost, path) AS (SELECT CAST(0 AS BIGINT), 0.0::DOUBLE, [CAST(0 AS BIGINT)] UNION ALL SELECT rd.target, p.cost + rd.cost, list_append(p.path, rd.target) FROM p JOIN rd ON rd.source = p.node WHERE NOT list_contains(p.path, rd.target) AND len(p.path) < 6) SELECT CAST(0 AS BIGINT) AS origin, node, min(cost) AS cost FROM p GROUP BY ALL")
+#: The best walk of each length to every node, and the best of them; with 25 nations none has over 24 steps.
+WALKS = """r(k, origin, node, b) AS (SELECT 0, CAST(range AS BIGINT), CAST(range AS BIGINT), {'cost': 0.0::DOUBLE, 'path': [CAST(range AS BIGINT)], 'metres': 0.0::DOUBLE, 'seconds': 0.0::DOUBLE} FROM range(25) UNION ALL
+ SELECT any_value(k) + 1, origin, target, min({'cost': b.cost + e.cost, 'path': list_append(b.path, e.target), 'metres': b.metres + e.metres, 'seconds': b.seconds + e.seconds}) FROM r JOIN e ON e.source = r.node WHERE k < 24 GROUP BY origin, target), best AS (SELECT origin, node, min(b) AS b FROM r GROUP BY ALL)"""
+
+
+@query(f"WITH RECURSIVE {ROADS}, e AS (SELECT source, target, cost, CAST(n AS DOUBLE) AS metres, 0.0::DOUBLE AS seconds FROM rd), {WALKS} SELECT origin, node, b.cost AS cost FROM best")
 def i10_shortest_paths(spark, sf_dir):
-    e = graph.written(roads(spark, sf_dir).where("(7 * source + 3 * target) % 5 = 0"), "roads")
-    return graph.shortest_paths(e, spark.range(1).select(F.col("id").alias("node"))).select("origin", "node", "cost")
+    e = graph.written(roads(spark, sf_dir), "roads")
+    return graph.shortest_paths(e, nations(spark)).select("origin", "node", "cost")
+
+
+def nations(spark):
+    return spark.range(25).select(F.col("id").alias("node"))
+
+
+def forecast_roads(spark, sf_dir):
+    n = F.col("n")
+    r = roads(spark, sf_dir).select("source", "target", F.col("cost").alias("seconds"), (n % 10 / 10.0).alias("congestion"), (n % 7).cast("double").alias("spread"), (n * 10.0).alias("metres"), (n % 11 == 0).alias("incident"))
+    return graph.written(r, "roads")
+
+
+ROUTES = ROADS + """, e AS (SELECT source, target, greatest(1.0, cost) + 300.0 * CAST((n % 10) / 10.0 AS DOUBLE) + 2 * CAST(n % 7 AS DOUBLE) + CAST(n * 10.0 AS DOUBLE) / 1000.0 + CASE WHEN n % 11 = 0 THEN 300.0::DOUBLE ELSE 0.0::DOUBLE END AS cost, CAST(n * 10.0 AS DOUBLE) AS metres, cost AS seconds FROM rd), """ + WALKS
+
+
+@query(f"""WITH RECURSIVE {ROUTES} SELECT origin, node, array_to_string(b.path, ',') AS path, floor(b.cost * 10000.0 + 0.5) / 10000.0 AS cost, b.metres AS metres, b.seconds AS seconds,
+ floor(greatest(0.0, b.seconds - 60.0 * b.metres / 1000.0) * 100.0 + 0.5) / 100.0 AS delay, floor(b.seconds * 0.9::DOUBLE * 100.0 + 0.5) / 100.0 AS lower, floor(b.seconds * 1.15::DOUBLE * 100.0 + 0.5) / 100.0 AS upper FROM best""")
+def i13_predictive_routes(spark, sf_dir):
+    r = graph.predictive_routes(forecast_roads(spark, sf_dir), nations(spark))
+    return r.withColumn("path", F.array_join("path", ",")).withColumn("cost", half_up("cost", 4))
+
+
+STATUS = "CASE o_orderstatus WHEN 'F' THEN 'COMPLETED' WHEN 'P' THEN 'CANCELLED' ELSE 'ACTIVE' END"
+
+
+@query(f"""WITH RECURSIVE {ROUTES}, h AS (SELECT origin, node, len(b.path) AS n, b.seconds * 0.65::DOUBLE AS s, b.path AS path, unnest(range(len(b.path))) AS hop FROM best), a AS (SELECT origin, node, CAST(hop AS INTEGER) AS hop, path[hop + 1] AS junction, CASE WHEN n > 1 THEN hop * s / (n - 1) ELSE 0.0 END AS t FROM h),
+ st AS (SELECT CAST(s_nationkey AS BIGINT) AS origin, CAST(c_nationkey AS BIGINT) AS node, arg_max({STATUS}, (o_orderdate, l_orderkey, l_linenumber)) AS status FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL)
+ SELECT a.origin, a.node, hop, junction, floor(t * 10000.0 + 0.5) / 10000.0 AS arrival, floor(greatest(0.0, t - 15.0) * 10000.0 + 0.5) / 10000.0 AS green_from, floor((t + 10.0) * 10000.0 + 0.5) / 10000.0 AS green_to, coalesce(status, 'ACTIVE') AS status, coalesce(status, 'ACTIVE') = 'ACTIVE' AS preempted FROM a LEFT JOIN st ON st.origin = a.origin AND st.node = a.node""")
+def k11_corridors(spark, sf_dir):
+    routes = graph.predictive_routes(forecast_roads(spark, sf_dir), nations(spark)).drop("cost")
+    li, o, cu, su = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer", "supplier"))
+    joined = li.join(o, li["l_orderkey"] == o["o_orderkey"]).join(cu, o["o_custkey"] == cu["c_custkey"]).join(su, li["l_suppkey"] == su["s_suppkey"])
+    events = joined.select(F.col("s_nationkey").cast("long").alias("origin"), F.col("c_nationkey").cast("long").alias("node"), F.expr(STATUS).alias("status"), F.struct("o_orderdate", "l_orderkey", "l_linenumber").alias("seq"))
+    return incidents.corridors(routes, events, ["origin", "node"])
 
 
 @query(f"""WITH {ROADS}, g AS (SELECT source, target, CAST(n AS DOUBLE) AS w FROM rd UNION ALL SELECT x, x, 1.0 FROM (SELECT source AS x FROM rd UNION SELECT target FROM rd)), d AS (SELECT source, greatest(1e-6, sum(w)) AS d FROM g GROUP BY ALL)
