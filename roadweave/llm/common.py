@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step takes at once. A longer single text is taken alone.
 BLOCK_BYTES = 1 << 20
@@ -53,6 +54,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A counted table is broadcast to its join up to so many bytes; a longer one is shuffled.
+MAX_BROADCAST = 32 << 20
+
+
+def broadcast_if_small(written: DataFrame, row_bytes: int) -> DataFrame:
+    """A written table, to be broadcast if its rows are counted and found few."""
+    return F.broadcast(written) if written.count() * row_bytes <= MAX_BROADCAST else written
+
+
 def refuse_clash(docs: DataFrame, out: str) -> None:
     if out.lower() in (c.lower() for c in docs.columns):
         raise ValueError(f"the table already has a column {out}; name another one")
