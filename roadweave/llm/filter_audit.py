@@ -3,13 +3,15 @@
 1. One pass over the texts tests every filter. The ids that fail a filter are stored as
    that filter's own table (id, part, labels), one folder each, with one shuffle for the
    filter that compares texts.
-2. What a filter removes depends on the set of filters before it, not on their order. For
-   each such set the survivors are the failing ids less its tables (left-anti joins), and
-   the ids of any later filter among them (a left-semi join) are what that filter removes
-   next. All tables are shuffled once by id, and the sets read the same shuffles.
-   Documents that fail nothing are in no join; they are counted by part.
-3. Removals are added up by set, filter and part, at most 80 rows a part with five
-   filters. Survivors, redundancies and shares of every order come from these sums.
+2. What a filter removes depends on the set of filters before it, not on their order. The
+   survivors of all sets are one relation (set, id): for one filter after the other, every
+   set goes on without it and with it, and a left-anti join with the filter's table takes
+   out the ids that fail it from the sets with it. So there is one join a filter, not one
+   a set. Documents that fail nothing are in no join; they are counted by part.
+3. A left-semi join of the survivors with a filter's table leaves what that filter removes
+   next, after every set without it, with its label losses. These are added up by set,
+   filter and part, at most 80 rows a part with five filters. Survivors, redundancies
+   and shares of every order come from these sums.
 """
 
 from __future__ import annotations
@@ -81,19 +83,19 @@ class FailingIds:
     def of(self, name: str) -> DataFrame:
         return self.all.where(F.col("filter") == name).select("row")
 
-    def survivors(self, before: Sequence[str]) -> DataFrame:
-        """Rows that fail something, but none of ``before``."""
-        failing = self.tested.where(F.size("fails") > 0).select("row")
-        return reduce(lambda left, name: left.join(self.of(name), "row", "left_anti"), before, failing)
-
-    def removed(self, before: Sequence[str]) -> DataFrame:
-        """Failing rows of every filter that are there still after ``before``."""
-        return self.all.join(self.survivors(before), "row", "left_semi") if before else self.all
+    def survivors(self) -> DataFrame:
+        """(row, part, good, toxic, before): every failing row with each set of filters that it passes, '' among them."""
+        left = self.tested.where(F.size("fails") > 0).select("row", "part", "good", "toxic", F.lit("").alias("before"))
+        for name in self.filters:
+            left = left.select("row", "part", "good", "toxic", F.explode(F.array("before", F.concat("before", F.lit(name)))).alias("before"))
+            failing = self.of(name).select(F.col("row").alias("row_"))
+            left = left.join(failing, (F.col("row") == F.col("row_")) & F.endswith("before", F.lit(name)), "left_anti")
+        return left
 
     def removals(self) -> DataFrame:
         """(part, key, n, good, toxic): what a filter removes after a set of others; key: '<set>><filter>'."""
-        some = [b for k in range(len(self.filters)) for b in combinations(self.filters, k)]
-        each = [self.removed(b).select("part", F.concat(F.lit("".join(b) + ">"), "filter").alias("key"), "good", "toxic") for b in some]
+        left = materialize(self.survivors(), "survivors")
+        each = [left.where(~F.contains("before", F.lit(name))).join(self.of(name), "row", "left_semi").select("part", F.concat("before", F.lit(">" + name)).alias("key"), "good", "toxic") for name in self.filters]
         return reduce(DataFrame.unionAll, each).groupBy("part", "key").agg(F.count("*").alias("n"), F.count_if("good").alias("good"), F.count_if("toxic").alias("toxic"))
 
 
