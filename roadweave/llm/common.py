@@ -82,6 +82,27 @@ def ship_package(spark: SparkSession) -> None:
     spark.sparkContext._roadweave_shipped = True
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
+    """Rows sorted by the number columns ``keys`` as tables of whole groups; one group and
+    one batch are held at most."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([*held, batch]).combine_chunks()
+        changed = np.zeros(table.num_rows - 1, bool)
+        for key in keys:
+            column = table[key].to_numpy()
+            changed |= column[1:] != column[:-1]
+        ends = np.flatnonzero(changed)
+        if len(ends):
+            yield table.slice(0, int(ends[-1]) + 1)
+            table = table.slice(int(ends[-1]) + 1)
+        held = table.to_batches()
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and offsets of a string array; null counts as empty."""
     if texts.null_count:

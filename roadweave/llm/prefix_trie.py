@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import broadcast_if_small, materialize, ship_package
+from .common import broadcast_if_small, materialize, ship_package, whole_groups
 
 #: Conversations whose first turns come from one of them.
 FAMILY = 100
@@ -152,20 +152,8 @@ def _finished(batches):
             start = end
         return pa.RecordBatch.from_arrays([rows["p"].combine_chunks(), rows["q"].combine_chunks(), pa.array(out[:, 0]), pa.array(out[:, 1])], names=names)
 
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([*held, batch]).combine_chunks()
-        comp = np.stack([table[0].to_numpy(), table[1].to_numpy()])
-        changes = np.flatnonzero((comp[:, 1:] != comp[:, :-1]).any(axis=0))
-        if len(changes):  # the last component may go on in the next batch
-            whole = int(changes[-1]) + 1
-            yield sums(table.slice(0, whole))
-            table = table.slice(whole)
-        held = table.to_batches()
-    if held:
-        yield sums(pa.Table.from_batches(held).combine_chunks())
+    for table in whole_groups(batches, "c", "d"):
+        yield sums(table)
 
 
 def subtree_sums(nodes: DataFrame, paths: DataFrame, small: int = SMALL) -> DataFrame:
