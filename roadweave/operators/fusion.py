@@ -1,17 +1,12 @@
-"""Evidence fusion of noisy keys: consensus, votes, clusters, confirmation."""
+"""Evidence fusion of noisy keys: consensus, votes, and the fused identity of a table's tracks."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import text
-from ..functions.traffic import half_up
-from .series import repeated_frames
-
-#: Longest edit distance and length difference inside a cluster.
-TOLERANCE = 2
+from ..streaming import evidence
 
 
 def variant_consensus(obs: DataFrame, keys: list[str]) -> DataFrame:
@@ -26,27 +21,6 @@ def variant_consensus(obs: DataFrame, keys: list[str]) -> DataFrame:
     return out.select(*keys, F.coalesce("l.text", "b.text").alias("text"), F.coalesce("l.score", "b.score").alias("score"))
 
 
-def evidence(obs: DataFrame) -> DataFrame:
-    """One row for each effective frame: the text and score of its last variant."""
-    rows = repeated_frames(obs.where("norm_text <> ''")).withColumn("e", text.evidence_score("ocr_conf", "valid_conf", "quality"))
-    last = F.max_by(F.struct("norm_text", "e", "ocr_conf", "valid_conf", "quality"), "seq")
-    return rows.groupBy("track_id", "effective_frame").agg(F.min("seq").alias("seq"), last.alias("l")).select("track_id", "effective_frame", "seq", "l.*")
-
-
-def clusters(frames: DataFrame) -> DataFrame:
-    """Greedy clusters of a track's texts: in order of arrival a text joins the first
-    seed within the tolerance. A track has 20 frames at most, folded as one array."""
-    rows = frames.groupBy("track_id", "norm_text").agg(F.min("seq").alias("first"), F.sum("e").alias("score"), F.count("*").alias("frames"), F.avg("ocr_conf").alias("ocr"), F.avg("valid_conf").alias("valid"), F.avg("quality").alias("quality"))
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("first", "norm_text"))), lambda s: s["norm_text"])
-    ordered = rows.groupBy("track_id").agg(texts.alias("texts"))
-    near = lambda s, t: (F.abs(F.length(s) - F.length(t)) <= TOLERANCE) & (text.confusion_distance(s, t) <= TOLERANCE)
-    empty = F.expr("cast(array() as array<string>)")
-    seeds = F.aggregate("texts", empty, lambda done, t: F.when(F.exists(done, lambda s: near(s, t)), done).otherwise(F.concat(done, F.array(t))))
-    seeded = ordered.select("track_id", seeds.alias("seeds"))
-    joined = rows.join(seeded, "track_id").withColumn("seed", F.element_at(F.filter("seeds", lambda s: near(s, F.col("norm_text"))), 1))
-    return joined.drop("seeds")
-
-
 def voted(members: DataFrame, keys: list[str]) -> DataFrame:
     """Character vote: the length and then each position with the most evidence."""
     size = members.groupBy(*keys, F.length("norm_text").alias("n")).agg(F.sum("score").alias("w")).groupBy(*keys).agg(F.max_by("n", F.struct("w", "n")).alias("n"))
@@ -56,21 +30,8 @@ def voted(members: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def fused(obs: DataFrame) -> DataFrame:
-    """The identity of each track with its agreement, confidence and status.
+    """The identity of each track with its agreement, confidence and status, after its last reading.
 
     ``obs``: track_id, frame_id, variant, seq, norm_text, ocr_conf, valid_conf, quality."""
-    frames = evidence(obs)
-    own = clusters(frames)
-    total = frames.groupBy("track_id").agg(F.sum("e").alias("total"), F.count("*").alias("all_frames"))
-    sums = own.groupBy("track_id", "seed").agg(F.sum("score").alias("score"), F.sum("frames").alias("frames"), F.min("first").alias("first"), F.max("ocr").alias("ocr"), F.max("valid").alias("valid"), F.max("quality").alias("quality"), F.max_by("norm_text", F.struct("score", "norm_text")).alias("top"))
-    k = F.row_number().over(Window.partitionBy("track_id").orderBy(F.col("score").desc(), "first"))
-    best = sums.withColumn("__k", k).where("__k = 1").drop("__k")
-    vote = voted(own.join(best.select("track_id", "seed"), ["track_id", "seed"]), ["track_id"])
-    rows = best.join(total, "track_id").join(vote, "track_id", "left")
-    agreement = half_up(F.col("score") / F.col("total"), 3)
-    rows = rows.withColumn("agreement", agreement).withColumn("confidence", half_up(0.40 * F.col("ocr") + 0.30 * F.col("valid") + 0.20 * agreement + 0.10 * F.col("quality"), 3))
-    sure = (F.col("frames") >= 2) & (F.col("score") >= 1.2) & (F.col("agreement") >= 0.40) & (F.col("valid") >= 0.20)
-    fast = (F.col("frames") == 1) & (F.col("all_frames") >= 10) & (F.col("ocr") >= 0.85)
-    status = F.when(sure | fast, "CONFIRMED").when((F.col("all_frames") >= 20) & (F.col("agreement") < 0.30), "UNKNOWN").when(F.col("score") >= 0.15, "PENDING").otherwise("UNKNOWN")
-    name = F.when(F.length("voted") >= F.length("top") - 2, F.col("voted")).otherwise(F.col("top"))
-    return rows.select("track_id", name.alias("key"), half_up("score", 4).alias("score"), "agreement", "confidence", status.alias("status"), F.col("frames").alias("cluster_frames"), "all_frames")
+    last = evidence.fused_table(evidence.readings(obs))
+    return last.select("track_id", "key", "score", "agreement", "confidence", "status", "cluster_frames", F.col("frames").alias("all_frames"))

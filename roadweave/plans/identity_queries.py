@@ -298,15 +298,6 @@ def d9_run_statistics_cube(spark, sf_dir):
     return rows.cube("node_id", "day").agg(F.count("*").alias("n"), F.grouping_id().alias("level"))
 
 
-@query()
-def d26_evidence_fusion(spark, sf_dir):
-    """Noisy keys of every user and day fused to one (see the tests for golden rows)."""
-    rows = noisy_keys(spark, sf_dir)
-    day = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd")
-    obs = rows.select(F.concat_ws("@", "user_id", day).alias("track_id"), F.col("event_id").alias("frame_id"), F.lit("raw").alias("variant"), F.col("event_id").alias("seq"), F.col("key").alias("norm_text"), (0.5 + F.col("event_id") % 50 / 100.0).alias("ocr_conf"), F.lit(0.65).alias("valid_conf"), F.lit(0.5).alias("quality"))
-    return fusion.fused(obs)
-
-
 @query(f"WITH {BOXES}, c AS (SELECT a.frame, a.id AS plate, b.id AS vehicle, greatest(0.0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0.0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) / ((a.x2 - a.x1) * (a.y2 - a.y1)) AS held, {IOU} AS iou, (b.x2 - b.x1) * (b.y2 - b.y1) AS area FROM bx a JOIN bx b ON a.frame = b.frame AND a.kind = 'N' AND b.kind <> 'N'), m AS (SELECT *, max(held) OVER (PARTITION BY frame, plate) AS best FROM c WHERE held > 0.05), r AS (SELECT *, row_number() OVER (PARTITION BY frame, plate ORDER BY iou DESC, area, vehicle DESC) AS k FROM m WHERE best - held <= 0.05) SELECT frame, plate, vehicle FROM r WHERE k = 1")
 def c6_spatial_ownership(spark, sf_dir):
     b = boxes(spark, sf_dir)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..streaming import flows
-from .tables import OBS
+from ..operators import fusion
+from ..streaming import evidence, flows, identities, tracker
+from .identity_queries import topology
+from .tables import HOUR, OBS, observations, table
 
 #: Where the watermark stands once all is read, in milliseconds.
 MARK = "(SELECT max(epoch_us(ts)) // 1000 - 3600000 FROM events)"
@@ -93,3 +95,119 @@ def l10_stream_throttle(spark, sf_dir):
 def l14_stream_history(spark, sf_dir):
     rows = flows.drained(flows.recent(flows.observations(spark, sf_dir)), "append", "history")
     return rows.select("entity_id", "event_id", F.size("history").cast("long").alias("n"), F.element_at("history", 1).alias("oldest"), F.array_min("history").alias("least"), F.array_max("history").alias("most"))
+
+
+#: Frames of the tracker are hours; five entities share a camera.
+TRACKING = tracker.TrackRules(frame_s=HOUR)
+
+
+def boxes_of_sightings(obs):
+    """A box for each sighting: an entity has a lane and a size, and moves along over the day."""
+    t = F.unix_seconds("ts")
+    x, y = F.col("entity_id") % 5 * 70.0 + t % 86400 / 576.0 + F.col("event_id") % 3 * 4.0, 100.0 + F.col("entity_id") % 3 * 25.0
+    w, h = 110.0 + F.col("entity_id") % 4 * 10.0, 80.0 + F.col("event_id") % 5 * 3.0
+    box = F.struct(x.alias("x1"), y.alias("y1"), (x + w).alias("x2"), (y + h).alias("y2"))
+    kind = F.when((F.col("entity_id") + (F.col("event_id") % 11 == 0).cast("int")) % 2 == 0, "car").otherwise("truck")
+    rows = obs.select("ts", F.floor(F.col("entity_id") / 5).alias("camera"), F.floor(t / HOUR).alias("frame"), "event_id", kind.alias("kind"), (0.15 + F.col("event_id") % 17 / 20.0).alias("confidence"), box.alias("box"))
+    return tracker.detections(rows, "camera", "frame", "event_id", "kind", "confidence", "box")
+
+
+@query()
+def l4_e23_tracker_stream(spark, sf_dir):
+    """Tracks of every camera, frame by frame, until the watermark."""
+    with flows.rocksdb(spark):
+        return flows.drained(tracker.tracked(boxes_of_sightings(flows.observations(spark, sf_dir)), TRACKING), "append", "tracker")
+
+
+@query()
+def l4_e23_tracker(spark, sf_dir):
+    """The same from the whole table, up to the same frame."""
+    found = boxes_of_sightings(observations(spark, sf_dir))
+    last = found.agg(F.max(F.unix_millis("ts"))).first()[0]
+    return tracker.tracked_table(found, TRACKING, None if last is None else (last - 1000 * HOUR) // (1000 * HOUR) - 1)
+
+
+#: A journey is over after four hours without a leg.
+JOURNEYS = identities.JourneyRules(timeout_s=4 * HOUR, max_gap_s=4 * HOUR)
+
+
+def legs_of_sightings(spark, sf_dir, obs):
+    """Sightings as legs: fifteen entities share a region and one in seven keys is misread; an
+    entity's vector is the given one with its id modulo their number."""
+    given = table(spark, sf_dir, "embeddings")
+    n = F.lit(max(1, given.count()))
+    vectors = given.groupBy(F.pmod("vec_id", n).alias("v")).agg(F.min(F.struct("vec_id", "embedding"))["embedding"].alias("vector"))
+    who, event, t = F.col("entity_id"), F.col("event_id"), F.unix_seconds("ts")
+    clean = F.concat(F.chr(65 + who % 26), F.chr(65 + who * 7 % 26), F.lpad(who.cast("string"), 4, "0"))
+    rows = obs.select(
+        F.floor(who / 15).alias("region"),
+        F.concat_ws("@", who, "node_id", F.floor(t / 7200)).alias("track"),
+        F.col("node_id").alias("node"),
+        (F.unix_millis("ts") / 1000.0).alias("ts"),
+        F.when(who % 2 == 0, "car").otherwise("truck").alias("kind"),
+        F.when(event % 7 == 0, F.translate(clean, "0", "O")).when(event % 5 != 0, clean).alias("key"),
+        (event % 3 == 0).alias("sure"),
+        (20.0 + who % 7).alias("width"),
+        (10.0 + who % 3).alias("height"),
+        F.element_at(F.array(*map(F.lit, ("NORTH", "EAST", "SOUTH", "UNKNOWN"))), (event % 4 + 1).cast("int")).alias("direction"),
+        F.pmod(who, n).alias("v"),
+        F.col("ts").alias("event_time"),
+    )
+    return identities.legs_of(rows.join(vectors, "v", "left"), topology(spark, sf_dir))
+
+
+@query()
+def l5_identities_stream(spark, sf_dir):
+    """Journeys in order of arrival, as far as the watermark."""
+    with flows.rocksdb(spark):
+        return flows.drained(identities.joined(legs_of_sightings(spark, sf_dir, flows.observations(spark, sf_dir)), JOURNEYS), "append", "identities")
+
+
+@query()
+def e6_q7_identities(spark, sf_dir):
+    """The same from the whole table, up to the same moment."""
+    obs = observations(spark, sf_dir)
+    last = obs.agg(F.max(F.unix_millis("ts"))).first()[0]
+    return identities.joined_table(legs_of_sightings(spark, sf_dir, obs), JOURNEYS, (0 if last is None else last - 1000 * HOUR) / 1000.0)
+
+
+def readings_of_sightings(obs):
+    """A reading for each sighting: one in seven is misread, one in thirteen is another entity's key."""
+    event = F.col("event_id")
+    letters = lambda who: F.concat(F.chr(65 + who % 26), F.chr(65 + who * 7 % 26), F.lpad(who.cast("string"), 4, "0"))
+    text = F.when(event % 13 == 0, letters(F.col("entity_id") + 1)).when(event % 7 == 0, F.translate(letters(F.col("entity_id")), "0", "O")).otherwise(letters(F.col("entity_id")))
+    return obs.select(F.col("entity_id").cast("string").alias("track_id"), F.unix_micros("ts").alias("seq"), event.alias("frame_id"), F.lit("raw").alias("variant"), text.alias("norm_text"), (0.5 + event % 50 / 100.0).alias("ocr_conf"), (event % 4 / 5.0).alias("valid_conf"), F.lit(0.5).alias("quality"), "ts")
+
+
+#: The newest 20 readings of every entity up to each of its own, told apart as its own key and another's, which are over two edits apart.
+READINGS = """rd AS (SELECT user_id AS u, event_id, epoch_us(ts) AS us, event_id % 13 = 0 AS other, event_id % 7 = 0 AS noisy, 0.5 + event_id % 50 / 100.0 AS ocr, event_id % 4 / 5.0 AS valid, chr(CAST(65 + user_id % 26 AS INTEGER)) || chr(CAST(65 + user_id * 7 % 26 AS INTEGER)) || lpad(CAST(user_id AS VARCHAR), 4, '0') AS mine,
+  chr(CAST(65 + (user_id + 1) % 26 AS INTEGER)) || chr(CAST(65 + (user_id + 1) * 7 % 26 AS INTEGER)) || lpad(CAST(user_id + 1 AS VARCHAR), 4, '0') AS next FROM events),
+ rs AS (SELECT *, CASE WHEN other THEN next WHEN noisy THEN replace(mine, '0', 'O') ELSE mine END AS x, CAST(floor(greatest(0.05, least(1.0, 0.45 * ocr + 0.30 * CASE WHEN valid > 0 THEN valid ELSE 0.5 END + 0.25 * 0.5)) * 10000.0 + 0.5) AS BIGINT) AS e, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM (SELECT *, u AS user_id, make_timestamp(us) AS ts FROM rd)),
+ pr AS (SELECT n.u, n.us AS seq, n.k AS pos, r.* EXCLUDE (u) FROM BASE n JOIN rs r ON r.u = n.u AND r.k <= n.k AND r.k > n.k - 20),
+ cl AS (SELECT u, seq, pos, other, sum(e) AS s, count(*) AS n, min(k) AS first FROM pr GROUP BY ALL), bc AS (SELECT *, sum(s) OVER w AS total, CAST(sum(n) OVER w AS BIGINT) AS frames, row_number() OVER (PARTITION BY u, pos ORDER BY s DESC, first) AS rank FROM cl WINDOW w AS (PARTITION BY u, pos)),
+ tp AS (SELECT p.*, s AS score, n AS cluster_frames, total, frames, row_number() OVER (PARTITION BY p.u, p.pos ORDER BY e DESC, k) AS best FROM pr p JOIN bc ON bc.u = p.u AND bc.pos = p.pos AND bc.other = p.other AND rank = 1),
+ vt AS (SELECT u, pos, x, row_number() OVER (PARTITION BY u, pos ORDER BY sum(e) DESC, max(e) DESC, min(k)) AS rank FROM tp GROUP BY u, pos, x),
+ fu AS (SELECT tp.u, seq, tp.pos, vt.x AS voted, ocr, valid, score, cluster_frames, frames, floor(score / greatest(10, total) * 1000.0 + 0.5) / 1000.0 AS agreement FROM tp JOIN vt ON vt.u = tp.u AND vt.pos = tp.pos AND vt.rank = 1 WHERE best = 1),
+ st AS (SELECT *, CASE WHEN agreement >= 0.4 AND valid >= 0.2 AND (cluster_frames >= 2 AND score >= 12000 OR cluster_frames = 1 AND frames >= 10 AND ocr >= 0.85) THEN 'CONFIRMED' WHEN frames >= 20 AND agreement < 0.3 THEN 'UNKNOWN' WHEN score >= 1500 THEN 'PENDING' ELSE 'UNKNOWN' END AS status, floor((0.40 * ocr + 0.30 * valid + 0.20 * agreement + 0.10 * 0.5) * 1000.0 + 0.5) / 1000.0 AS confidence FROM fu)
+ SELECT CAST(u AS VARCHAR) AS track_id, SEQ CASE WHEN status = 'UNKNOWN' THEN '' ELSE voted END AS key, status, confidence, agreement, (score + 5) // 10 / 1000 AS score, cluster_frames, """
+EVERY = "WITH " + READINGS.replace("FROM BASE n", "FROM rs n").replace("SEQ ", "seq, ") + "frames, frames AS readings FROM st"
+LAST = "WITH " + READINGS.replace("FROM BASE n", "FROM (SELECT u, max(us) AS us, max(k) AS k FROM rs GROUP BY u) n").replace("SEQ ", "") + "frames AS all_frames FROM st"
+
+
+@query(f"{EVERY} WHERE seq // 1000 <= {MARK}")
+def l6_fusion_stream(spark, sf_dir):
+    """What every entity's readings say after each of them, as far as the watermark."""
+    with flows.rocksdb(spark):
+        return flows.drained(evidence.fused_stream(evidence.readings(readings_of_sightings(flows.observations(spark, sf_dir)))), "append", "fusion")
+
+
+@query(EVERY)
+def l6_fusion(spark, sf_dir):
+    """The same from the whole table."""
+    return evidence.fused_table(evidence.readings(readings_of_sightings(observations(spark, sf_dir))), every=True)
+
+
+@query(LAST)
+def d26_evidence_fusion(spark, sf_dir):
+    """The last of these rows of every entity."""
+    return fusion.fused(readings_of_sightings(observations(spark, sf_dir)))

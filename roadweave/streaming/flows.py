@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import pandas as pd
@@ -185,6 +186,18 @@ def recent(stream: DataFrame, steps: int = 60, forget_s: int = 30 * 86400, late:
     return keyed(stream, ["entity_id"], (0, []), step, lambda now: now[0] + forget_s, out, "last long, kept array<double>", None, late)
 
 
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """The state store that arbitrary state needs, for the streams started within."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
 def drained(stream: DataFrame, mode: str, label: str, keys: list[str] | None = None) -> DataFrame:
     """Run a stream over all that is there into a table of the shared folder. In
     ``update`` mode the newest row of each key is kept, in ``complete`` mode the last batch."""
