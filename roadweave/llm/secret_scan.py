@@ -182,12 +182,18 @@ def redact(docs: DataFrame, text_col: str = "text", placeholder: str = "[secret]
 
     Only texts that may hold a candidate are written, scanned and joined with
     their spans; the others pass through. Overlapping spans are replaced as one.
+    Null and empty texts stay as they are, very long ones are searched whole, and
+    equal rows and rows of one id are each redacted for themselves. All columns return,
+    whatever their names; an empty table gives an empty one.
     """
     text = F.col(text_col)
+    number = "__row"
+    while number in map(str.lower, docs.columns):
+        number += "_"
     may = F.coalesce(text.rlike("|".join(f"({p})" for p in _MAY_HOLD.values())), F.lit(False))
     columns = docs.columns
     held = materialize(docs.where(may).select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")), "held")
-    spans = scan(held.select("doc.*", F.col("row").alias("__row")), id_col="__row", text_col=text_col, **names).where(F.size("spans") > 0)
+    spans = scan(held.select("doc.*", F.col("row").alias(number)), id_col=number, text_col=text_col, **names).where(F.size("spans") > 0)
     own = F.col(f"doc.{text_col}")
     part = lambda start, n: F.substring(own, (start + 1).cast("int"), n.cast("int"))
     clean = F.aggregate(

@@ -49,6 +49,17 @@ def test_secret_scan(docs, none):
     assert [r.text for r in clean.where("doc_id = 6").collect()] == ["[secret] mail a.b@c.de"]
 
 
+def test_redact_with_names_of_its_own(spark):
+    """Columns named as those that the code adds, long, empty and repeated rows."""
+    rows = [(1, "password=abcdef123456", "a", 1, 2, "x", "y"), (1, "password=abcdef123456", "a", 1, 2, "x", "y"), (2, None, None, 3, 4, "x", "y"), (3, "", "a", 5, 6, None, None), (4, LONG + "token=abcdef123456", "a", 7, 8, "x", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, __row long, `row` long, doc string, spans string")
+    clean = secret_scan.redact(docs)
+    assert clean.columns == docs.columns
+    got = sorted(((r.doc_id, r.text, r["__row"], r["row"], r.doc) for r in clean.collect()), key=repr)
+    assert got == sorted([(1, "[secret]", 1, 2, "x")] * 2 + [(2, None, 3, 4, "x"), (3, "", 5, 6, None), (4, LONG + "[secret]", 7, 8, "x")], key=repr)
+    assert secret_scan.redact(docs.limit(0)).collect() == []
+
+
 def test_secret_scan_hot_source(spark):
     """A sample in all repositories of one owner is an example; copies in one repository stay live."""
     sample, own = "Zx81Kq90Lm22Vb73Nc64", "Qw12Er34Ty56Ui78Op90"
