@@ -14,8 +14,10 @@
    left for the overlap that is asked for; a pair that fails this can't be similar,
    so nothing is lost. Lists of members by such a shingle are again compared with
    the member with the most links, and then with ``CENTRES`` at a time, until few
-   pairs are left between components or such a round joins little; all those left are
-   compared.
+   pairs are left between components or such a round joins little. What is left
+   meets by shingle and by the sizes of both sets, and a member is in a list for a
+   size only as far up in its order as a similar set of that size allows: of a
+   family of loose copies, whose own rare shingles come first, none meet.
 4. A candidate's signatures are compared in batches of ``BATCH`` hashes. After
    each, the pair is dropped if the posterior probability of a similarity at the
    threshold or above (uniform prior) is under ``MISS``.
@@ -49,6 +51,8 @@ MISS = 1e-6
 #: Centres of a list in each round. Rounds end when so few pairs a row
 #: of the lists are left between components, or when one leaves more than that share of them.
 CENTRES, FEW, WORTH = 8, 4, 0.8
+#: Sizes of sets fall into classes, each so much wider than the one before.
+CLASS = 1.04
 #: Columns of the min-hash product that are held at once.
 COLUMNS = 4096
 
@@ -290,8 +294,7 @@ def _components(rows: DataFrame, signed: DataFrame, classes: DataFrame, shingle:
         centres = materialize(each.select("gram", *[F.col(f"c.{x}").alias(f"{x}_") for x in ("node", "n", "at", "root")]), "centres")
         search.compare(own.join(centres, "gram").where(_possible(percent)).select(F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b")))
         seed += CENTRES
-    other = own.select("gram", *[F.col(x).alias(f"{x}_") for x in ("node", "n", "at", "root")])
-    search.compare(own.join(other, "gram").where((F.col("node") < F.col("node_")) & _possible(percent)).select(F.col("node").alias("a"), F.col("node_").alias("b")))
+    search.compare(_met(own, percent).where(_possible(percent)).select(F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b")))
     return search.roots
 
 
@@ -309,6 +312,30 @@ def _possible(percent: int) -> Column:
     return (F.col("root") != F.col("root_")) & (100 * F.least("n", "n_") >= percent * F.greatest("n", "n_")) & ((100 + percent) * left >= percent * (F.col("n") + F.col("n_")))
 
 
+def _met(lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members of a list, the second (``_``) in the same or a larger class of sizes, that share the
+    list's shingle at places that leave enough of either for a similar set of the other's size.
+
+    Members of the component that most of a list belongs to meet only the others of the list,
+    so no more meet than about the pairs between components."""
+    t = percent / 100
+    of = lambda n: F.floor(F.log(n) / math.log(CLASS)).cast("int")
+    least = F.floor(F.pow(F.lit(CLASS), F.col("other")))  # no set of that class is smaller
+    fits = F.col("at") <= F.col("n") - t / (1 + t) * (F.col("n") + least) + 1e-6
+    classed = lists.withColumn("own", of(F.col("n")))
+    small = classed.withColumn("other", F.explode(F.sequence("own", of(F.col("n") / t) + 1))).where(fits)
+    large = classed.withColumn("other", F.explode(F.sequence(of(F.greatest(F.lit(1.0), F.col("n") * t)), "own"))).where(fits)
+    large = large.select("gram", F.col("other").alias("own"), F.col("own").alias("other"), "node", "n", "at", "root")
+    key = ["gram", "own", "other"]
+    each = small.select(*key, "root").unionByName(large.select(*key, "root")).groupBy(*key, "root").agg(F.count("*").alias("c"))
+    most = each.groupBy(*key).agg(F.max_by("root", F.struct("c", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1").select(*key, "most")
+    inside = F.col("root") == F.col("most")
+    left = small.join(most, key).withColumn("with", inside.cast("int")).drop("most")
+    right = large.join(most, key).withColumn("with", F.explode(F.when(inside, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
+    right = right.select(*key, "with", *[F.col(x).alias(f"{x}_") for x in ("node", "n", "at", "root")])
+    return left.join(right, [*key, "with"]).where("own <> other or node < node_")
+
+
 def _prefixes(grams: DataFrame, percent: int) -> DataFrame:
     """(gram, node, n, at) of the shingles of each set that a similar one must share.
 

@@ -1,7 +1,10 @@
 """Words, chunks and shingles that a polynomial hash mixes up are kept apart."""
 
+import math
 import random
 
+import pytest
+
 from roadweave.llm import decontam, near_dedup, substring_dedup
 
 
@@ -99,3 +102,46 @@ def test_loose_group_makes_few_pairs(spark, monkeypatch):
     assert got == {i: root(i) for i in sets}
     print("pairs", made)
     assert sum(made) < len(rows) ** 2 / 20  # a tenth of all pairs
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_met_pairs_lose_nothing(spark, percent):
+    """Every pair that can be similar by place and size meets, once."""
+    rnd = random.Random(percent)
+    rows = []
+    for k in range(400):
+        n = rnd.choice([1, 2, 3, 7, 20, 100, 101, 119, 125, 400])
+        rows.append((rnd.randint(0, 4), k, n, rnd.randint(0, max(0, n - math.ceil(n * percent / 100))), k % 90))
+    lists = spark.createDataFrame(rows, "gram long, node long, n int, at int, root long")
+    got = [tuple(sorted((r.node, r.node_))) for r in near_dedup._met(lists, percent).where(near_dedup._possible(percent)).collect()]
+    wanted = set()
+    for g, a, n, at, root in rows:
+        for h, b, m, bt, other in rows:
+            if g == h and a < b and root != other and 100 * min(n, m) >= percent * max(n, m) and (100 + percent) * min(n - at, m - bt) >= percent * (n + m):
+                wanted.add((a, b))
+    assert len(got) == len(set(got)) and set(got) == wanted and wanted
+
+
+def test_loose_family_meets_little(spark, monkeypatch):
+    """Of texts with 7 of 200 words changed, none linked, that share nearly all of their shingles, few meet."""
+    met = {}
+    keep = near_dedup._met
+
+    def counted(lists, percent):
+        out = keep(lists, percent)
+        met[n] = out.count()
+        return out
+
+    monkeypatch.setattr(near_dedup, "_met", counted)
+    for n in (500, 2000):
+        rnd = random.Random(n)
+        rows = []
+        for i in range(n):
+            own = [f"w{k}" for k in range(200)]
+            for k in rnd.sample(range(200), 7):
+                own[k] = f"x{i}_{k}"
+            rows.append((i, " ".join(own)))
+        got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=3, percent=85).collect()
+        assert sum(r.kept for r in got) >= 0.9 * n  # few pairs chose the same words
+    print("met", met)
+    assert met[2000] <= 0.1 * 2000**2 / 2  # they met in several lists each before: twenty times all pairs
