@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 from ..functions import match, text
 from ..functions.match import MatchLimits
+from ..shipping import ship_package
+from ..streaming import evidence
 from .windows import epoch
 
 
@@ -68,24 +74,87 @@ def in_range(journeys: DataFrame, legs: str, start: Column | None, end: Column |
     return journeys.withColumn(legs, F.filter(legs, inside)).where(F.size(legs) > 0)
 
 
-def fuzzy_pairs(left: DataFrame, right: DataFrame, most: float = 2.0) -> DataFrame:
-    """(l, r) keys within a confusion-weighted edit distance.
+def deletions(x: Column) -> Column:
+    """A text and all that is left of it without one or two of its characters, each once."""
+    n = F.length(x)
+    without = lambda t, i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t)))
+    one = F.transform(F.sequence(F.lit(1), n), lambda i: without(x, i))
+    two = F.flatten(F.transform(one, lambda t: F.when(F.length(t) > 0, F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: without(t, i))).otherwise(F.array(t))))
+    return F.when(n == 0, F.array(x)).otherwise(F.array_distinct(F.concat(F.array(x), one, two)))
 
-    Keys of six and more characters are blocked by a shared pair of folded
-    characters, which two edits can't destroy; shorter ones by length alone.
-    ``left`` and ``right`` have one column, key."""
-    def blocked(df: DataFrame, side: str) -> DataFrame:
-        folded = text.folded("key")
-        grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(folded) - 1), lambda i: F.substring(folded, i, F.lit(2))))
-        band = F.transform(F.sequence(F.lit(-2), F.lit(2)), lambda d: F.concat(F.lit("#"), (F.length(folded) + d).cast("string"))) if side == "l" else F.array(F.concat(F.lit("#"), F.length(folded).cast("string")))
-        short = 8 if side == "l" else 8
-        return df.select("key").distinct().select(F.col("key").alias(side), folded.alias(f"{side}_folded"), F.explode(F.when(F.length(folded) >= 6, F.when(F.length(folded) < short, F.concat(grams, band)).otherwise(grams)).otherwise(band)).alias("block"))
 
+@F.pandas_udf(DoubleType())
+def distance_within_two(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The confusion-weighted edit distance of two keys up to 2, else null."""
+    return pd.Series([evidence.distance(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+def fuzzy_pairs(left: DataFrame, right: DataFrame, most: float = 2.0) -> DataFrame:
+    """(l, r, distance) of keys within a confusion-weighted edit distance.
+
+    Confusable characters are folded, then the distance is at least the number of
+    edits. Texts that two edits turn into one another share a text that is left of
+    either without two characters or fewer, so keys meet by these: nothing is lost, and a list holds only
+    keys that are within four edits of one another. A key of n characters has about n * n / 2
+    such texts, so keys are to be short, as plates are. ``left`` and ``right`` have one column, key; null is no key."""
     if most > 2:
-        raise ValueError("keys are blocked for distances of up to 2; beyond that pairs would be lost")
-    near = F.levenshtein("l_folded", "r_folded", 2) >= 0
-    pairs = blocked(left, "l").join(blocked(right, "r"), "block").where(near).select("l", "r").distinct()
-    return pairs.withColumn("distance", text.confusion_distance("l", "r")).where(F.col("distance") <= most)
+        raise ValueError("keys meet for distances of up to 2; beyond that pairs would be lost")
+
+    ship_package(left.sparkSession)
+
+    def met(df: DataFrame, side: str) -> DataFrame:
+        folded = text.folded("key")
+        return df.where("key is not null").select("key").distinct().select(F.col("key").alias(side), folded.alias(f"{side}_folded"), F.explode(F.transform(deletions(folded), lambda t: F.xxhash64(t))).alias("left_over"))
+
+    pairs = met(left, "l").join(met(right, "r"), "left_over").where(F.levenshtein("l_folded", "r_folded", 2) >= 0).select("l", "r").distinct()
+    return pairs.withColumn("distance", distance_within_two("l", "r")).where(F.col("distance") <= most)
+
+
+#: Statuses of a leg whose key isn't sure.
+UNSURE = ("PENDING", "UNKNOWN")
+
+
+def journeys_asked_for(questions: DataFrame, journeys: DataFrame, legs: DataFrame, most: float = 2.0) -> DataFrame:
+    """(question_id, journey_id, tier, distance, unsure) of the journey that each question means, if any.
+
+    ``questions``: question_id, entity_id, key, of which either may be null; ``journeys``: journey_id, entity_id, key, ord;
+    ``legs``: journey_id, key, status. By id first (tier 0), then by the journey's key (1), a leg's key (2), the
+    nearest key within ``most`` (3); of several the first in ``ord``. Each tier sees only the questions that the ones before left. A fuzzy match, or
+    one by a leg whose key isn't sure, is unsure."""
+    asked = questions.select("question_id", F.upper(F.trim(F.col("entity_id").cast("string"))).alias("who"), F.nullif(text.key("key"), F.lit("")).alias("key"))
+    known = journeys.select("journey_id", "ord", F.upper(F.col("entity_id").cast("string")).alias("who"), F.upper(F.col("journey_id").cast("string")).alias("name"), F.nullif(text.key("key"), F.lit("")).alias("key"))
+    of_legs = legs.select("journey_id", F.nullif(text.key("key"), F.lit("")).alias("key"), F.coalesce(F.col("status").isin(*UNSURE), F.lit(False)).alias("unsure"), F.col("seq")).where("key is not null").join(known.select("journey_id", "ord"), "journey_id")
+    first = F.min(F.struct("distance", "ord", "seq", "journey_id", "unsure")).alias("b")
+    of = lambda rows, tier: rows.groupBy("question_id").agg(first).select("question_id", "b.journey_id", F.lit(tier).alias("tier"), "b.distance", "b.unsure")
+    plain = lambda rows: rows.withColumns({"distance": F.lit(0.0), "seq": F.lit(0).cast("long"), "unsure": F.lit(False)})
+    names = known.select("ord", "journey_id", F.explode(F.array_distinct(F.array("who", "name"))).alias("who"))
+    found = of(plain(asked.where("who is not null").join(names, "who")), 0)
+    left = asked.where("key is not null").join(found, "question_id", "left_anti")
+    by_journey = of(plain(left.join(known.where("key is not null").select("journey_id", "ord", "key"), "key")), 1)
+    left = left.join(by_journey, "question_id", "left_anti")
+    by_leg = of(left.join(of_legs, "key").withColumn("distance", F.lit(0.0)), 2)
+    left = left.join(by_leg, "question_id", "left_anti")
+    every = known.where("key is not null").select("key", "journey_id", "ord").unionByName(of_legs.select("key", "journey_id", "ord")).groupBy("key").agg(F.min(F.struct("ord", "journey_id")).alias("j"))
+    near = fuzzy_pairs(left.select("key"), every.select("key"), most)
+    close = left.join(near, left["key"] == near["l"]).join(every, F.col("r") == every["key"]).select("question_id", "distance", "j.ord", F.lit(0).cast("long").alias("seq"), "j.journey_id", F.lit(True).alias("unsure"))
+    return reduce(DataFrame.unionByName, [found, by_journey, by_leg, of(close, 3)])
+
+
+def crossings(questions: DataFrame, journeys: DataFrame, legs: DataFrame, most: float = 2.0) -> DataFrame:
+    """Did what a question asks for pass a node in a range of time? (question_id, verdict, tier, journey_id, legs, seen_at).
+
+    ``questions`` has node_id, t_start and t_end beside those of ``journeys_asked_for``, ``legs`` node_id, t, confidence and score too; nodes
+    match by alias. UNKNOWN, if the journey or the best leg isn't sure; NOT_OBSERVED, which doesn't say
+    that it wasn't there, if there is no journey or no leg of it in range. ``seen_at`` is the best leg's time."""
+    meant = journeys_asked_for(questions, journeys, legs, most)
+    q = questions.join(meant, "question_id", "left").alias("q")
+    own = (F.col("q.journey_id") == F.col("s.journey_id")) & text.alias_of("s.node_id", "q.node_id") & F.coalesce(F.col("s.t") >= F.col("q.t_start"), F.lit(True)) & F.coalesce(F.col("s.t") <= F.col("q.t_end"), F.lit(True))
+    usual = lambda x: F.coalesce(F.nullif(F.col(x), F.lit(0.0)), F.lit(0.5))
+    best = F.max_by(F.struct("s.status", "s.t"), F.struct(usual("s.confidence"), usual("s.score"), -F.col("s.t")))
+    out = q.join(legs.alias("s"), own, "left").groupBy("q.question_id").agg(F.first("q.tier").alias("tier"), F.first("q.journey_id").alias("journey_id"), F.first("q.unsure").alias("unsure"), F.count("s.t").alias("legs"), best.alias("best"))
+    unsure = F.col("unsure") | F.coalesce(F.col("best.status").isin(*UNSURE), F.lit(False))
+    verdict = F.when(F.col("legs") == 0, "NOT_OBSERVED").when(unsure, "UNKNOWN").otherwise("OBSERVED")
+    return out.select("question_id", verdict.alias("verdict"), "tier", "journey_id", "legs", F.col("best.t").alias("seen_at"))
 
 
 def tiered(questions: DataFrame, tiers: list[DataFrame], by: str = "question_id") -> DataFrame:

@@ -111,6 +111,57 @@ def c3_fuzzy_exact_after_folding(spark, sf_dir):
     return pairs.where(text.folded("l") == text.folded("r")).select("l", "r")
 
 
+#: The confusion-weighted edit distance of two columns, row after row of the table, as a macro can't be made here.
+DISTANCE = """list_last(list_reduce(list_prepend(list_transform(range(length(B) + 1), lambda j: CAST(j AS DOUBLE)), list_transform(range(1, length(A) + 1), lambda i: [CAST(i AS DOUBLE)])), lambda row, i:
+  list_reduce(list_prepend([i[1]], list_transform(range(1, length(B) + 1), lambda j: [CAST(j AS DOUBLE)])), lambda done, j: list_append(done, least(done[-1] + 1, row[CAST(j[1] AS INTEGER) + 1] + 1, row[CAST(j[1] AS INTEGER)] +
+  CASE WHEN substr(A, CAST(i[1] AS INTEGER), 1) = substr(B, CAST(j[1] AS INTEGER), 1) THEN 0 WHEN translate(substr(A, CAST(i[1] AS INTEGER), 1), 'OISBZ', '01582') = translate(substr(B, CAST(j[1] AS INTEGER), 1), 'OISBZ', '01582') THEN 0.5 ELSE 1 END)))))"""
+
+
+def distance_sql(a, b):
+    return DISTANCE.replace("A)", f"{a})").replace("(A,", f"({a},").replace("B)", f"{b})").replace("(B,", f"({b},")
+
+
+@query(f"""WITH {KEYS}, a AS (SELECT DISTINCT key AS l FROM keys), n AS (SELECT DISTINCT CASE WHEN event_id % 7 = 0 THEN replace(key, '0', 'O') ELSE key END AS r FROM events JOIN keys USING (user_id)),
+ p AS (SELECT l, r, CAST({distance_sql('l', 'r')} AS DOUBLE) AS distance FROM a JOIN n ON levenshtein(translate(l, 'OISBZ', '01582'), translate(r, 'OISBZ', '01582')) <= 2) SELECT * FROM p WHERE distance <= 2""")
+def c3_fuzzy_pairs(spark, sf_dir):
+    rows = noisy_keys(spark, sf_dir)
+    return identity.fuzzy_pairs(rows.select(F.col("clean").alias("key")), rows.select("key"))
+
+
+def asked(spark, sf_dir):
+    """Questions, journeys and legs: every entity is asked for at every node by its id, by its key, by a key with a letter for its
+    zeros, by one with a wrong last character and by one that nothing is near to, in the first half of the time."""
+    rows = noisy_keys(spark, sf_dir).withColumn("t", windows.epoch("ts"))
+    own = journeys(spark, sf_dir).select("event_id", "entity_id", "seq")
+    legs_ = rows.join(own, "event_id").select(F.concat_ws("-", "entity_id", "seq").alias("journey_id"), "entity_id", F.col("seq").alias("nth"), "clean", "key", F.col("event_type").alias("node_id"), "t", F.col("event_id").alias("seq"), (F.col("value") / 500).alias("confidence"), F.lit(0.5).alias("score"), F.when(F.col("event_id") % 5 == 0, "PENDING").otherwise("CONFIRMED").alias("status"))
+    known = legs_.groupBy("journey_id", "entity_id", "nth").agg(F.min("t").alias("since"), F.first("clean").alias("clean"))
+    journeys_ = known.select("journey_id", F.col("entity_id").cast("string").alias("entity_id"), F.when(F.col("nth") % 2 == 0, F.col("clean")).alias("key"), (F.col("since") * 1000 + F.col("entity_id") % 1000).alias("ord"))
+    half = rows.agg(F.floor((F.min("t") + F.max("t")) / 2).alias("t_end"))
+    wrong = F.concat(F.expr("substring(clean, 1, length(clean) - 1)"), F.lit("X"))
+    kinds = F.array(*[F.struct(F.lit(k).alias("k"), who.cast("string").alias("entity_id"), key.cast("string").alias("key")) for k, (who, key) in enumerate([(F.col("user_id"), F.lit(None)), (F.lit(None), F.col("clean")), (F.lit(None), F.translate("clean", "0", "O")), (F.lit("nobody"), wrong), (F.lit(None), F.lit("@@@@@@@@@@"))])])
+    each = rows.select("user_id", "clean").distinct().select("user_id", F.explode(kinds).alias("a"), F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(n).alias("node_id")) for i, n in enumerate(("view", "purchase"))])).alias("n"))
+    questions = each.select((F.col("user_id") * 10 + F.col("a.k") * 2 + F.col("n.i")).alias("question_id"), "n.node_id", "a.entity_id", "a.key", F.lit(None).cast("long").alias("t_start")).join(F.broadcast(half), F.lit(True))  # one row
+    return questions, journeys_, legs_
+
+
+ASKED = f"""{JOURNEYS}, {KEYS}, lg AS (SELECT entity_id || '-' || seq AS journey_id, entity_id, seq AS nth, key AS clean, CASE WHEN event_id % 7 = 0 THEN replace(key, '0', 'O') ELSE key END AS key, node_id, t, event_id, coalesce(nullif(value / 500, 0), 0.5) AS c, event_id % 5 = 0 AS unsure FROM j JOIN keys ON user_id = entity_id JOIN events USING (event_id)),
+ jn AS (SELECT journey_id, entity_id, min(t) * 1000 + entity_id % 1000 AS ord, CASE WHEN nth % 2 = 0 THEN any_value(clean) END AS key FROM lg GROUP BY journey_id, entity_id, nth), hf AS (SELECT (min(t) + max(t)) // 2 AS t_end FROM obs),
+ qu AS (SELECT user_id * 10 + k * 2 + i AS question_id, node_id, CASE WHEN k = 0 THEN user_id END AS who, CASE k WHEN 1 THEN key WHEN 2 THEN replace(key, '0', 'O') WHEN 3 THEN substr(key, 1, length(key) - 1) || 'X' WHEN 4 THEN '@@@@@@@@@@' END AS key FROM keys, (SELECT unnest(range(5)) AS k), (VALUES (0, 'view'), (1, 'purchase')) n(i, node_id)),
+ t0 AS (SELECT question_id, arg_min(journey_id, ord) AS journey_id, 0 AS tier, false AS unsure FROM qu JOIN jn ON jn.entity_id = who GROUP BY ALL),
+ t1 AS (SELECT question_id, arg_min(journey_id, ord) AS journey_id, 1 AS tier, false AS unsure FROM qu JOIN jn USING (key) GROUP BY question_id),
+ t2 AS (SELECT question_id, journey_id, 2 AS tier, unsure FROM (SELECT question_id, lg.journey_id, lg.unsure, row_number() OVER (PARTITION BY question_id ORDER BY ord, lg.event_id) AS k FROM qu JOIN lg USING (key) JOIN jn ON jn.journey_id = lg.journey_id WHERE question_id NOT IN (SELECT question_id FROM t1)) WHERE k = 1),
+ ky AS (SELECT key, min(ord) AS ord, arg_min(journey_id, ord) AS journey_id FROM (SELECT key, ord, journey_id FROM jn WHERE key IS NOT NULL UNION ALL SELECT lg.key, ord, journey_id FROM lg JOIN jn USING (journey_id)) GROUP BY key),
+ nr AS (SELECT question_id, journey_id, ord, CAST({distance_sql('q.key', 'ky.key')} AS DOUBLE) AS d FROM (SELECT * FROM qu WHERE key IS NOT NULL AND question_id NOT IN (SELECT question_id FROM t1) AND question_id NOT IN (SELECT question_id FROM t2)) q JOIN ky ON levenshtein(translate(q.key, 'OISBZ', '01582'), translate(ky.key, 'OISBZ', '01582')) <= 2),
+ t3 AS (SELECT question_id, journey_id, 3 AS tier, true AS unsure FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY d, ord) AS k FROM nr WHERE d <= 2) WHERE k = 1),
+ an AS (SELECT * FROM t0 UNION ALL SELECT * FROM t1 UNION ALL SELECT * FROM t2 UNION ALL SELECT * FROM t3), ht AS (SELECT q.question_id, lg.*, row_number() OVER (PARTITION BY q.question_id ORDER BY c DESC, lg.t) AS k, count(*) OVER (PARTITION BY q.question_id) AS n FROM qu q JOIN an USING (question_id) JOIN lg ON lg.journey_id = an.journey_id AND lg.node_id = q.node_id JOIN hf ON lg.t <= t_end)
+ SELECT question_id, CASE WHEN n IS NULL THEN 'NOT_OBSERVED' WHEN an.unsure OR ht.unsure THEN 'UNKNOWN' ELSE 'OBSERVED' END AS verdict, tier, an.journey_id, coalesce(n, 0) AS legs, t AS seen_at FROM qu LEFT JOIN an USING (question_id) LEFT JOIN (SELECT * FROM ht WHERE k = 1) ht USING (question_id)"""
+
+
+@query(f"WITH {ASKED}")
+def c4_e7_crossings(spark, sf_dir):
+    return identity.crossings(*asked(spark, sf_dir))
+
+
 @query(f"WITH {BOXES}, b AS (SELECT * FROM bx) SELECT frame, a, b, iou FROM (SELECT a.frame, a.id AS a, b.id AS b, floor({IOU} * 1000000.0 + 0.5) / 1000000.0 AS iou FROM bx a JOIN b ON a.frame = b.frame AND a.id < b.id) WHERE iou >= 0.3")
 def c5_box_overlap(spark, sf_dir):
     b = boxes(spark, sf_dir)

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import CONFUSED
+from ..shipping import ship_package
 from .ordered import OrderedRows
 
 # Frames held, edits within a cluster, cost of a confused character, thresholds of the statuses.
@@ -44,13 +45,13 @@ def half_up(x: float, digits: int) -> float:
     return math.floor(x * 10**digits + 0.5) / 10**digits
 
 
-def near(a: str, b: str) -> bool:
-    """Whether the edit distance, confusable characters at half cost, is within the tolerance.
+def distance(a: str, b: str) -> float | None:
+    """The edit distance, confusable characters at half cost, if it is within the tolerance.
     Only cells that far from the diagonal are filled."""
     if a == b:
-        return True
+        return 0.0
     if abs(len(a) - len(b)) > TOLERANCE:
-        return False
+        return None
     x, y = a.translate(_FOLD), b.translate(_FOLD)
     far = TOLERANCE + 1.0
     row = {j: float(j) for j in range(min(len(b), TOLERANCE) + 1)}
@@ -63,9 +64,14 @@ def near(a: str, b: str) -> bool:
                 best = min(best, new.get(j - 1, far) + 1.0, row.get(j - 1, far) + cost)
             new[j] = best
         if min(new.values()) > TOLERANCE:
-            return False
+            return None
         row = new
-    return row.get(len(b), far) <= TOLERANCE
+    last = row.get(len(b), far)
+    return last if last <= TOLERANCE else None
+
+
+def near(a: str, b: str) -> bool:
+    return distance(a, b) is not None
 
 
 @dataclass(slots=True)
@@ -208,6 +214,7 @@ def fused_table(found: DataFrame, every: bool = False) -> DataFrame:
 
     A track's readings are streamed in order of ``seq``, with its newest frames in memory, so a very long track
     costs time but no memory."""
+    ship_package(found.sparkSession)
     kind = found.schema["track_id"].dataType.simpleString()
     dealt = found.repartition("track_id").sortWithinPartitions("track_id", "seq", "frame", "variant", "text")
     return dealt.select("track_id", *_READING).mapInArrow(_followed(every), f"track_id {kind}, {ROW}")
@@ -244,5 +251,6 @@ class FusionState(OrderedRows):
 def fused_stream(stream: DataFrame, forget_s: int = 365 * 86400, late: str = "1 hour") -> DataFrame:
     """(track_id, seq, key, status, ...) after every one of a stream of ``readings`` with their time ``ts``, in order of time
     and seq. The session needs the RocksDB state store."""
+    ship_package(stream.sparkSession)
     kind = stream.schema["track_id"].dataType.simpleString()
     return stream.withWatermark("ts", late).groupBy("track_id").transformWithStateInPandas(FusionState(forget_s), f"track_id {kind}, {ROW}", "Append", "EventTime")

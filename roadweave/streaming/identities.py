@@ -23,6 +23,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text
 from ..functions.match import OPPOSITE, MatchLimits
+from ..shipping import ship_package
 from .ordered import OrderedRows
 
 #: Columns of a leg, by ``legs_of``. ``near`` and ``metres``: the nodes with an edge to this one, and how far they are.
@@ -233,6 +234,7 @@ def joined_table(legs: DataFrame, rules: JourneyRules = JourneyRules(), until: f
     seconds, and COMPLETED for each journey that is over by then.
 
     Equal to the stream over the same legs. A session is streamed in order, with its open journeys in memory."""
+    ship_package(legs.sparkSession)
     legs = legs.where(F.col("ts") <= until).drop("event_time")
     w = Window.partitionBy("region").orderBy("ts")
     times = legs.select("region", "ts").distinct()
@@ -276,5 +278,6 @@ class JourneyState(OrderedRows):
 def joined(stream: DataFrame, rules: JourneyRules = JourneyRules(), late: str = "1 hour") -> DataFrame:
     """The rows of ``joined_table`` from a stream of ``legs_of`` with their ``event_time``, a leg as soon as the
     watermark is past it. The session needs the RocksDB state store."""
+    ship_package(stream.sparkSession)
     kind = stream.schema["region"].dataType.simpleString()
     return stream.withWatermark("event_time", late).groupBy("region").transformWithStateInPandas(JourneyState(rules), f"region {kind}, {ROW}", "Append", "EventTime")

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..shipping import ship_package
 from .ordered import OrderedRows
 
 
@@ -322,6 +323,7 @@ def tracked_table(found: DataFrame, rules: TrackRules = TrackRules(), until: int
 
     Frames up to ``until``, by default the table's last, are taken, frames without boxes too.
     Equal to the stream over the same rows. A session is streamed in order, with one frame and the live tracks in memory."""
+    ship_package(found.sparkSession)
     if until is None:
         until = found.agg(F.max("frame")).first()[0]
     found = found.where(F.col("frame") <= F.lit(until)).drop("ts")
@@ -372,6 +374,7 @@ class TrackerState(OrderedRows):
 def tracked(stream: DataFrame, rules: TrackRules = TrackRules(), late: str = "1 hour") -> DataFrame:
     """The rows of ``tracked_table`` from a stream of ``detections`` with their time ``ts``, a frame as soon as
     the watermark is past it. The session needs the RocksDB state store."""
+    ship_package(stream.sparkSession)
     kind = stream.schema["camera"].dataType.simpleString()
     rows = stream.withWatermark("ts", late)
     return rows.groupBy("camera").transformWithStateInPandas(TrackerState(rules), f"camera {kind}, {ROW}", "Append", "EventTime")
