@@ -70,14 +70,27 @@ def legs(spark, sf_dir):
     return rows.join(vectors, "v", "left").select("*", F.col("embedding").alias("vector")).drop("embedding", "v")
 
 
-@query()
+#: Legs with their parts, and feasible pairs with their score; sums of vectors in order of their places, as the columns have them.
+DOT = "list_reduce(list_prepend(0.0::DOUBLE, list_transform(range(1, len(X) + 1), lambda i: CAST(X[i] AS DOUBLE) * CAST(Y[i] AS DOUBLE))), lambda s, v: s + v)"
+SCORED = f"""{OBS}, {TOPO}, {KEYS}, em AS (SELECT count(*) AS n FROM embeddings), ve AS (SELECT vec_id % n AS v, arg_min(embedding, vec_id) AS e FROM embeddings, em GROUP BY 1),
+ vv AS (SELECT v, e, {DOT.replace('X', 'e').replace('Y', 'e')} AS norm FROM ve), lg AS (SELECT event_id, node_id, t, CASE WHEN event_id % 7 = 0 THEN replace(key, '0', 'O') ELSE key END AS key, entity_id % 2 AS kind, 20.0::DOUBLE + entity_id % 7 AS w, 10.0::DOUBLE + entity_id % 3 AS h, e, norm FROM obs JOIN keys ON user_id = entity_id, em LEFT JOIN vv ON v = entity_id % n),
+ cp AS (SELECT p.event_id AS before, q.event_id AS after, q.t - p.t AS seconds, CASE WHEN p.node_id = q.node_id THEN 0.0::DOUBLE ELSE coalesce(distance_m, 500.0) END AS distance_m, distance_m IS NOT NULL AS has_edge, p.node_id = q.node_id AS same, p.key AS a, q.key AS b, p.kind = q.kind AS alike, p.w AS w1, p.h AS h1, q.w AS w2, q.h AS h2, p.e AS x, q.e AS y, p.norm AS nx, q.norm AS ny
+  FROM lg p JOIN lg q ON q.t > p.t AND q.t - p.t <= 1800 LEFT JOIN topo ON source = p.node_id AND target = q.node_id),
+ fe AS (SELECT *, floor(list_sum(list_transform(range(1, least(length(a), length(b)) + 1), lambda i: CAST(substr(a, CAST(i AS INTEGER), 1) = substr(b, CAST(i AS INTEGER), 1) AS INTEGER))) / greatest(length(a), length(b)) * 1000.0 + 0.5) / 1000.0 AS share, distance_m / greatest(0.1, seconds) * 3.6 AS kmh FROM cp WHERE same OR seconds >= distance_m / (120.0 / 3.6)),
+ pt AS (SELECT *, CASE WHEN a = b THEN 1.0 WHEN a[1:2] <> b[1:2] THEN least(0.05, 0.1 * share) ELSE share END AS k, CASE WHEN x IS NULL OR y IS NULL THEN 0.5 WHEN nx * ny = 0 THEN 0.0 ELSE greatest(0, least(1, {DOT.replace('X', 'x').replace('Y', 'y')} / sqrt(nx * ny))) END AS look,
+  floor(greatest(0, least(1, (0.6 * least(w1 / h1, w2 / h2) / greatest(w1 / h1, w2 / h2) + 0.4 * greatest(0.0, 1 - abs(abs(w1 - h1) / (w1 + h1) - abs(w2 - h2) / (w2 + h2)))) * CASE WHEN alike THEN 1.0 ELSE 0.35 END)) * 1000.0 + 0.5) / 1000.0 AS shape FROM fe),
+ sc AS (SELECT before, after, seconds, distance_m, has_edge, floor((CAST(0.35 AS DOUBLE) * k + CAST(0.15 AS DOUBLE) * look + CAST(0.10 AS DOUBLE) * shape + CAST(0.10 AS DOUBLE) * CASE WHEN alike THEN 1.0 ELSE 0.0 END + CAST(0.10 AS DOUBLE) * CAST(0.5 AS DOUBLE) + CAST(0.05 AS DOUBLE) * CASE WHEN kmh BETWEEN 15 AND 80 THEN 1.0 ELSE 0.7 END + CAST(0.15 AS DOUBLE) * CASE WHEN distance_m < 1000 THEN 1.0 ELSE 0.5 END) * 1000.0 + 0.5) / 1000.0 AS overall FROM pt)"""
+
+
+@query(f"WITH {SCORED} SELECT *, CASE WHEN overall >= 0.75 THEN 'MATCH_CONFIRMED' WHEN overall >= 0.5 THEN 'MATCH_PROBABLE' ELSE 'INSUFFICIENT_EVIDENCE' END AS decision FROM sc")
 def c1_h26_candidates(spark, sf_dir):
-    """Feasible pairs with the composite score (see the tests for golden rows)."""
+    """Feasible pairs with the composite score."""
     limits = match.MatchLimits(timeout_s=1800)
     return identity.candidates(legs(spark, sf_dir), topology(spark, sf_dir), limits).select("before", "after", "seconds", "distance_m", "has_edge", "breakdown.overall", "breakdown.decision")
 
 
-@query()
+@query(f"""WITH RECURSIVE {SCORED}, rk AS (SELECT before, after, row_number() OVER (PARTITION BY after ORDER BY overall DESC, before) AS p, row_number() OVER (PARTITION BY before ORDER BY overall DESC, after) AS s FROM sc WHERE overall >= 0.5), li AS (SELECT before AS a, after AS b FROM rk WHERE p = 1 AND s = 1), ed AS (SELECT a, b FROM li UNION ALL SELECT b, a FROM li),
+ re(node, root) AS (SELECT a, a FROM ed UNION SELECT re.node, ed.b FROM re JOIN ed ON re.root = ed.a) SELECT node, min(root) AS component FROM re GROUP BY node""")
 def e6_i14_match_links(spark, sf_dir):
     """Mutual best links, and the identities that they join to."""
     limits = match.MatchLimits(timeout_s=1800)
@@ -173,12 +186,16 @@ def f6_duplicate_suppression(spark, sf_dir):
     return boxops.dominated(boxes(spark, sf_dir), ["frame"], "kind", "strength", 0.5).select("frame", "id", "kind")
 
 
-@query()
+@query(f"""WITH RECURSIVE {BOXES}, o AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY strength DESC, id) AS k FROM bx), r(frame, k, kept) AS (SELECT frame, k, [{{'id': id, 'kind': kind, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}] FROM o WHERE k = 1 UNION ALL
+ SELECT o.frame, o.k, CASE WHEN len(list_filter(kept, lambda y: y.kind = o.kind AND (greatest(0.0, least(y.x2, o.x2) - greatest(y.x1, o.x1)) * greatest(0.0, least(y.y2, o.y2) - greatest(y.y1, o.y1))) / ((y.x2 - y.x1) * (y.y2 - y.y1) + (o.x2 - o.x1) * (o.y2 - o.y1) - (greatest(0.0, least(y.x2, o.x2) - greatest(y.x1, o.x1)) * greatest(0.0, least(y.y2, o.y2) - greatest(y.y1, o.y1)))) >= 0.5)) > 0 THEN kept ELSE list_append(kept, {{'id': o.id, 'kind': o.kind, 'x1': o.x1, 'y1': o.y1, 'x2': o.x2, 'y2': o.y2}}) END FROM r JOIN o ON o.frame = r.frame AND o.k = r.k + 1),
+ l AS (SELECT frame, arg_max(kept, k) AS kept FROM r GROUP BY frame) SELECT frame, x.id AS id, x.kind AS kind FROM (SELECT frame, unnest(kept) AS x FROM l)""")
 def f4_greedy_suppression(spark, sf_dir):
     return boxops.suppressed(boxes(spark, sf_dir), ["frame"], "kind", "strength", 0.5).select("frame", "id", "kind")
 
 
-@query()
+@query(f"""WITH RECURSIVE {BOXES}, p AS (SELECT a.frame, a.id AS a, b.id AS b, {IOU} AS score FROM bx a JOIN bx b ON a.frame = b.frame AND a.id < b.id), o AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY score DESC, a, b) AS k FROM p WHERE score >= 0.3),
+ r(frame, k, kept) AS (SELECT frame, k, [{{'a': a, 'b': b, 'score': score}}] FROM o WHERE k = 1 UNION ALL SELECT o.frame, o.k, CASE WHEN len(list_filter(kept, lambda y: y.a = o.a OR y.b = o.b)) > 0 THEN kept ELSE list_append(kept, {{'a': o.a, 'b': o.b, 'score': o.score}}) END FROM r JOIN o ON o.frame = r.frame AND o.k = r.k + 1),
+ l AS (SELECT frame, arg_max(kept, k) AS kept FROM r GROUP BY frame) SELECT frame, x.a AS a, x.b AS b, x.score AS score FROM (SELECT frame, unnest(kept) AS x FROM l)""")
 def f5_greedy_assignment(spark, sf_dir):
     b = boxes(spark, sf_dir)
     pairs = boxops.overlapping(b, b, ["frame"], 0.3).where("a < b").select("frame", "a", "b", F.col("iou").alias("score"))
