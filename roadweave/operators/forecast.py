@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import traffic
 from ..functions.traffic import c, half_up
+from ..shipping import ship_package
 
 
 def dense(series: DataFrame, spine: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:
@@ -65,15 +70,35 @@ def moving_average(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / F.size(x)
 
 
+def _partial_gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The products' sums of one partition's vectors, a row for each of their places."""
+    total = None
+    for batch in batches:
+        if batch.num_rows:
+            flat = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(float)
+            x = np.nan_to_num(flat).reshape(batch.num_rows, -1)
+            total = x.T @ x if total is None else total + x.T @ x
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], names=["i", "sums"])
+
+
+def gram_sums(samples: DataFrame, vector: Column) -> DataFrame:
+    """(i, j, s): the sums over all rows of the products of places i <= j, from 0, of a vector of one length.
+
+    Every partition multiplies its vectors as a matrix and hands on one matrix; these are added up
+    by place. Missing values count as 0; null vectors are left out."""
+    rows = samples.select(vector.cast("array<double>").alias("v")).where("v is not null and size(v) > 0")
+    parts = rows.mapInArrow(_partial_gram, "i int, sums array<double>")
+    return parts.select("i", F.posexplode("sums").alias("j", "s")).where("i <= j").groupBy("i", "j").agg(F.sum("s").alias("s"))
+
+
 def gram(samples: DataFrame, inputs: list[Column], targets: list[Column]) -> np.ndarray:
-    """Sums of products of inputs (with a leading 1) and targets, one row: the only thing that reaches the driver."""
+    """``gram_sums`` of a leading 1, the inputs and the targets as a matrix: the only thing that reaches the driver."""
     columns = [F.lit(1.0), *[c(v).cast("double") for v in inputs], *[c(v).cast("double") for v in targets]]
-    k = len(columns)
-    sums = samples.agg(*[F.sum(columns[i] * columns[j]).alias(f"s{i}_{j}") for i in range(k) for j in range(i, k)]).first()
-    out = np.zeros((k, k))
-    for i in range(k):
-        for j in range(i, k):
-            out[i, j] = out[j, i] = sums[f"s{i}_{j}"] or 0.0
+    ship_package(samples.sparkSession)
+    out = np.zeros((len(columns), len(columns)))
+    for r in gram_sums(samples, F.array(*columns)).collect():
+        out[r.i, r.j] = out[r.j, r.i] = r.s
     return out
 
 
@@ -140,8 +165,14 @@ def ensemble(df: DataFrame, by: list[str]) -> DataFrame:
 
 
 def monte_carlo(df: DataFrame, by: list[str], base: str = "predicted", draws: int = 20, spread: float = 0.1, seed: int = 42) -> DataFrame:
-    """Mean, deviation and interval of ``draws`` noisy copies of a forecast."""
-    noisy = df.select(*by, F.col(base), F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("v", F.col(base) * (1 + F.randn(seed) * spread))
+    """Mean, deviation and interval of ``draws`` noisy copies of a forecast.
+
+    A draw is normal by the hash of its row's key, its number and the seed, so it is the same however the table is split."""
+    draw = df.select(*by, F.col(base), F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("__draw"))
+    name = F.md5(F.concat_ws("|", *[F.col(x).cast("string") for x in by], F.col("__draw").cast("string"), F.lit(str(seed))).cast("binary"))
+    share = lambda at: (F.conv(F.substring(name, at, 12), 16, 10).cast("long") + 0.5) / float(1 << 48)
+    normal = F.sqrt(-2.0 * F.log(share(1))) * F.cos(2.0 * math.pi * share(13))
+    noisy = draw.withColumn("v", F.col(base) * (1 + normal * spread))
     out = noisy.groupBy(*by).agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
     return out.withColumn("bounds", traffic.interval("mean", "std"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.traffic import half_up
 from ..operators import forecast, graph, incidents, windows
@@ -88,7 +89,27 @@ def d18_calibration(spark, sf_dir):
     return forecast.calibration(j9_ensemble(spark, sf_dir), ["horizon"])
 
 
-@query()
+def ridge_sql(name, rows, inputs):
+    """Tables of a ridge regression of y1 to y3 on ``inputs``: sums of products over the training rows, then
+    elimination, one pivot a step, to ``{name}w`` with the weights in the columns after the inputs'."""
+    k = len(inputs) + 1
+    return f"""{name}v AS (SELECT CAST([1.0, {", ".join(inputs)}, y1, y2, y3] AS DOUBLE[]) AS v FROM {rows} WHERE split = 'train'),
+ {name}g AS (SELECT i, list(s ORDER BY j) AS r FROM (SELECT i, j, sum(v[i] * v[j]) + CASE WHEN i = j AND i > 1 THEN 1.0 ELSE 0.0 END AS s FROM {name}v, (SELECT unnest(range(1, {k + 1})) AS i), (SELECT unnest(range(1, {k + 4})) AS j) GROUP BY i, j) GROUP BY i),
+ {name}e(p, m) AS (SELECT 0, list(r ORDER BY i) FROM {name}g UNION ALL SELECT p + 1, list_transform(range(1, {k + 1}), lambda i: CASE WHEN i = p + 1 THEN list_transform(m[p + 1], lambda x: x / m[p + 1][p + 1]) ELSE list_transform(range(1, {k + 4}), lambda j: m[i][j] - m[i][p + 1] * m[p + 1][j] / m[p + 1][p + 1]) END) FROM {name}e WHERE p < {k}),
+ {name}w AS (SELECT m FROM {name}e WHERE p = {k})"""
+
+
+def ridge_predictions(name, model, rows, inputs):
+    """Long rows of the test split by such weights."""
+    k = len(inputs) + 1
+    terms = " + ".join([f"m[1][{k} + h]", *[f"m[{i + 2}][{k} + h] * {x}" for i, x in enumerate(inputs)]])
+    return f"SELECT '{model}' AS model, CAST(h AS INTEGER) AS horizon, CAST([y1, y2, y3][h] AS DOUBLE) AS actual, {terms} AS predicted FROM {rows}, {name}w, (SELECT unnest([1, 2, 3]) AS h) WHERE split = 'test'"
+
+
+MEASURED = f"SELECT model, horizon, count(*) AS n, {R6.format('avg(abs(predicted - actual))')} AS mae, {R6.format('sqrt(avg((predicted - actual) * (predicted - actual)))')} AS rmse, {R4.format('(100 * avg(CASE WHEN actual <> 0 THEN abs(predicted - actual) / abs(actual) END))')} AS mape, {R6.format('avg(predicted - actual)')} AS bias FROM al GROUP BY ALL"
+
+
+@query(f"WITH RECURSIVE {HOURLY}, {ridge_sql('r', 'sp', ['x0', 'x1', 'x2'])}, al AS (SELECT model, horizon, actual, predicted FROM pr WHERE split = 'test' UNION ALL {ridge_predictions('r', 'ridge', 'sp', ['x0', 'x1', 'x2'])}) {MEASURED}")
 def j3_j13_ridge_comparison(spark, sf_dir):
     """Ridge from distributed Gram sums beside the simple forecasters, on the test split."""
     rows = samples(spark, sf_dir)
@@ -98,10 +119,14 @@ def j3_j13_ridge_comparison(spark, sf_dir):
     return forecast.errors(forecast.predictions(rows, HORIZONS, {"ridge": ridge}).where("split = 'test'"), ["model", "horizon"])
 
 
-@query()
+DRAWN = "(CAST(('0x' || substr(md5(node_id || '|' || window_start || '|' || horizon || '|' || draw || '|42'), {}, 12)) AS BIGINT) + CAST(0.5 AS DOUBLE)) / CAST(281474976710656 AS DOUBLE)"
+
+
+@query(f"""WITH {HOURLY}, n AS (SELECT node_id, window_start, horizon, predicted * (1 + sqrt(-2.0 * ln({DRAWN.format(1)})) * cos(2.0 * pi() * {DRAWN.format(13)}) * CAST(0.1 AS DOUBLE)) AS v FROM pr, (SELECT unnest(range(1, 21)) AS draw) WHERE split = 'test' AND model = 'persistence'),
+ m AS (SELECT node_id, window_start, horizon, avg(v) AS mean, stddev_pop(v) AS std FROM n GROUP BY ALL) SELECT node_id, window_start, horizon, {R6.format('mean')} AS mean, {R6.format('std')} AS std, {R6.format('greatest(0.0, mean - 1.96 * std)')} AS lower, {R6.format('(mean + 1.96 * std)')} AS upper FROM m""")
 def j8_monte_carlo(spark, sf_dir):
     rows = forecast.predictions(samples(spark, sf_dir)).where("split = 'test' and model = 'persistence'")
-    return forecast.monte_carlo(rows, ["node_id", "window_start", "horizon"]).select("node_id", "window_start", "horizon", "mean", "std", "bounds.lower", "bounds.upper")
+    return forecast.monte_carlo(rows, ["node_id", "window_start", "horizon"]).select("node_id", "window_start", "horizon", *[half_up(x, 6).alias(x.split(".")[-1]) for x in ("mean", "std", "bounds.lower", "bounds.upper")])
 
 
 @query(f"WITH {TRANS} SELECT source, count(travel_time) AS n, {R4.format('avg(travel_time)')} AS mean, {R4.format('median(travel_time)')} AS median, {R4.format('coalesce(stddev_samp(travel_time), 0)')} AS std, min(travel_time) AS low, max(travel_time) AS high, {R4.format('(avg(travel_time) - 1.96 * coalesce(stddev_samp(travel_time), 0) / sqrt(count(travel_time)))')} AS ci_low, {R4.format('(avg(travel_time) + 1.96 * coalesce(stddev_samp(travel_time), 0) / sqrt(count(travel_time)))')} AS ci_high FROM tr GROUP BY ALL")
@@ -201,7 +226,16 @@ def e19_k10_priority_windows(spark, sf_dir):
     return incidents.priority_windows(paths, "vehicle")
 
 
-@query()
+#: Own lags x0 to x2 and lags propagated over the degree-normalised transition graph, b0 to b2.
+BESIDE = TRANS.replace(OBS, HOURLY) + """, ew AS (SELECT source, target, CAST(count(*) AS DOUBLE) AS w FROM tr GROUP BY ALL), gw AS (SELECT source, target, sum(w) AS w FROM (SELECT * FROM ew UNION ALL SELECT x, x, 1.0 FROM (SELECT source AS x FROM ew UNION SELECT target FROM ew)) GROUP BY ALL), dg AS (SELECT source, greatest(1e-6, sum(w)) AS d FROM gw GROUP BY ALL),
+ an AS (SELECT gw.source, gw.target, w / sqrt(p.d * q.d) AS a FROM gw JOIN dg p ON p.source = gw.source JOIN dg q ON q.source = gw.target), bs AS (SELECT an.source AS node_id, window_start, sum(a * x0) AS b0, sum(a * x1) AS b1, sum(a * x2) AS b2 FROM an JOIN sp ON sp.node_id = an.target GROUP BY ALL), bo AS (SELECT * FROM sp JOIN bs USING (node_id, window_start))"""
+OWN, SPREAD = ["x0", "x1", "x2"], ["b0", "b1", "b2"]
+SETS = {"full": OWN + SPREAD, "temporal_only": OWN, "spatial_only": SPREAD, "one_step": OWN[2:]}
+ABLATION = f"""WITH RECURSIVE {BESIDE}, {", ".join(ridge_sql(m[:2], "bo", x) for m, x in SETS.items())},
+ al AS (SELECT p.model, p.horizon, p.actual, p.predicted FROM pr p JOIN bs USING (node_id, window_start) WHERE split = 'test' UNION ALL {" UNION ALL ".join(ridge_predictions(m[:2], m, "bo", x) for m, x in SETS.items())}) {MEASURED}"""
+
+
+@query(ABLATION)
 def j11_j12_ablation(spark, sf_dir):
     """Ridge on own lags, on lags propagated over the transition graph, on both, and on
     one step of history: errors on the test split."""
@@ -221,3 +255,24 @@ def j11_j12_ablation(spark, sf_dir):
         weights = forecast.ridge(train, inputs, [F.col(f"y_{h}") for h in HORIZONS])
         models[name] = {h: forecast.linear(inputs, weights[:, k]) for k, h in enumerate(HORIZONS)}
     return forecast.errors(forecast.predictions(both, HORIZONS, models).where("split = 'test'"), ["model", "horizon"])
+
+
+#: Six measures of a node's hour, to two digits, so that sums of products are told apart exactly; a sample has those of twelve hours in a row and the vehicles of the next three.
+MEASURES = ("vehicle_count", "flow_rate", "density", "average_speed", "occupancy", "queue_length")
+
+
+def deep_samples(spark, sf_dir, history=12):
+    w = Window.partitionBy("segment_id").orderBy("window_start")
+    rows = states(spark, sf_dir).withColumn("f", F.array(*[half_up(F.col(m).cast("double"), 2) for m in MEASURES]))
+    rows = rows.select("segment_id", "window_start", F.flatten(F.collect_list("f").over(w.rowsBetween(1 - history, 0))).alias("x"), F.lag("window_start", history - 1).over(w).alias("since"), F.lead("window_start", 3).over(w).alias("until"), *[F.lead("vehicle_count", h).over(w).cast("double").alias(f"y_{h}") for h in HORIZONS])
+    return rows.where((F.col("window_start") - F.col("since") == (history - 1) * HOUR) & (F.col("until") - F.col("window_start") == 3 * HOUR))
+
+
+@query(f"""WITH {STATES}, w AS (SELECT segment_id, window_start, flatten(list(CAST([{", ".join(R2.format(m) for m in MEASURES)}] AS DOUBLE[])) OVER (PARTITION BY segment_id ORDER BY window_start ROWS 11 PRECEDING)) AS x, lag(window_start, 11) OVER v AS since, lead(window_start, 3) OVER v AS until, [lead(vehicle_count, 1) OVER v, lead(vehicle_count, 2) OVER v, lead(vehicle_count, 3) OVER v] AS y FROM st WINDOW v AS (PARTITION BY segment_id ORDER BY window_start)),
+ s AS (SELECT list_concat([1.0::DOUBLE], x, CAST(y AS DOUBLE[])) AS v FROM w WHERE window_start - since = 39600 AND until - window_start = 10800)
+ SELECT CAST(i - 1 AS INTEGER) AS i, CAST(j - 1 AS INTEGER) AS j, {R4.format('sum(v[i] * v[j])')} AS s FROM s, (SELECT unnest(range(1, 77)) AS i), (SELECT unnest(range(1, 77)) AS j) WHERE i <= j GROUP BY i, j""")
+def j3_j5_gram_sums(spark, sf_dir):
+    """What a ridge regression on 72 inputs needs of all samples: 2926 sums."""
+    rows = deep_samples(spark, sf_dir)
+    vector = F.concat(F.array(F.lit(1.0)), F.col("x"), F.array(*[F.col(f"y_{h}") for h in HORIZONS]))
+    return forecast.gram_sums(rows, vector).select("i", "j", half_up("s", 4).alias("s"))
