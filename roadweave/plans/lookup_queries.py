@@ -9,6 +9,7 @@ from ..functions import geo, traffic
 from ..functions.traffic import half_up
 from ..operators import boxes as boxops
 from ..operators import evaluation, graph, lookups, series, windows
+from ..sources import annotations
 from .tables import BOXES, IOU, JOURNEYS, OBS, STATES, TRANS, boxes, journeys, observations, states, table, transitions
 
 QUERIES = {}
@@ -381,3 +382,57 @@ def i9_node_features(spark, sf_dir):
     """Features of the nodes with their places in the order of their ids; nodes are a short list."""
     own = timed(spark, sf_dir).groupBy("node_id").agg(F.count("*").alias("seen"), F.countDistinct("entity_id").alias("entities"), F.max("t").alias("last_seen"))
     return own.select("node_id", (F.row_number().over(Window.orderBy("node_id")) - 1).cast("long").alias("i"), "seen", "entities", "last_seen")
+
+
+def ground_truth(spark, sf_dir):
+    """Every entity as a vehicle with a plate, or one in five without; its sightings are its frames."""
+    who, event = F.col("user_id"), F.col("event_id")
+    plate = F.when(who % 5 != 0, F.concat(F.lit("TN"), F.lpad((who % 100).cast("string"), 2, "0"), F.lit("AB"), F.lpad(who.cast("string"), 4, "0")))
+    return table(spark, sf_dir, "events").select(who.alias("who"), plate.alias("plate"), event.alias("frame"), (event % 900).alias("x"), (event % 500).alias("y"), (F.lit(40) + event % 30).alias("w"))
+
+
+#: What stands in the files; frames in order of their numbers.
+TRUTH = """v AS (SELECT user_id AS who, CASE WHEN user_id % 5 <> 0 THEN 'TN' || lpad(CAST(user_id % 100 AS VARCHAR), 2, '0') || 'AB' || lpad(CAST(user_id AS VARCHAR), 4, '0') END AS plate, event_id AS frame, event_id % 900 AS x, event_id % 500 AS y, 40 + event_id % 30 AS w FROM events)"""
+SAID = "CASE WHEN plate IS NULL THEN 'CAM_V' || who ELSE plate END AS vehicle_gt_id, CAST(who AS VARCHAR) AS raw_id, coalesce(plate, '') AS raw_plate"
+
+
+@query(f"""WITH {TRUTH} SELECT {SAID}, CASE WHEN who % 4 = 0 THEN 'motorcycle' ELSE 'car' END AS vehicle_type, who % 4 = 0 AS motorcycle, who % 7 = 0 AS discard, 'A & "B" <' || who AS model, CAST(count(*) AS INTEGER) AS observation_count, CAST(min(frame) AS INTEGER) AS min_frame, CAST(max(frame) AS INTEGER) AS max_frame, CAST(sum(x + y + w + 20) AS DOUBLE) AS plate_sides, CAST(sum(x + y + 5 * w + 100) AS DOUBLE) AS vehicle_sides FROM v GROUP BY who, plate
+ UNION ALL SELECT coalesce(plate, 'CAM_V' || frame), CAST(frame AS VARCHAR), coalesce(plate, ''), 'car', false, false, '', 1, CAST(frame AS INTEGER), CAST(frame AS INTEGER), CAST(x + y + w + 20 AS DOUBLE), NULL FROM v WHERE frame % 10 = 0""")
+def a5_ground_truth_xml(spark, sf_dir):
+    """The given tables rendered in both XML forms, and read back."""
+    rows = ground_truth(spark, sf_dir)
+    box = lambda x, y, w, h, names: dict(zip(names, (x, y, w, h), strict=True))
+    x, y, w = F.col("x"), F.col("y"), F.col("w")
+    full, short = ("x", "y", "width", "height"), ("x1", "y1", "w", "h")
+    odd = F.col("frame") % 2 == 1
+    inner = F.when(odd, F.concat(annotations.element("plate", box(x, y, w, F.lit(20), full)), annotations.element("vehicle", box(x, y, 5 * w, F.lit(100), full)))).otherwise(F.concat(annotations.element("plate_bbox", box(x, y, w, F.lit(20), short)), annotations.element("bbox", box(x, y, 5 * w, F.lit(100), short))))
+    frames = rows.select("who", "plate", annotations.element("frame", {"number": F.when(odd, F.col("frame")), "id": F.when(~odd, F.col("frame"))}, inner).alias("xml"))
+    who = F.col("who")
+    facts = [F.when(F.col("plate").isNotNull(), F.concat(F.lit("<plate>"), F.col("plate"), F.lit("</plate>"))).otherwise(""), annotations.element("motorcycle", {}, (who % 4 == 0).cast("int").cast("string")), annotations.element("model", {}, F.concat(F.lit("A &amp; &quot;B&quot; &lt;"), who))]
+    one = frames.groupBy("who", "plate").agg(F.concat_ws("", F.collect_list("xml")).alias("xml")).select(F.lit("vehicles").alias("root"), (who % 8).alias("file"), annotations.element("vehicle", {"id": who, "discard": F.when(who % 7 == 0, "true")}, F.concat(*facts, F.col("xml"))).alias("value"))
+    other = rows.where("frame % 10 = 0").select(F.lit("GroundTruthRoot").alias("root"), (F.col("frame") % 80).alias("file"), annotations.element("vehicle", {"iframe": F.col("frame"), "placa": F.col("plate")}, annotations.element("region", box(x, y, w, F.lit(20), full))).alias("value"))
+    folder = graph.shared_path(spark, "truth")
+    document = F.concat(F.lit("<"), "root", F.lit(">\n"), F.concat_ws("\n", F.collect_list("value")), F.lit("\n</"), "root", F.lit(">"))
+    files = one.unionByName(other).groupBy("root", "file").agg(document.alias("value"))
+    files.repartition("root", "file").write.option("maxRecordsPerFile", 1).partitionBy("root", "file").text(folder)  # one document a file
+    return sides_of(annotations.xml_vehicles(spark, f"{folder}/*/*", "CAM")[0])
+
+
+def sides_of(vehicles):
+    total = lambda name: F.aggregate("observations", F.lit(0.0), lambda s, o: s + F.aggregate(o[name], F.lit(0.0), lambda t, v: t + v))
+    return vehicles.select("vehicle_gt_id", "raw_id", "raw_plate", "vehicle_type", "motorcycle", "discard", "model", "observation_count", "min_frame", "max_frame", total("plate_box").alias("plate_sides"), total("vehicle_box").alias("vehicle_sides"))
+
+
+@query(f"WITH {TRUTH} SELECT {SAID}, 'car' AS vehicle_type, who % 4 = 0 AS motorcycle, who % 7 = 0 AS discard, 'A & \"B\" <' || who AS model, CAST(count(*) AS INTEGER) AS observation_count, CAST(min(frame) AS INTEGER) AS min_frame, CAST(max(frame) AS INTEGER) AS max_frame, CAST(sum(x + y + w + 20) AS DOUBLE) AS plate_sides, CAST(sum(x + y + 5 * w + 100) AS DOUBLE) AS vehicle_sides FROM v WHERE who % 3 <> 0 GROUP BY who, plate")
+def a5_ground_truth_json(spark, sf_dir):
+    """The given tables rendered as JSON lists, and read back; a third of the vehicles is another camera's."""
+    rows = ground_truth(spark, sf_dir)
+    x, y, w = (F.col(c).cast("double") for c in ("x", "y", "w"))
+    seen = F.struct("frame", F.array(x, y, w, F.lit(20.0)).alias("plate_bbox"), F.array(x, y, 5 * w, F.lit(100.0)).alias("bbox"))
+    who = F.col("who")
+    items = rows.groupBy("who", "plate").agg(F.collect_list(seen).alias("frames"))
+    item = F.struct(F.when(who % 2 == 0, who).alias("id"), F.when(who % 2 == 1, who).alias("vehicle_id"), F.col("plate"), (who % 4 == 0).alias("motorcycle"), (who % 7 == 0).alias("discard"), F.concat(F.lit('A & "B" <'), who).alias("model"), F.when(who % 3 == 0, "OTHER").when(who % 3 == 1, "CAM_EAST").alias("camera_id"), "frames")
+    some = items.groupBy((who % 8).alias("file")).agg(F.to_json(F.struct(F.collect_list(item).alias("vehicles"))).alias("value")).select("value")
+    folder = graph.shared_path(spark, "truth")
+    some.write.option("maxRecordsPerFile", 1).text(folder)  # one document a file
+    return sides_of(annotations.json_vehicles(spark, folder, "CAM")[0])

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..functions.traffic import distance_kernel, half_up
 
 # The columns of a verification table.
-VERIFICATION = "track_id string, camera_id string, frame_id long, raw_text string, norm_text string, ocr_conf double, valid_conf double, quality double, status string, crop_path string, verdict string, reviewer string, note string"
+VERIFICATION = "crop_id string, frame_number long, track_id string, timestamp double, raw_ocr string, normalized_ocr string, ocr_confidence double, plate_detector_confidence double, indian_format string, indian_validation_reason string, temporal_consistency double, human_ground_truth string, human_result string"
 
 
 def weighted_edges(spark: SparkSession, path: str) -> DataFrame:
@@ -23,17 +23,19 @@ def with_reverse(edges: DataFrame) -> DataFrame:
     return edges.unionByName(back.join(edges, ["source", "target"], "left_anti"))
 
 
-def annotations(spark: SparkSession, path: str, kind: str = "xml", tag: str = "vehicle") -> DataFrame:
-    """Ground truth from XML (one row a tag) or JSON."""
-    return spark.read.format("xml").option("rowTag", tag).load(path) if kind == "xml" else spark.read.option("multiLine", True).json(path)
-
-
 def verification(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(VERIFICATION).option("header", True).option("mode", "PERMISSIVE").csv(path)
+    """A verification table; values that don't fit their column are null. Empty texts stay empty."""
+    return spark.read.schema(VERIFICATION).option("header", True).option("mode", "PERMISSIVE").option("emptyValue", "").option("escape", '"').option("multiLine", True).csv(path)
 
 
 def append_verification(df: DataFrame, path: str) -> None:
-    df.write.mode("append").option("header", True).csv(path)
+    """Add rows to a verification table: measures to three digits, columns that ``df`` lacks empty, for people to fill."""
+    measures = ("timestamp", "ocr_confidence", "plate_detector_confidence", "temporal_consistency")
+    columns = []
+    for name, kind in (field.split() for field in VERIFICATION.split(", ")):
+        value = F.col(name).cast(kind) if name in df.columns else F.lit("" if kind == "string" else None).cast(kind)
+        columns.append((half_up(value, 3) if name in measures else value).alias(name))
+    df.select(*columns).write.mode("append").option("header", True).option("escape", '"').csv(path)
 
 
 def audit_events(obs: DataFrame) -> DataFrame:
