@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import fusion
+from ..operators.graph import shared_path
 from ..streaming import evidence, flows, identities, tracker
 from .identity_queries import topology
 from .tables import HOUR, OBS, observations, table
@@ -211,3 +212,27 @@ def l6_fusion(spark, sf_dir):
 def d26_evidence_fusion(spark, sf_dir):
     """The last of these rows of every entity."""
     return fusion.fused(readings_of_sightings(observations(spark, sf_dir)))
+
+
+#: Sightings come week by week, and one in ten two weeks late.
+WEEK = 7 * 86400
+BATCHES = f"""{OBS}, lo AS (SELECT min(t) AS t0 FROM obs), ba AS (SELECT event_id, t, epoch_us(ts) // 1000 AS ms, (t - t0) // {WEEK} + CASE WHEN event_id % 10 = 0 THEN 2 ELSE 0 END AS batch FROM obs, lo),
+ mk AS (SELECT batch, max(max(ms)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING) - 86400000 AS mark FROM ba GROUP BY batch), la AS (SELECT ba.*, coalesce(ms <= mark, false) AS late FROM ba JOIN mk USING (batch))"""
+
+
+@query(f"WITH {BATCHES} SELECT t // 86400 AS day, count(*) FILTER (NOT late) AS in_time, count(*) FILTER (late) AS late, CAST(sum(count(*) FILTER (late)) OVER () AS BIGINT) AS dropped FROM la GROUP BY 1")
+def l1_late_rows(spark, sf_dir):
+    """Rows in time and late rows of every day, and how many Spark says it dropped, with a day's grace."""
+    obs = observations(spark, sf_dir).select("event_id", "node_id", "entity_id", "ts")
+    first = obs.agg(F.min(F.unix_seconds("ts"))).first()[0]
+    path = shared_path(spark, "weeks")
+    batch = F.floor((F.unix_seconds("ts") - F.lit(first)) / WEEK) + 2 * (F.col("event_id") % 10 == 0).cast("long")
+    weeks = [r[0] for r in obs.select(batch.alias("b")).distinct().orderBy("b").collect()] if first is not None else []  # a handful
+    obs.limit(0).write.parquet(f"{path}/none")
+    for week in weeks:
+        obs.where(batch == week).coalesce(1).write.parquet(f"{path}/{week}")
+    stream = spark.readStream.schema(obs.schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(f"{path}/*")
+    kept, late, dropped = flows.with_late_rows(stream, ["event_id"], 86_400_000, "late")
+    day = F.floor(F.unix_seconds("ts") / 86400).alias("day")
+    both = kept.select(day, F.lit(1).alias("in_time"), F.lit(0).alias("late")).unionByName(late.select(day, F.lit(0).alias("in_time"), F.lit(1).alias("late")))
+    return both.groupBy("day").agg(F.sum("in_time").alias("in_time"), F.sum("late").alias("late")).withColumn("dropped", F.lit(dropped).cast("long"))

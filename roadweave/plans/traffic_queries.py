@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import text, traffic
+from ..functions import tables, text, traffic
 from ..operators import series, snapshots, windows
 from .tables import HOUR, JOURNEYS, OBS, STATES, TRANS, journeys, observations, states, table, transitions
 
@@ -73,6 +73,14 @@ def q3_windows_with_gaps(spark, sf_dir):
     return windows.sliding(observations(spark, sf_dir), 1800, 7200).groupBy("window_start").agg(F.count("*").alias("n"))
 
 
+@query(f"""WITH {OBS} SELECT w * 7200 AS window_start, count(*) AS n FROM (SELECT *, unnest(generate_series(CAST(floor((t - 1800) / 7200) AS BIGINT) + 1, t // 7200)) AS w FROM obs) GROUP BY ALL""")
+def q3_expand_windows_sql(spark, sf_dir):
+    """The same windows by the table function, in SQL."""
+    tables.register(spark)
+    rows = observations(spark, sf_dir).select(windows.epoch("ts").alias("t"))
+    return spark.sql("SELECT window_start, count(*) AS n FROM {obs}, LATERAL expand_windows(t, 1800, 7200, NULL) GROUP BY window_start", obs=rows)
+
+
 @query(f"""WITH {OBS}, b AS (SELECT min(t) // 3600 AS lo, max(t) // 3600 AS hi FROM obs), s AS (SELECT unnest(generate_series(lo, hi)) * 3600 AS window_start FROM b), n AS (SELECT DISTINCT node_id FROM obs),
  c AS (SELECT t // 3600 * 3600 AS window_start, node_id, count(*) AS k FROM obs GROUP BY ALL) SELECT s.window_start, n.node_id, coalesce(k, 0) AS n FROM s CROSS JOIN n LEFT JOIN c ON c.window_start = s.window_start AND c.node_id = n.node_id""")
 def q2_include_empty_windows(spark, sf_dir):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
@@ -9,6 +10,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.graph import shared_path
@@ -186,6 +188,63 @@ def recent(stream: DataFrame, steps: int = 60, forget_s: int = 30 * 86400, late:
     return keyed(stream, ["entity_id"], (0, []), step, lambda now: now[0] + forget_s, out, "last long, kept array<double>", None, late)
 
 
+class DroppedRows(StreamingQueryListener):
+    """How many rows each query's stateful operators dropped behind the watermark, as it runs."""
+
+    def __init__(self):
+        self.counts: dict[str, int] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self.counts.setdefault(str(event.id), 0)
+
+    def onQueryProgress(self, event) -> None:
+        n = sum(op.numRowsDroppedByWatermark for op in event.progress.stateOperators)
+        self.counts[str(event.progress.id)] = self.counts.get(str(event.progress.id), 0) + n
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
+def with_late_rows(stream: DataFrame, keys: list[str], late_ms: int, label: str) -> tuple[DataFrame, DataFrame, int]:
+    """(rows in time, late rows, number that Spark dropped) of a stream with event time ``ts``, run to its end.
+
+    Rows in time are those of ``once_a_frame`` by ``keys``. A row is late if its time isn't past the latest time of
+    the micro-batches up to the last but one before its own, less ``late_ms``: by that watermark Spark drops rows, as
+    a batch may still feed later operators with what the newer one makes old. Late rows go to a table of their own, by batch, so that
+    a batch that is run again replaces its rows; so do the batches' latest times, one row each."""
+    spark = stream.sparkSession
+    path = shared_path(spark, label)
+    listener = DroppedRows()
+    spark.streams.addListener(listener)
+
+    def aside(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        latest = f"{path}/latest"
+        earlier = spark.read.schema("ms long, batch long").parquet(latest).where(F.col("batch") < number - 1).agg(F.max("ms")).first()[0] if number else None
+        late = batch.where(F.unix_millis("ts") <= F.lit(earlier - late_ms)) if earlier is not None else batch.limit(0)
+        late.write.mode("overwrite").parquet(f"{path}/late/batch={number}")
+        batch.agg(F.max(F.unix_millis("ts")).alias("ms")).write.mode("overwrite").parquet(f"{latest}/batch={number}")
+        batch.unpersist()
+
+    try:
+        kept = stream.withWatermark("ts", f"{late_ms} milliseconds").dropDuplicatesWithinWatermark(keys)
+        q = kept.writeStream.outputMode("append").option("checkpointLocation", f"{path}/kept-state").trigger(availableNow=True).foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/kept/batch={number}")).start()
+        q.awaitTermination()
+        side = stream.writeStream.option("checkpointLocation", f"{path}/late-state").trigger(availableNow=True).foreachBatch(aside).start()
+        side.awaitTermination()
+        said = sum(op["numRowsDroppedByWatermark"] for p in q.recentProgress for op in p["stateOperators"])  # of the last hundred batches
+        deadline = time.time() + 30
+        while listener.counts.get(str(q.id), 0) < said and time.time() < deadline:
+            time.sleep(0.1)  # progress reaches listeners a moment later
+    finally:
+        spark.streams.removeListener(listener)
+    read = lambda name: spark.read.schema(stream.schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(f"{path}/{name}")
+    return read("kept"), read("late"), listener.counts.get(str(q.id), 0)
+
+
 @contextmanager
 def rocksdb(spark: SparkSession) -> Iterator[None]:
     """The state store that arbitrary state needs, for the streams started within."""
