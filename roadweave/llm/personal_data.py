@@ -11,7 +11,7 @@ stays so. Sure instances are found identifiers of kind ``context``.
 
 Occurrences are counted exactly, by 64-bit hash, and only for the patterns that
 stand beside enough different instances; no other word or pair is shuffled.
-Patterns are whole words: a word glued to an entity, cut by the window or broken
+Patterns are whole words, however long: a word glued to an entity or broken
 by the match before is none, as it isn't counted as a word of the corpus either.
 """
 
@@ -35,8 +35,9 @@ TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 
 #: Kinds by number, in the order in which spans are listed.
 KINDS = ("email", "ip", "card", "phone", "context")
-#: Code points of context that are looked at.
-CONTEXT = 48
+#: Code points of a gap in which two whole words are looked for first; where there are fewer, the whole gap is searched.
+NEAR = 48
+_S, _W = r"[\x20\x09-\x0D]++", r"[^\x20\x09-\x0D]++"
 #: At most so many patterns are broadcast to count them; more are joined after their counts are shuffled.
 MOST_BROADCAST = 1_000_000
 #: A pattern needs so many different known instances and such a share of its occurrences, an instance such a score.
@@ -45,6 +46,19 @@ LEAST_SUPPORT, LEAST_SHARE, LEAST_SCORE = 5, 0.5, 0.8
 LEAST_LENGTH, LEAST_DIGITS = 6, 4
 
 
+def _words_before(gap: Column, first: Column) -> Column:
+    """The last two words of a gap with what stands after each, if white space ends it; a word that is glued to the match before is none."""
+    near = F.regexp_extract(F.right(gap, F.lit(NEAR)), rf"(?<=[\x20\x09-\x0D])(?:{_W}{_S}){{2}}$", 0)
+    whole = F.when(first, gap).otherwise(F.regexp_replace(gap, rf"^{_W}", ""))
+    return F.when(near != "", near).otherwise(F.regexp_extract(whole, rf"(?<![^\x20\x09-\x0D])(?:{_W}{_S}){{1,2}}$", 0))
+
+
+def _words_after(gap: Column, last: Column) -> Column:
+    """The first two words of a gap with what stands before each, if white space begins it; a word that is glued to the next match is none."""
+    found = F.regexp_extract(gap, rf"^{_S}{_W}(?:{_S}{_W})?", 0)
+    return F.when(last | (F.length(found) < F.length(gap)), found).otherwise(F.regexp_replace(found, rf"(?<![^\x20\x09-\x0D]){_W}$", ""))
+
+
 def _matches(text: Column, pattern: str, kind: int) -> Column:
     """Every match with the length of the gap before it and the text around it."""
     both = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"))
@@ -58,11 +72,8 @@ def _matches(text: Column, pattern: str, kind: int) -> Column:
                     i.alias("at"),
                     F.length(F.get(t["gaps"], i)).alias("gap"),
                     h.alias("value"),
-                    F.right(F.get(t["gaps"], i), F.lit(CONTEXT)).alias("left"),
-                    # the word at which the text is cut, or that is glued to the next match, is left out
-                    F.when(
-                        (i + 2 == F.size(t["gaps"])) & (F.length(F.get(t["gaps"], i + 1)) <= CONTEXT), F.get(t["gaps"], i + 1)
-                    ).otherwise(F.regexp_replace(F.left(F.get(t["gaps"], i + 1), F.lit(CONTEXT)), r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]++$", "")).alias("right"),
+                    _words_before(F.get(t["gaps"], i), i == 0).alias("left"),
+                    _words_after(F.get(t["gaps"], i + 1), i + 2 == F.size(t["gaps"])).alias("right"),
                 ),
             ),
         ),
@@ -102,8 +113,6 @@ def matches(found: DataFrame) -> DataFrame:
     placed = placed.withColumn("start", F.col("end") - F.length("value"))
     # tokens lose the punctuation around them
     token = F.col("kind") == 4
-    from_start = (F.col("at") == 0) & (F.col("gap") == F.length("left"))
-    placed = placed.withColumn("left", F.when(from_start, F.col("left")).otherwise(F.regexp_replace("left", r"^[^\x20\x09-\x0D]++", "")))
     lead = F.length(F.regexp_extract("value", r"^[\"'(\[<{.,;:!?]*+", 0))
     bare = F.regexp_replace(F.regexp_replace("value", r"^[\"'(\[<{.,;:!?]++", ""), r"(?<![\"')\]>}.,;:!?])[\"')\]>}.,;:!?]++$", "")
     placed = placed.withColumn("start", F.when(token, F.col("start") + lead).otherwise(F.col("start"))).withColumn("value", F.when(token, bare).otherwise(F.col("value")))

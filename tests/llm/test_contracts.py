@@ -160,3 +160,14 @@ def test_repeated_words_of_a_long_text(spark):
     docs = spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")
     got = quality.assess(docs, docs.select("doc_id").limit(0)).first().quality
     assert (got.n_words, got.n_repeat_words) == (1_000_000, 6)
+
+
+@pytest.mark.parametrize("length", [3, 46, 50, 300])
+def test_context_words_of_any_length(spark, length):
+    """A label announces identifiers however long it is, before or after them, next to a text's ends or between matches."""
+    one, two = (start + "x" * (length - 2) for start in ("zq", "vw"))
+    rows = [(k, f"our {one} mail{k}@host.org and{k}") for k in range(8)] + [(20 + k, f"our {one} 70{k}-88{k}19 or{k}") for k in range(5)]
+    rows += [(40 + k, f"by{k} mail{k}@host.net\n{two} end") for k in range(8)] + [(60 + k, f"at{k} 50{k}-66{k}19 {two} end") for k in range(5)]
+    rows += [(80 + k, f"x mail{k}@host.com{one} 90{k}-11{k}19 z") for k in range(5)]  # glued to the match before
+    got = {r.id: [s for s in r.spans if s.kind == 4] for r in personal_data.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(len(got[20 + k]) == 1 and len(got[60 + k]) == 1 and not got[80 + k] for k in range(5))
