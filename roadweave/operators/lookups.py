@@ -58,3 +58,23 @@ def ahead(rows: DataFrame, road: list[str], position: str) -> DataFrame:
     places = rows.select(*road, position).distinct()
     gap = F.lead(position).over(Window.partitionBy(*road).orderBy(position)) - F.col(position)
     return rows.join(places.withColumn("ahead", gap), [*road, position])
+
+
+#: Ranges are told apart by the power of two that holds their width, between these.
+LEAST_LEVEL, MOST_LEVEL = -20, 60
+
+
+def within(points: DataFrame, ranges: DataFrame, on: list[str], at: str, low: str, high: str) -> DataFrame:
+    """Pairs of a range and a point of its group with low <= at <= high, the columns of both.
+
+    Every range is as wide as it says: it lies in two bins at most of the least power of two that isn't
+    narrower, and a point looks into one bin of each width that occurs (81 at most, counted first). So a key
+    holds what is near in a group, not the whole group. Bounds are finite; ranges that end before they begin and nulls have no pairs."""
+    width = F.greatest(F.col(high) - F.col(low), F.lit(2.0**LEAST_LEVEL))
+    level = F.least(F.ceil(F.log2(width)).cast("int"), F.lit(MOST_LEVEL))
+    placed = ranges.where(F.col(low) <= F.col(high)).withColumn("__level", level)
+    levels = [r[0] for r in placed.select("__level").distinct().collect()]
+    size = F.pow(F.lit(2.0), F.col("__level"))
+    bins = placed.withColumn("__bin", F.explode(F.sequence(F.floor(F.col(low) / size), F.floor(F.col(high) / size))))
+    looking = points.withColumn("__level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumn("__bin", F.floor(F.col(at) / size))
+    return bins.join(looking, [*on, "__level", "__bin"]).where(F.col(at).between(F.col(low), F.col(high))).drop("__level", "__bin")

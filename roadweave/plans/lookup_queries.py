@@ -128,10 +128,9 @@ def c16_negative_pairs(spark, sf_dir):
 
 @query("SELECT s_suppkey, c_custkey, abs(c_acctbal) / 20 AS distance FROM supplier JOIN customer ON s_nationkey = c_nationkey AND abs(c_acctbal) / 20 BETWEEN 50 AND 50 + abs(s_acctbal) / 100")
 def c19_sensors_in_range(spark, sf_dir):
-    seen = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", (F.abs("c_acctbal") / 20).alias("distance"))
-    reach = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", (F.abs("s_acctbal") / 100).alias("reach"))
-    near = (F.col("s_nationkey") == F.col("c_nationkey")) & F.col("distance").between(50, 50 + F.col("reach"))
-    return reach.join(seen, near).select("s_suppkey", "c_custkey", "distance")
+    seen = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("road"), (F.abs("c_acctbal") / 20).alias("distance"))
+    reach = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("road"), F.lit(50.0).alias("low"), (50.0 + F.abs("s_acctbal") / 100).alias("high"))
+    return lookups.within(seen, reach, ["road"], "distance", "low", "high").select("s_suppkey", "c_custkey", "distance")
 
 
 VERDICTS = "v AS (SELECT doc_id, source, n_chars, CASE WHEN quality IS NULL THEN 'UNCLEAR' WHEN (n_chars >= 600) = (quality = 1) THEN 'CORRECT' ELSE 'WRONG' END AS verdict FROM documents LEFT JOIN labels USING (doc_id))"
