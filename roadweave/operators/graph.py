@@ -8,6 +8,7 @@ from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import traffic
 from ..functions.traffic import half_up
@@ -153,3 +154,22 @@ def symmetric(edges: DataFrame, n: str = "n", last: str = "l") -> DataFrame:
     """Evidence of both directions on either: the larger count and the later struct ``last``."""
     back = edges.where("source <> target").select(F.col("target").alias("source"), F.col("source").alias("target"), *[c for c in edges.columns if c not in ("source", "target")])
     return edges.unionByName(back).groupBy("source", "target").agg(F.max(n).alias(n), F.max(last).alias(last))
+
+
+def indexed(nodes: DataFrame, key: str, out: str = "i") -> DataFrame:
+    """``nodes`` with the place of each row, from 0, in the order of ``key`` (null first; equal ones in any order).
+
+    Range partitions are sorted by themselves, and places go on from one to the next by the partitions' counts, of
+    which there is one row each: no task sorts or numbers all nodes."""
+    dealt = nodes.repartitionByRange(key).sortWithinPartitions(key)
+    placed = written(dealt.withColumns({"__part": F.spark_partition_id(), "__place": F.monotonically_increasing_id() % (1 << 33)}), "indexed")
+    before = F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    first = placed.groupBy("__part").agg(F.count("*").alias("n")).select("__part", F.coalesce(before, F.lit(0)).alias("__before"))
+    return placed.join(F.broadcast(first), "__part").withColumn(out, F.col("__before") + F.col("__place")).drop("__part", "__place", "__before")
+
+
+def edge_index(edges: DataFrame, source: str, target: str, sources: DataFrame, targets: DataFrame) -> DataFrame:
+    """(source_i, target_i) of each distinct edge whose ends are among the ``indexed`` nodes (columns key, i)."""
+    each = edges.select(F.col(source).alias("__s"), F.col(target).alias("__t")).distinct()
+    of = lambda nodes, name, out: nodes.select(F.col("key").alias(name), F.col("i").alias(out))
+    return each.join(of(sources, "__s", "source_i"), "__s").join(of(targets, "__t", "target_i"), "__t").select("source_i", "target_i")

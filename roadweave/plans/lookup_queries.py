@@ -383,6 +383,34 @@ def i9_node_features(spark, sf_dir):
     return own.select("node_id", (F.row_number().over(Window.orderBy("node_id")) - 1).cast("long").alias("i"), "seen", "entities", "last_seen")
 
 
+@query(f"WITH {OBS}, v AS (SELECT entity_id AS vehicle, coalesce(arg_max(coalesce(speed, 0), (ts, event_id)), 0.0) AS speed, CASE WHEN entity_id % 2 = 0 THEN 1.0 ELSE 2.0 END AS kind, CAST(count(*) AS DOUBLE) AS seen FROM obs GROUP BY entity_id) SELECT vehicle, row_number() OVER (ORDER BY vehicle) - 1 AS i, CAST(speed AS DOUBLE) AS speed, CAST(kind AS DOUBLE) AS kind, seen FROM v")
+def i9_vehicle_features(spark, sf_dir):
+    """Features of vehicles by their places: last speed, kind, sightings."""
+    own = vehicles_seen(spark, sf_dir)
+    return graph.indexed(own, "vehicle").select("vehicle", "i", "speed", "kind", "seen")
+
+
+def vehicles_seen(spark, sf_dir):
+    last = F.max_by(F.coalesce("speed", F.lit(0.0)), F.struct("ts", "event_id"))
+    return observations(spark, sf_dir).groupBy(F.col("entity_id").alias("vehicle")).agg(last.alias("speed"), F.count("*").cast("double").alias("seen")).withColumn("kind", F.when(F.col("vehicle") % 2 == 0, 1.0).otherwise(2.0))
+
+
+@query(f"WITH {STATES}, l AS (SELECT *, row_number() OVER (PARTITION BY segment_id ORDER BY window_start DESC) AS k FROM st) SELECT segment_id, row_number() OVER (ORDER BY segment_id) - 1 AS i, CAST(vehicle_count AS DOUBLE) AS vehicle_count, density, average_speed, CAST(queue_length AS DOUBLE) AS queue_length, CAST(100 AS DOUBLE) AS capacity, congestion FROM l WHERE k = 1")
+def i9_road_features(spark, sf_dir):
+    """Features of roads by their places, from each one's last hour; a capacity that isn't known is 100."""
+    names = ("vehicle_count", "density", "average_speed", "queue_length")
+    last = states(spark, sf_dir).groupBy("segment_id").agg(F.max_by(F.struct(*names, "congestion"), "window_start").alias("s"))
+    return graph.indexed(last, "segment_id").select("segment_id", "i", *[F.col(f"s.{n}").cast("double").alias(n) for n in names], F.lit(100.0).alias("capacity"), "s.congestion")
+
+
+@query(f"WITH {OBS}, v AS (SELECT entity_id, row_number() OVER (ORDER BY entity_id) - 1 AS i FROM (SELECT DISTINCT entity_id FROM obs)), c AS (SELECT node_id, row_number() OVER (ORDER BY node_id) - 1 AS i FROM (SELECT DISTINCT node_id FROM obs)) SELECT DISTINCT v.i AS source_i, c.i AS target_i FROM obs JOIN v USING (entity_id) JOIN c USING (node_id)")
+def i9_observed_by(spark, sf_dir):
+    """Which vehicle was seen by which camera, as pairs of their places."""
+    obs = observations(spark, sf_dir)
+    placed = lambda c: graph.indexed(obs.select(F.col(c).alias("key")).distinct(), "key")
+    return graph.edge_index(obs, "entity_id", "node_id", placed("entity_id"), placed("node_id"))
+
+
 def ground_truth(spark, sf_dir):
     """Every entity as a vehicle with a plate, or one in five without; its sightings are its frames."""
     who, event = F.col("user_id"), F.col("event_id")
