@@ -104,9 +104,9 @@ def totals_rollup(states: DataFrame) -> DataFrame:
 
 
 def upsert_nodes(obs: DataFrame) -> DataFrame:
-    """First and last sight, number of sights, and the newest attributes of an entity."""
+    """First and last sight, number of sights, and the newest attributes of an entity; an unknown one doesn't replace a known one."""
     newest = F.struct("ts", "event_id")
-    return obs.groupBy("entity_id").agg(F.min(epoch("ts")).alias("first_seen"), F.max(epoch("ts")).alias("last_seen"), F.count("*").alias("sights"), F.max_by("node_id", newest).alias("last_node"), F.max_by("speed", newest).alias("last_speed"))
+    return obs.groupBy("entity_id").agg(F.min(epoch("ts")).alias("first_seen"), F.max(epoch("ts")).alias("last_seen"), F.count("*").alias("sights"), F.max_by("node_id", F.when(F.col("node_id").isNotNull(), newest)).alias("last_node"), F.max_by("speed", F.when(F.col("speed").isNotNull(), newest)).alias("last_speed"))
 
 
 def static_adjacency(edges: DataFrame) -> DataFrame:
