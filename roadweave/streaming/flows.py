@@ -24,8 +24,9 @@ def observations(spark: SparkSession, folder: str, name: str = "events") -> Data
 
 
 def windowed(stream: DataFrame, width: str, late: str = "1 hour", slide: str | None = None) -> DataFrame:
-    """Counts of every window and node; rows later than the watermark are dropped."""
-    return stream.withWatermark("ts", late).groupBy(F.window("ts", width, slide), "node_id").agg(F.count("*").alias("n"), F.count_if(F.col("speed") < 5).alias("queued"), F.approx_count_distinct("entity_id").alias("entities"))
+    """Counts of every window and node; rows later than the watermark are dropped. A speed that isn't positive is
+    unknown, so it is no queue."""
+    return stream.withWatermark("ts", late).groupBy(F.window("ts", width, slide), "node_id").agg(F.count("*").alias("n"), F.count_if((F.col("speed") > 0) & (F.col("speed") < 5)).alias("queued"), F.approx_count_distinct("entity_id").alias("entities"))
 
 
 def once_a_frame(stream: DataFrame, keys: list[str], late: str = "1 hour") -> DataFrame:
