@@ -28,6 +28,6 @@ def zeros(tmp_path_factory):
     return tables(tmp_path_factory.mktemp("made"), "zeros", "* REPLACE (CASE WHEN event_id % 3 = 0 THEN 0.0 ELSE value END AS value)")
 
 
-@pytest.mark.parametrize("name", ["l2_stream_windows", "g8_upsert_nodes"])
+@pytest.mark.parametrize("name", ["l2_stream_windows", "c4_checkpoint_verdicts", "g8_upsert_nodes"])
 def test_values_of_zero_are_unknown(spark, zeros, name):
     assert differences(spark, connect(zeros), zeros, all_queries()[name], all_sql()[name]) == ""
