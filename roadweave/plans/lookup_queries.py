@@ -411,6 +411,10 @@ def i9_observed_by(spark, sf_dir):
     return graph.edge_index(obs, "entity_id", "node_id", placed("entity_id"), placed("node_id"))
 
 
+#: Vehicles, and vehicles of a single frame, of one file of ground truth by the ranges of their ids: files become more, not longer.
+FILE_VEHICLES, FILE_FRAMES = 200, 20_000
+
+
 def ground_truth(spark, sf_dir):
     """Every entity as a vehicle with a plate, or one in five without; its sightings are its frames."""
     who, event = F.col("user_id"), F.col("event_id")
@@ -436,8 +440,8 @@ def a5_ground_truth_xml(spark, sf_dir):
     frames = rows.select("who", "plate", annotations.element("frame", {"number": F.when(odd, F.col("frame")), "id": F.when(~odd, F.col("frame"))}, inner).alias("xml"))
     who = F.col("who")
     facts = [F.when(F.col("plate").isNotNull(), F.concat(F.lit("<plate>"), F.col("plate"), F.lit("</plate>"))).otherwise(""), annotations.element("motorcycle", {}, (who % 4 == 0).cast("int").cast("string")), annotations.element("model", {}, F.concat(F.lit("A &amp; &quot;B&quot; &lt;"), who))]
-    one = frames.groupBy("who", "plate").agg(F.concat_ws("", F.collect_list("xml")).alias("xml")).select(F.lit("vehicles").alias("root"), (who % 8).alias("file"), annotations.element("vehicle", {"id": who, "discard": F.when(who % 7 == 0, "true")}, F.concat(*facts, F.col("xml"))).alias("value"))
-    other = rows.where("frame % 10 = 0").select(F.lit("GroundTruthRoot").alias("root"), (F.col("frame") % 80).alias("file"), annotations.element("vehicle", {"iframe": F.col("frame"), "placa": F.col("plate")}, annotations.element("region", box(x, y, w, F.lit(20), full))).alias("value"))
+    one = frames.groupBy("who", "plate").agg(F.concat_ws("", F.collect_list("xml")).alias("xml")).select(F.lit("vehicles").alias("root"), F.floor(who / FILE_VEHICLES).alias("file"), annotations.element("vehicle", {"id": who, "discard": F.when(who % 7 == 0, "true")}, F.concat(*facts, F.col("xml"))).alias("value"))
+    other = rows.where("frame % 10 = 0").select(F.lit("GroundTruthRoot").alias("root"), F.floor(F.col("frame") / FILE_FRAMES).alias("file"), annotations.element("vehicle", {"iframe": F.col("frame"), "placa": F.col("plate")}, annotations.element("region", box(x, y, w, F.lit(20), full))).alias("value"))
     folder = graph.shared_path(spark, "truth")
     document = F.concat(F.lit("<"), "root", F.lit(">\n"), F.concat_ws("\n", F.collect_list("value")), F.lit("\n</"), "root", F.lit(">"))
     files = one.unionByName(other).groupBy("root", "file").agg(document.alias("value"))
@@ -459,7 +463,7 @@ def a5_ground_truth_json(spark, sf_dir):
     who = F.col("who")
     items = rows.groupBy("who", "plate").agg(F.collect_list(seen).alias("frames"))
     item = F.struct(F.when(who % 2 == 0, who).alias("id"), F.when(who % 2 == 1, who).alias("vehicle_id"), F.col("plate"), (who % 4 == 0).alias("motorcycle"), (who % 7 == 0).alias("discard"), F.concat(F.lit('A & "B" <'), who).alias("model"), F.when(who % 3 == 0, "OTHER").when(who % 3 == 1, "CAM_EAST").alias("camera_id"), "frames")
-    some = items.groupBy((who % 8).alias("file")).agg(F.to_json(F.struct(F.collect_list(item).alias("vehicles"))).alias("value")).select("value")
+    some = items.groupBy(F.floor(who / FILE_VEHICLES).alias("file")).agg(F.to_json(F.struct(F.collect_list(item).alias("vehicles"))).alias("value")).select("value")
     folder = graph.shared_path(spark, "truth")
     some.write.option("maxRecordsPerFile", 1).text(folder)  # one document a file
     return sides_of(annotations.json_vehicles(spark, folder, "CAM")[0])

@@ -6,6 +6,8 @@ one region; here they become one form. Records that can't be read are kept apart
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import text
+from ..operators.graph import written
 
 # Names under which each fact is looked for, the first that isn't empty counts; "_" marks attributes of XML.
 XML_NAMES = {
@@ -113,14 +116,29 @@ def xml_vehicles(spark: SparkSession, path: str, camera: str) -> tuple[DataFrame
     return _vehicles(good, XML_NAMES, camera, F.when(F.size("frame") > 0, named).otherwise(single), flag), _unread(rows)
 
 
+@contextmanager
+def _streamed(spark: SparkSession) -> Iterator[None]:
+    """Numbers in fields of text are taken as they are parsed. Otherwise the reader fetches each of them from its file once
+    more, a block at a time, which is the square of what stands there."""
+    name = "spark.sql.json.enableExactStringParsing"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
 def json_vehicles(spark: SparkSession, path: str, camera: str) -> tuple[DataFrame, DataFrame]:
     """(vehicles, files that can't be read) of JSON files: a list of vehicles, or one under ``vehicles`` or ``annotations``.
 
     Vehicles of another camera are left out. One without an id has its place in its list for it; of a bare list,
-    whose rows have no places, the empty text."""
+    whose rows have no places, the empty text. The files are read once, into a table of the shared folder."""
     item = f"struct<{_JSON_ITEM.replace(' string', ':string').replace(' array', ':array').replace(', ', ',')}>"
     schema = f"{_JSON_ITEM}, vehicles array<{item}>, annotations array<{item}>, _corrupt string"
     rows = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    with _streamed(spark):
+        rows = written(rows, "annotations")
     good, names = rows.where("_corrupt is null"), StructType.fromDDL(_JSON_ITEM).names
     held = F.coalesce("vehicles", "annotations")
     inner = good.where(held.isNotNull()).select(F.posexplode(held).alias("at", "v")).select(F.col("at").cast("string").alias("at"), "v.*")

@@ -74,3 +74,14 @@ def test_verification_table(spark, tmp_path):
     got = files.verification(spark, path)
     assert got.columns == ["crop_id", "frame_number", "track_id", "timestamp", "raw_ocr", "normalized_ocr", "ocr_confidence", "plate_detector_confidence", "indian_format", "indian_validation_reason", "temporal_consistency", "human_ground_truth", "human_result"]
     assert [(r.frame_number, r.timestamp, r.raw_ocr, r.ocr_confidence, r.human_result or "") for r in got.collect()] == [(7, 1.235, 'say "TN", 01\nx', 0.988, "")] * 2
+
+
+def test_a_file_is_read_once(spark, tmp_path):
+    """Numbers in fields of text were fetched from the file one by one."""
+    frames = ", ".join(f'{{"frame": {k}, "bbox": [1, 2, 3, 4]}}' for k in range(20_000))
+    (tmp_path / "a.json").write_text(f'{{"vehicles": [{{"id": 7, "plate": "TN01AB1234", "frames": [{frames}]}}]}}')
+    read = lambda: sum(s.getBytesRead() for s in spark._jvm.org.apache.hadoop.fs.FileSystem.getAllStatistics())
+    before = read()
+    got = annotations.json_vehicles(spark, str(tmp_path), "CAM")[0].collect()
+    assert [(r.raw_id, r.observation_count, r.min_frame, r.max_frame) for r in got] == [("7", 20_000, 0, 19_999)]
+    assert read() - before < 20 * (tmp_path / "a.json").stat().st_size
