@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import CONFUSED
 from ..shipping import ship_package
-from .ordered import OrderedRows
+from .ordered import OrderedRows, dealt_by
 
 # Frames held, edits within a cluster, cost of a confused character, thresholds of the statuses.
 FRAMES = 20
@@ -216,7 +216,7 @@ def fused_table(found: DataFrame, every: bool = False) -> DataFrame:
     costs time but no memory."""
     ship_package(found.sparkSession)
     kind = found.schema["track_id"].dataType.simpleString()
-    dealt = found.repartition("track_id").sortWithinPartitions("track_id", "seq", "frame", "variant", "text")
+    dealt = dealt_by(found, "track_id").sortWithinPartitions("track_id", "seq", "frame", "variant", "text")
     return dealt.select("track_id", *_READING).mapInArrow(_followed(every), f"track_id {kind}, {ROW}")
 
 

@@ -23,8 +23,9 @@ from pyspark.sql.window import Window
 
 from ..functions import text
 from ..functions.match import OPPOSITE, MatchLimits
+from ..operators.graph import written
 from ..shipping import ship_package
-from .ordered import OrderedRows
+from .ordered import OrderedRows, dealt_by
 
 #: Columns of a leg, by ``legs_of``. ``near`` and ``metres``: the nodes with an edge to this one, and how far they are.
 LEG = "ts double, track string, node string, kind string, key string, sure boolean, vector array<double>, width double, height double, direction string, near array<string>, metres array<double>"
@@ -241,9 +242,9 @@ def joined_table(legs: DataFrame, rules: JourneyRules = JourneyRules(), until: f
     new = F.coalesce(F.col("ts") - F.lag("ts").over(w) > rules.timeout_s, F.lit(False))
     sessions = times.withColumn("new", new.cast("long")).withColumn("session", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("new")
     rows = legs.join(sessions, ["region", "ts"]).withColumn("until", F.lit(float(until)))
-    dealt = rows.repartition("region", "session").sortWithinPartitions("region", "session", "ts", "track")
+    dealt = dealt_by(rows, "region", "session").sortWithinPartitions("region", "session", "ts", "track")
     kind = legs.schema["region"].dataType.simpleString()
-    made = dealt.select("region", "session", "until", *_LEG).mapInArrow(_sessions(rules), f"region {kind}, session long, made long, {ROW}")
+    made = written(dealt.select("region", "session", "until", *_LEG).mapInArrow(_sessions(rules), f"region {kind}, session long, made long, {ROW}"), "journeys")  # read twice
     counts = made.groupBy("region", "session").agg(F.max("made").alias("n"))
     before = F.sum("n").over(Window.partitionBy("region").orderBy("session").rowsBetween(Window.unboundedPreceding, -1))
     first = counts.select("region", "session", F.coalesce(before, F.lit(0)).alias("before"))

@@ -19,8 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.graph import written
 from ..shipping import ship_package
-from .ordered import OrderedRows
+from .ordered import OrderedRows, dealt_by
 
 
 @dataclass(frozen=True)
@@ -332,9 +333,9 @@ def tracked_table(found: DataFrame, rules: TrackRules = TrackRules(), until: int
     new = F.coalesce(F.col("frame") - F.lag("frame").over(w) > rules.most_missed + 1, F.lit(False))
     sessions = frames.withColumn("new", new.cast("long")).withColumn("session", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("new")
     rows = found.join(sessions, ["camera", "frame"]).withColumn("until", F.lit(until).cast("long"))
-    dealt = rows.repartition("camera", "session").sortWithinPartitions("camera", "session", "frame", "order")
+    dealt = dealt_by(rows, "camera", "session").sortWithinPartitions("camera", "session", "frame", "order")
     kind = found.schema["camera"].dataType.simpleString()
-    made = dealt.mapInArrow(_sessions(rules), f"camera {kind}, session long, made long, {ROW}")
+    made = written(dealt.mapInArrow(_sessions(rules), f"camera {kind}, session long, made long, {ROW}"), "tracks")  # read twice
     # numbers of a camera's tracks go on from session to session
     counts = made.groupBy("camera", "session").agg(F.max("made").alias("n"))
     before = F.sum("n").over(Window.partitionBy("camera").orderBy("session").rowsBetween(Window.unboundedPreceding, -1))

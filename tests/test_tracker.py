@@ -148,3 +148,15 @@ def test_stream_equals_table(spark, tmp_path, cuts):
     last = found.agg(F.max(F.unix_millis("ts"))).first()[0]
     until = (last - 3_600_000) // 3_600_000 - 1
     assert rounded(map(tuple, got.select(*NAMES).collect())) == wanted(found, until, TRACKING) != []
+
+
+def test_cameras_are_dealt_over_all_tasks(spark):
+    """A few bytes were joined to one task, and each camera was tracked twice."""
+    from roadweave.streaming.ordered import dealt_by
+
+    rows = spark.range(64).withColumnRenamed("id", "camera")
+    assert dealt_by(rows, "camera").mapInArrow(lambda batches: batches, "camera long").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    box = "camera long, frame long, order long, kind string, confidence double, x1 double, y1 double, x2 double, y2 double"
+    found = spark.createDataFrame([(k, 1, 0, "car", 0.9, 0.0, 0.0, 50.0, 40.0) for k in range(64)], box).withColumn("ts", F.current_timestamp())
+    plan = tracker.tracked_table(found)._jdf.queryExecution().toString()
+    assert "MapInArrow" not in plan  # what was made is read from a table
