@@ -19,12 +19,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import refuse_clash
+from .common import broadcast_if_small, materialize, refuse_clash
 
 #: Hashed places, half for words and half for pairs.
 PLACES = 1 << 16
-#: At most so many trusted texts, those with the smallest hashes of their ids, so that the list of their ids can be broadcast.
-MAX_TRUSTED = 20_000
+#: Bytes of a trusted id in memory, by which the list of all of them is broadcast or shuffled.
+ID_BYTES = 64
 #: One of so many trusted texts isn't counted but sets the threshold.
 HELD_OUT = 4
 #: The low quantile of the held-out texts' scores, and how far under it the threshold lies.
@@ -75,17 +75,17 @@ def repeated_words(norm: Column, hashes: Column) -> Column:
     return F.when(none, F.lit(0)).otherwise(F.element_at(F.transform(F.array(sorted_), covered), 1)).cast("long")
 
 
-def chosen(trusted: DataFrame, id_col: str = "doc_id", max_trusted: int = MAX_TRUSTED, held_out: int = HELD_OUT) -> DataFrame:
-    """(__id, __held): the trusted ids that are used, and whether one only sets the threshold."""
+def chosen(trusted: DataFrame, id_col: str = "doc_id", held_out: int = HELD_OUT) -> DataFrame:
+    """(__id, __held): every trusted id, and whether one only sets the threshold."""
     order = F.xxhash64(F.col("__id").cast("string"))
-    ids = trusted.select(F.col(id_col).alias("__id")).where("__id is not null").distinct().orderBy(order, "__id").limit(max_trusted)
+    ids = trusted.select(F.col(id_col).alias("__id")).where("__id is not null").distinct()
     return ids.select("__id", (F.pmod(F.xxhash64(order), F.lit(held_out)) == 0).alias("__held"))
 
 
 def log_ratios(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", places: int = PLACES, smoothing: float = SMOOTHING) -> list[float]:
     """log(p_trusted / p_raw) of every place, 0 where the corpus has none or
     nothing is trusted. ``ids``: see ``chosen``."""
-    rows = docs.select(F.col(id_col).alias("__id"), normal(F.col(text_col).cast("string")).alias("norm")).join(F.broadcast(ids), "__id", "left")
+    rows = docs.select(F.col(id_col).alias("__id"), normal(F.col(text_col).cast("string")).alias("norm")).join(ids, "__id", "left")
     rows = _once(rows.select("__held", hashed(words_of(F.col("norm"))).alias("hashes")), hashes=F.col("hashes"))
     each = rows.select((~F.col("__held")).alias("good"), F.explode(_places(F.col("hashes"), places)).alias("place"))
     counts = each.groupBy("place").agg(F.count("*").alias("raw"), F.count_if("good").alias("good")).toArrow()  # ``places`` rows at most
@@ -118,13 +118,13 @@ def _facts(docs: DataFrame, weights: Column, text_col: str, places: int) -> Data
 def threshold(docs: DataFrame, ids: DataFrame, weights: Column, id_col: str = "doc_id", text_col: str = "text", places: int = PLACES, low: float = LOW, margin: float = MARGIN) -> float:
     """The least mean log ratio of a kept text: see the head of the module. Without
     held-out texts of enough words everything passes."""
-    held = docs.join(F.broadcast(ids.where("__held").select(F.col("__id").alias(id_col))), id_col, "left_semi")
+    held = docs.join(ids.where("__held").select(F.col("__id").alias(id_col)), id_col, "left_semi")
     scores = _facts(held, weights, text_col, places).where(F.col("n_words") >= LEAST_WORDS)
     found = scores.agg(F.percentile("mean_ratio", [low, 0.5]).alias("q")).first()["q"]
     return -math.inf if not found else round(found[0] - margin * (found[1] - found[0]), 6)
 
 
-def assess(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", out: str = "quality", least: float | None = None, places: int = PLACES, max_trusted: int = MAX_TRUSTED, held_out: int = HELD_OUT, smoothing: float = SMOOTHING) -> DataFrame:
+def assess(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", out: str = "quality", least: float | None = None, places: int = PLACES, held_out: int = HELD_OUT, smoothing: float = SMOOTHING) -> DataFrame:
     """All columns of ``docs`` and a struct ``out``: n_words, word_chars, n_symbols,
     n_dup_lines, n_repeat_words, base_failed, mean_ratio and kept. ``trusted`` holds
     the ids of trusted texts, ``least`` a threshold instead of the one derived.
@@ -136,7 +136,7 @@ def assess(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col
     empty table gives none.
     """
     refuse_clash(docs, out)
-    ids = chosen(trusted, id_col, max_trusted, held_out)
+    ids = broadcast_if_small(materialize(chosen(trusted, id_col, held_out), "trusted"), ID_BYTES)
     weights = F.from_json(F.lit(json.dumps(log_ratios(docs, ids, id_col, text_col, places, smoothing), separators=(",", ":"))), "array<double>")
     if least is None:
         least = threshold(docs, ids, weights, id_col, text_col, places)

@@ -171,3 +171,10 @@ def test_context_words_of_any_length(spark, length):
     rows += [(80 + k, f"x mail{k}@host.com{one} 90{k}-11{k}19 z") for k in range(5)]  # glued to the match before
     got = {r.id: [s for s in r.spans if s.kind == 4] for r in personal_data.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(len(got[20 + k]) == 1 and len(got[60 + k]) == 1 and not got[80 + k] for k in range(5))
+
+
+def test_every_trusted_text_takes_part(spark):
+    """No more than 20,000 of them did."""
+    ids = quality.chosen(spark.range(25_000).withColumnRenamed("id", "doc_id"))
+    counted, held = ids.where("not __held").count(), ids.where("__held").count()
+    assert counted + held == 25_000 and 5_000 < held < 7_500
