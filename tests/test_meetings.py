@@ -17,7 +17,7 @@ def made(spark, n=400):
     for i in range(n):
         vector = rnd.choice([None, [], [0.0, 0.0, 0.0], [1.0, None, 2.0], [rnd.uniform(-1, 1), 2.0], *[[rnd.uniform(-1, 1) for _ in range(3)] for _ in range(5)]])
         at = rnd.choice([None, 500, *[rnd.randint(-300, 900)] * 8])
-        rows.append((i, rnd.choice("abc"), at, None if at is None else at + rnd.randint(0, 3), rnd.choice(keys), rnd.choice(["car", "Car", "bus", None]), vector, rnd.uniform(0, 50), 9.0, "EAST"))
+        rows.append((i, rnd.choice("abc"), at, None if at is None else at + rnd.randint(0, 3), rnd.choice(keys), rnd.choice(["car", "Car", "bus", "Unknown", None]), vector, rnd.choice([None, rnd.uniform(0, 50)]), 9.0, rnd.choice([None, "EAST", "WEST", "NORTH", "UNKNOWN", "?"])))
     return spark.createDataFrame(rows, SCHEMA)
 
 
@@ -26,10 +26,11 @@ def test_following_is_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(meetings, "SHARE", 16)
     monkeypatch.setattr(meetings, "BLOCK", 4)
     legs = made(spark)
-    got = [tuple(r) for r in meetings.following(legs, 100).select("p_track_id", "q_track_id", "p_kind", "q_width", "appearance", "key_similarity").collect()]
+    got = [tuple(r) for r in meetings.following(legs, 100).select("p_track_id", "q_track_id", "appearance", "key_similarity", "geometry", "direction", "alike").collect()]
     p, q = legs.alias("p"), legs.alias("q")
     all_pairs = p.crossJoin(q).where("q.first_ts > p.last_ts and q.first_ts - p.last_ts <= 100")
-    wanted = [tuple(r) for r in all_pairs.select("p.track_id", "q.track_id", "p.kind", "q.width", match.cosine(F.col("p.vector"), F.col("q.vector")), text.key_similarity("p.key", "q.key")).collect()]
+    parts = [match.cosine(F.col("p.vector"), F.col("q.vector")), text.key_similarity("p.key", "q.key"), match.shape_similarity("p.width", "p.height", "p.kind", "q.width", "q.height", "q.kind"), match.direction_similarity("p.direction", "q.direction")]
+    wanted = [tuple(r) for r in all_pairs.select("p.track_id", "q.track_id", *parts, F.coalesce(F.lower("p.kind") == F.lower("q.kind"), F.lit(False))).collect()]
     order = lambda r: r[:2]
     assert sorted(got, key=order) == sorted(wanted, key=order) and len(got) > 5000
 
