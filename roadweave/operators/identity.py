@@ -14,6 +14,7 @@ from ..functions import match, text
 from ..functions.match import MatchLimits
 from ..shipping import ship_package
 from ..streaming import evidence
+from ..streaming.ordered import dealt_by
 from .meetings import broadcast_if_few, following
 from .windows import epoch
 
@@ -89,6 +90,11 @@ def distance_within_two(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([evidence.distance(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+def meeting(keys: DataFrame, folded: str) -> DataFrame:
+    """(folded, left_over): what is left of each folded text, once however many keys are folded to it."""
+    return dealt_by(keys.select(folded).distinct().select(folded, F.explode(F.transform(deletions(F.col(folded)), lambda t: F.xxhash64(t))).alias("left_over")), "left_over")
+
+
 def fuzzy_pairs(left: DataFrame, right: DataFrame, most: float = 2.0) -> DataFrame:
     """(l, r, distance) of keys within a confusion-weighted edit distance.
 
@@ -102,11 +108,10 @@ def fuzzy_pairs(left: DataFrame, right: DataFrame, most: float = 2.0) -> DataFra
 
     ship_package(left.sparkSession)
 
-    def met(df: DataFrame, side: str) -> DataFrame:
-        folded = text.folded("key")
-        return df.where("key is not null").select("key").distinct().select(F.col("key").alias(side), folded.alias(f"{side}_folded"), F.explode(F.transform(deletions(folded), lambda t: F.xxhash64(t))).alias("left_over"))
-
-    pairs = met(left, "l").join(met(right, "r"), "left_over").where(F.levenshtein("l_folded", "r_folded", 2) >= 0).select("l", "r").distinct()
+    known = lambda df, side: df.where("key is not null").select("key").distinct().select(F.col("key").alias(side), text.folded("key").alias(f"{side}_folded"))
+    a, b = known(left, "l"), known(right, "r")
+    near = meeting(a, "l_folded").join(meeting(b, "r_folded"), "left_over").where(F.levenshtein("l_folded", "r_folded", 2) >= 0).select("l_folded", "r_folded").distinct()
+    pairs = dealt_by(near.join(a, "l_folded").join(b, "r_folded").select("l", "r"), "l", "r")
     return pairs.withColumn("distance", distance_within_two("l", "r")).where(F.col("distance") <= most)
 
 

@@ -43,6 +43,15 @@ def test_keys_of_one_state_meet_few(spark):
     assert got >= len(keys)
 
 
+def test_variants_of_a_key_meet_once(spark):
+    """However many keys are folded to one text, it has one list entry for each of what is left of it."""
+    variants = ["TN00", "TNO0", "TN0O", "TNOO"]
+    folded = frame(spark, variants).select(F.translate("key", "O", "0").alias("folded"))
+    assert identity.meeting(folded, "folded").count() == identity.meeting(folded.limit(1), "folded").count() == 8  # itself, three without one character, four without two
+    got = identity.fuzzy_pairs(frame(spark, variants), frame(spark, variants)).collect()
+    assert {(r.l, r.r): r.distance for r in got} == all_pairs(variants, variants) and len(got) == 16
+
+
 def test_questions_by_tier(spark):
     """By id, by the journey's key, by a leg's key, by the nearest key, and not at all."""
     journeys = spark.createDataFrame([("JRN_101", "VEH_101", "TN09AB1111", 10), ("JRN_102", "VEH_102", "MH12CD2222", 30), ("JRN_103", "VEH_103", None, 50)], "journey_id string, entity_id string, key string, ord long")
