@@ -21,10 +21,11 @@ from .windows import epoch
 
 def interval_pairs(left: DataFrame, right: DataFrame, at: str, most: int, on: Column | None = None) -> DataFrame:
     """Pairs with left.at < right.at <= left.at + most. The range becomes an equi-join:
-    each left row goes to its own bucket of width ``most`` and the next one."""
-    own = F.floor(F.col(f"l.{at}") / most)
-    a = left.alias("l").withColumn("__bucket", F.explode(F.array(own, own + 1)))
-    b = right.alias("r").withColumn("__at", F.floor(F.col(f"r.{at}") / most))
+    each left row goes to its own bucket of width ``most`` and the next one. Buckets are dealt over all tasks, as a few
+    bytes of rows make many pairs; besides its result this takes three rows for each of the table on disk."""
+    own = lambda x: F.floor(F.col(x) / most)
+    a = dealt_by(left.withColumn("__bucket", F.explode(F.array(own(at), own(at) + 1))), "__bucket").alias("l")
+    b = dealt_by(right.withColumn("__at", own(at)), "__at").alias("r")
     near = (F.col("__bucket") == F.col("__at")) & (F.col(f"r.{at}") > F.col(f"l.{at}")) & (F.col(f"r.{at}") - F.col(f"l.{at}") <= most)
     return a.join(b, near if on is None else near & on).drop("__bucket", "__at")
 
