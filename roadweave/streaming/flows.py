@@ -15,6 +15,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.graph import shared_path
 
+#: Shares of keyed state; fixed, as a stream's state is dealt by it.
+SHARES = 2048
+
 
 def observations(spark: SparkSession, folder: str, name: str = "events") -> DataFrame:
     """A file stream of observations; event time becomes a timestamp, as watermarks need."""
@@ -61,34 +64,46 @@ def keyed(stream: DataFrame, keys: list[str], start: tuple, step: Callable, expi
     by a row of its own or by the watermark, ``ended(state)`` names the rows of that moment and
     the key starts anew, so results don't depend on how rows fall into batches. Rows later than the watermark are
     dropped; others that come after a later row of their key's earlier batch are taken as they come.
-    A row has the stream's columns and ``us``, its microseconds. Rows out begin with the keys."""
-    close = ended or (lambda now: [])
-    names = [field.split()[0] for field in out.replace("<", " ").split(", ")]
+    A row has the stream's columns and ``us``, its microseconds. Rows out begin with the keys.
 
-    def follow(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        now = tuple(held.get) if held.exists else start
-        if held.hasTimedOut:
-            made = close(now)
-            held.remove()
-        else:
-            made = []
+    Keys are dealt into ``SHARES`` shares, and a share's keys are one state, read and written together: a call for each key
+    costs far more than its rows do. Keys go through it as text, so that nulls don't turn others into floats."""
+    close = ended or (lambda now: [])
+    fields = out.split(", ")
+    names, kinds = [field.split()[0] for field in fields], dict(field.split(maxsplit=1) for field in fields[: len(keys)])
+    own = [f"__{k}" for k in keys]
+    texts = lambda columns, between: [f"{c}{between}string" for c in columns]
+    share = ",".join([*texts(own, ":"), *[field.replace(" ", ":", 1) for field in state.split(", ")]])
+
+    def follow(_: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        mark = held.getCurrentWatermarkMs()
+        states = {tuple(s[: len(keys)]): tuple(s[len(keys) :]) for s in held.get[0]} if held.exists else {}
+        made, seen = [], set()
+        if not held.hasTimedOut:
             rows = pd.concat(list(batches)).sort_values(["us", "event_id"])
-            for row in rows.itertuples(index=False):
+            for who, row in zip(zip(*[rows[k] for k in own], strict=True), rows.itertuples(index=False), strict=True):
+                now = states.get(who, start)
                 if now != start and row.us // 1_000_000 > expires(now):
-                    made += close(now)
+                    made += [(*who, *r) for r in close(now)]
                     now = start
-                now, new = step(now, row)
-                made += new
-            if now == start:
-                held.remove()
-            else:
-                held.update(now)
-                held.setTimeoutTimestamp(max((expires(now) + 1) * 1000, held.getCurrentWatermarkMs() + 1))
+                states[who], new = step(now, row)
+                made += [(*who, *r) for r in new]
+                seen.add(who)
+        for who in [who for who, now in states.items() if now == start or (who not in seen and (expires(now) + 1) * 1000 < mark)]:
+            now = states.pop(who)
+            if now != start:
+                made += [(*who, *r) for r in close(now)]
+        if states:
+            held.update(([(*who, *now) for who, now in states.items()],))
+            held.setTimeoutTimestamp(max((min(map(expires, states.values())) + 1) * 1000, mark + 1))
+        elif held.exists:
+            held.remove()
         if made:
-            yield pd.DataFrame([(*key, *row) for row in made], columns=names)
+            yield pd.DataFrame(made, columns=names)
 
-    timed = stream.withWatermark("ts", late).withColumn("us", F.unix_micros("ts"))
-    return timed.groupBy(*keys).applyInPandasWithState(follow, out, state, "append", GroupStateTimeout.EventTimeTimeout)
+    timed = stream.withWatermark("ts", late).withColumns({"us": F.unix_micros("ts"), **{c: F.col(k).cast("string") for c, k in zip(own, keys, strict=True)}, "__share": F.pmod(F.xxhash64(*keys), F.lit(SHARES))})
+    rows = timed.groupBy("__share").applyInPandasWithState(follow, ", ".join([*texts(keys, " "), *fields[len(keys) :]]), f"held array<struct<{share}>>", "append", GroupStateTimeout.EventTimeTimeout)
+    return rows.select(*[F.col(k).cast(kinds[k]).alias(k) for k in keys], *names[len(keys) :])
 
 
 def tracks(stream: DataFrame, lost_s: int = 43200, forget_s: int = 3 * 86400, late: str = "1 hour") -> DataFrame:
