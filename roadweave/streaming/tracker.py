@@ -13,7 +13,6 @@ import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -60,7 +59,7 @@ ROW = "frame long, track long, status string, kind string, x1 double, y1 double,
 class Track:
     number: int
     kind: str
-    box: np.ndarray
+    box: tuple[float, float, float, float]
     confidence: float
     seen: float
     age: int = 1
@@ -77,17 +76,17 @@ class Track:
 
     def held(self) -> tuple:
         """As a row of state, see ``TRACK``."""
-        return (self.number, self.kind, *map(float, self.box), self.confidence, self.seen, self.age, self.hits, self.missed, self.status, self.vx, self.vy, self.speed, self.direction, self.returns, self.quality, [(k, n) for k, n in self.votes.items()])
+        return (self.number, self.kind, *self.box, self.confidence, self.seen, self.age, self.hits, self.missed, self.status, self.vx, self.vy, self.speed, self.direction, self.returns, self.quality, [(k, n) for k, n in self.votes.items()])
 
     @classmethod
     def from_held(cls, row) -> Track:
         v = list(row)
         votes = {x[0]: x[1] for x in v[18]}
-        return cls(v[0], v[1], np.array(v[2:6], float), v[6], v[7], v[8], v[9], v[10], v[11], v[12], v[13], v[14], v[15], v[16], v[17], votes)
+        return cls(v[0], v[1], tuple(v[2:6]), v[6], v[7], v[8], v[9], v[10], v[11], v[12], v[13], v[14], v[15], v[16], v[17], votes)
 
     def said(self, frame: int) -> tuple:
         """As a row of the result, see ``ROW``."""
-        return (frame, self.number, self.status, self.kind, *map(float, self.box), self.hits, self.missed, self.age, self.speed, self.direction, self.returns, self.quality)
+        return (frame, self.number, self.status, self.kind, *self.box, self.hits, self.missed, self.age, self.speed, self.direction, self.returns, self.quality)
 
 
 @dataclass(frozen=True, slots=True)
@@ -100,13 +99,27 @@ class Box:
     box: tuple[float, float, float, float]
 
 
-def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Intersection over union of every box of ``a`` with every one of ``b``."""
-    wide = np.minimum(a[:, None, 2:], b[None, :, 2:]) - np.maximum(a[:, None, :2], b[None, :, :2])
-    both = np.clip(wide, 0, None).prod(axis=2)
-    area = lambda x: (x[:, 2] - x[:, 0]) * (x[:, 3] - x[:, 1])
-    union = area(a)[:, None] + area(b)[None, :] - both
-    return np.where(union > 0, both / np.where(union > 0, union, 1), 0.0)
+# A frame has a handful of boxes and tracks: plain numbers are many times faster there than arrays.
+def area(x: tuple) -> float:
+    return (x[2] - x[0]) * (x[3] - x[1])
+
+
+def overlap(a: tuple, b: tuple) -> float:
+    """Intersection over union of two boxes."""
+    wide, high = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
+    if wide <= 0 or high <= 0:
+        return 0.0
+    both = wide * high
+    union = area(a) + area(b) - both
+    return both / union if union > 0 else 0.0
+
+
+def length(x: float, y: float) -> float:
+    """The C library's hypot, as arrays have it; ``math.hypot`` rounds otherwise in the last place."""
+    try:
+        return abs(complex(x, y))
+    except OverflowError:
+        return math.inf
 
 
 def gated(boxes: Iterable[Box], rules: TrackRules) -> list[Box]:
@@ -117,28 +130,26 @@ def gated(boxes: Iterable[Box], rules: TrackRules) -> list[Box]:
         if w > 0 and h > 0 and w * h >= rules.least_area and max(w, h) / max(1.0, min(w, h)) <= rules.most_aspect:
             good.append(b)
     good.sort(key=lambda b: -b.confidence)
-    if len(good) < 2:
-        return good
-    same = overlaps(*[np.array([b.box for b in good])] * 2) >= rules.same_box
-    kept: list[int] = []
-    for i, b in enumerate(good):
-        if not any(same[i, k] and good[k].kind == b.kind for k in kept):
-            kept.append(i)
-    return [good[i] for i in kept]
-
-
-def scores(tracks: list[Track], boxes: list[Box], rules: TrackRules) -> np.ndarray:
-    """Five-factor score of every track and box: overlap, motion, size, kind, confidence."""
-    a, b = np.array([t.box for t in tracks]), np.array([x.box for x in boxes])
-    middle = lambda x: (x[:, :2] + x[:, 2:]) / 2.0
-    area = lambda x: np.maximum(1.0, (x[:, 2] - x[:, 0]) * (x[:, 3] - x[:, 1]))
-    away = middle(a)[:, None, :] - middle(b)[None, :, :]
-    reach = np.maximum(50.0, np.hypot(a[:, 2] - a[:, 0], a[:, 3] - a[:, 1]))[:, None]
-    near = np.maximum(0.0, 1.0 - np.hypot(away[..., 0], away[..., 1]) / reach)
-    size = np.minimum(area(a)[:, None], area(b)[None, :]) / np.maximum(area(a)[:, None], area(b)[None, :])
-    kind = np.where(np.array([t.kind for t in tracks])[:, None] == np.array([x.kind for x in boxes])[None, :], 1.0, 0.5)
-    sure = np.array([x.confidence for x in boxes])[None, :]
-    return rules.overlap * overlaps(a, b) + rules.motion * near + rules.size * size + rules.kind * kind + rules.confidence * sure
+    kept: list[Box] = []
+    for b in good:
+        if not any(k.kind == b.kind and overlap(b.box, k.box) >= rules.same_box for k in kept):
+            kept.append(b)
+    return kept
+
+
+def scores(tracks: list[Track], boxes: list[Box], rules: TrackRules) -> list[float]:
+    """Five-factor score of every track and box, box by box of each track: overlap, motion, size, kind, confidence."""
+    seen = [(x.box, (x.box[0] + x.box[2]) / 2.0, (x.box[1] + x.box[3]) / 2.0, max(1.0, area(x.box)), x.kind, x.confidence) for x in boxes]
+    out = []
+    for t in tracks:
+        a = t.box
+        x, y, own = (a[0] + a[2]) / 2.0, (a[1] + a[3]) / 2.0, max(1.0, area(a))
+        reach = max(50.0, length(a[2] - a[0], a[3] - a[1]))
+        for b, bx, by, other, kind, sure in seen:
+            near = max(0.0, 1.0 - length(x - bx, y - by) / reach)
+            size = min(own, other) / max(own, other)
+            out.append(rules.overlap * overlap(a, b) + rules.motion * near + rules.size * size + rules.kind * (1.0 if t.kind == kind else 0.5) + rules.confidence * sure)
+    return out
 
 
 def associated(tracks: list[Track], boxes: list[Box], rules: TrackRules) -> list[tuple[int, int]]:
@@ -146,12 +157,10 @@ def associated(tracks: list[Track], boxes: list[Box], rules: TrackRules) -> list
     if not tracks or not boxes:
         return []
     s = scores(tracks, boxes, rules)
-    order = np.argsort(-s, axis=None, kind="stable")
+    order = sorted((at for at, one in enumerate(s) if one >= rules.least_score), key=lambda at: -s[at])
     pairs, free_t, free_b = [], [True] * len(tracks), [True] * len(boxes)
-    for at in order.tolist():
+    for at in order:
         t, b = divmod(at, len(boxes))
-        if s[t, b] < rules.least_score:
-            break
         if free_t[t] and free_b[b]:
             free_t[t] = free_b[b] = False
             pairs.append((t, b))
@@ -170,20 +179,20 @@ def motion(dx: float, dy: float, seconds: float, rules: TrackRules) -> tuple[flo
     return round(vx, 2), round(vy, 2), round(speed, 2), way
 
 
-def predicted(t: Track, seconds: float, rules: TrackRules) -> np.ndarray:
+def predicted(t: Track, seconds: float, rules: TrackRules) -> tuple:
     """The box moved on at constant velocity, within the picture's upper and left border."""
     if seconds <= 0 or (t.vx == 0.0 and t.vy == 0.0):
         return t.box
     part = min(1.0, rules.most_speed / math.hypot(t.vx, t.vy)) * seconds
     x1, y1 = max(0.0, t.box[0] + t.vx * part), max(0.0, t.box[1] + t.vy * part)
-    return np.array([x1, y1, max(x1 + 1.0, t.box[2] + t.vx * part), max(y1 + 1.0, t.box[3] + t.vy * part)])
+    return x1, y1, max(x1 + 1.0, t.box[2] + t.vx * part), max(y1 + 1.0, t.box[3] + t.vy * part)
 
 
 def _hit(t: Track, b: Box, now: float, rules: TrackRules) -> None:
-    old, new = t.box, np.array(b.box, float)
-    shift = ((new[:2] + new[2:]) - (old[:2] + old[2:])) / 2.0
-    t.vx, t.vy, t.speed, t.direction = motion(float(shift[0]), float(shift[1]), max(0.001, now - t.seen), rules)
-    t.box = rules.smoothing * new + (1.0 - rules.smoothing) * old
+    old, new = t.box, b.box
+    dx, dy = (((new[i] + new[i + 2]) - (old[i] + old[i + 2])) / 2.0 for i in (0, 1))
+    t.vx, t.vy, t.speed, t.direction = motion(dx, dy, max(0.001, now - t.seen), rules)
+    t.box = tuple(rules.smoothing * n + (1.0 - rules.smoothing) * o for n, o in zip(new, old, strict=True))
     t.confidence, t.seen, t.age, t.hits, t.missed = b.confidence, now, t.age + 1, t.hits + 1, 0
     t.votes[b.kind] = t.votes.get(b.kind, 0) + 1
     t.kind = max(t.votes, key=t.votes.__getitem__)
@@ -204,15 +213,12 @@ def _missed(t: Track, now: float, rules: TrackRules) -> None:
 def _without_duplicates(tracks: list[Track], rules: TrackRules) -> None:
     """Of two tracks of one kind in one place, that with fewer hits is removed."""
     live = [t for t in tracks if t.status != "REMOVED"]
-    if len(live) < 2:
-        return
-    same = overlaps(*[np.array([t.box for t in live])] * 2) >= rules.duplicate
     for i, a in enumerate(live):
         for j in range(i + 1, len(live)):
             b = live[j]
             if a.status == "REMOVED":
                 break
-            if b.status != "REMOVED" and a.kind == b.kind and same[i, j]:
+            if b.status != "REMOVED" and a.kind == b.kind and overlap(a.box, b.box) >= rules.duplicate:
                 (b if a.hits >= b.hits else a).status = "REMOVED"
 
 
@@ -230,7 +236,7 @@ def take_frame(tracks: list[Track], number: int, boxes: Iterable[Box], now: floa
         _hit(tracks[left[t]], weak[b], now, rules)
     hit = {t for t, _ in first} | {left[t] for t, _ in second}
     taken = {b for _, b in first}
-    new = [Track(number + k, b.kind, np.array(b.box, float), b.confidence, now, quality=round(b.confidence, 3), votes={b.kind: 1}) for k, b in enumerate(b for i, b in enumerate(sure) if i not in taken)]
+    new = [Track(number + k, b.kind, tuple(map(float, b.box)), b.confidence, now, quality=round(b.confidence, 3), votes={b.kind: 1}) for k, b in enumerate(b for i, b in enumerate(sure) if i not in taken)]
     for k, t in enumerate(tracks):
         if k not in hit:
             _missed(t, now, rules)

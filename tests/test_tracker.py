@@ -160,3 +160,23 @@ def test_cameras_are_dealt_over_all_tasks(spark):
     found = spark.createDataFrame([(k, 1, 0, "car", 0.9, 0.0, 0.0, 50.0, 40.0) for k in range(64)], box).withColumn("ts", F.current_timestamp())
     plan = tracker.tracked_table(found)._jdf.queryExecution().toString()
     assert "MapInArrow" not in plan  # what was made is read from a table
+
+
+def test_waiting_rows_are_packed(spark, tmp_path):
+    """Every waiting row was a row of state, which took longer to read than to track; a camera has one for each batch."""
+    found = spark.createDataFrame([(c, f, k, "car", 0.9, 0.0, 0.0, 50.0, 40.0) for c in range(3) for f in range(40) for k in range(5)], "camera long, frame long, order long, kind string, confidence double, x1 double, y1 double, x2 double, y2 double").withColumn("ts", F.timestamp_seconds(F.col("frame") * 3600 + 1_700_000_000))
+    with flows.rocksdb(spark):
+        rows = tracker.tracked(streamed(spark, found, tmp_path / "in", [F.col("frame") < 20, F.col("frame") >= 20]), TRACKING)
+        q = rows.writeStream.outputMode("append").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).format("noop").start()
+        q.awaitTermination()
+    held = [op["numRowsTotal"] for p in q.recentProgress for op in p["stateOperators"]]
+    assert 0 < max(held) <= 3 * 10
+
+
+def test_packed_rows_are_whole():
+    import pyarrow as pa
+    from roadweave.streaming.ordered import packed, unpacked
+
+    rows = [(1, None, 2.5, [0.5, None]), (2**60 + 1, "é", None, []), (3, "", float("inf"), None)]
+    schema = pa.schema([("a", pa.int64()), ("b", pa.string()), ("c", pa.float64()), ("d", pa.list_(pa.float64()))])
+    assert unpacked(packed(pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema))) == rows
