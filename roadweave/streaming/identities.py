@@ -76,7 +76,7 @@ class Journey:
     direction: str
 
     def held(self) -> tuple:
-        return tuple(getattr(self, f.name) for f in fields(self))
+        return tuple(v.tolist() if isinstance(v := getattr(self, f.name), np.ndarray) else v for f in fields(self))
 
 
 def _half_up(x: float, digits: int) -> float:
@@ -154,6 +154,8 @@ class Region:
 
     def take(self, q: Leg) -> Iterator[tuple]:
         yield from self.complete(q.ts)
+        if q.vector is not None:
+            q.vector = np.asarray(q.vector, float)  # once, not for every open journey
         decision, score, gap = None, None, False
         own = next((j for j in self.open if q.track in j.tracks), None)
         if own is not None:

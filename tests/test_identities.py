@@ -158,3 +158,13 @@ def test_stream_equals_table(spark, tmp_path, cuts):
     until = (obs.agg(F.max(F.unix_millis("ts"))).first()[0] - 3_600_000) / 1000.0
     legs = legs_of_sightings(spark, SF, obs)
     assert rounded(map(tuple, got.select(*NAMES).collect())) == wanted(legs, until, JOURNEYS) != []
+
+
+def test_vectors_are_made_once(monkeypatch):
+    """A leg's and a journey's vector became arrays again for every comparison; state has them as lists."""
+    region = identities.Region(JOURNEYS)
+    leg = lambda track, t: identities.Leg(t, track, "a", "car", None, False, [1.0, 2.0], 2.0, 1.0, "UNKNOWN", [], [])
+    said = [*region.take(leg("one", 0.0)), *region.take(leg("two", 60.0))]
+    assert [r[0] for r in said] == [101, 101]
+    assert not isinstance(region.open[0].vector, list)
+    assert region.open[0].held()[7] == [1.0, 2.0]
