@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 import pandas as pd
@@ -19,15 +20,29 @@ from .meetings import broadcast_if_few, following
 from .windows import epoch
 
 
-def interval_pairs(left: DataFrame, right: DataFrame, at: str, most: int, on: Column | None = None) -> DataFrame:
+#: Left rows of ``interval_pairs`` that meet a right row at once.
+TOGETHER = 32
+
+
+def interval_pairs(left: DataFrame, right: DataFrame, at: str, most: int, on: Column | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Pairs with left.at < right.at <= left.at + most. The range becomes an equi-join:
     each left row goes to its own bucket of width ``most`` and the next one. Buckets are dealt over all tasks, as a few
-    bytes of rows make many pairs; besides its result this takes three rows for each of the table on disk."""
+    bytes of rows make many pairs; besides its result this takes three rows for each of the table on disk.
+
+    Left rows of a bucket that are alike in ``by`` and neighbours in time are gathered, up to ``TOGETHER``; these meet each right row as one
+    and are taken apart in place. So pairs come as runs of one right row and repeats of one list of left rows, which files hold in a
+    small part of the room. With ``by``, ``on`` is asked of all of them at once and looks at no other column of the left."""
     own = lambda x: F.floor(F.col(x) / most)
-    a = dealt_by(left.withColumn("__bucket", F.explode(F.array(own(at), own(at) + 1))), "__bucket").alias("l")
+    nth = F.row_number().over(Window.partitionBy("__bucket", *by).orderBy(at))
+    a = dealt_by(left.where(F.col(at).isNotNull()).withColumn("__bucket", F.explode(F.array(own(at), own(at) + 1))), "__bucket").withColumn("__nth", F.floor((nth - 1) / TOGETHER))
+    rows = F.collect_list(F.struct(*[c for c in left.columns if c not in by]))
+    a = a.groupBy("__bucket", *by, "__nth").agg(rows.alias("__rows"), F.min(at).alias("__low"), F.max(at).alias("__high")).alias("l")
     b = dealt_by(right.withColumn("__at", own(at)), "__at").alias("r")
-    near = (F.col("__bucket") == F.col("__at")) & (F.col(f"r.{at}") > F.col(f"l.{at}")) & (F.col(f"r.{at}") - F.col(f"l.{at}") <= most)
-    return a.join(b, near if on is None else near & on).drop("__bucket", "__at")
+    t = F.col(f"r.{at}")
+    near = (F.col("__bucket") == F.col("__at")) & (t > F.col("__low")) & (t - F.col("__high") <= most)
+    each = a.join(b, near & on if by and on is not None else near).lateralJoin(left.sparkSession.tvf.inline(F.col("__rows").outer()).alias("l"))
+    each = each.where((t > F.col(f"l.{at}")) & (t - F.col(f"l.{at}") <= most))
+    return (each if by or on is None else each.where(on)).select(*[F.col(f"l.{c}") for c in left.columns], "r.*").drop("__at")
 
 
 def distances(pairs: DataFrame, topology: DataFrame, fallback: Column | None = None, default_m: float = 500.0) -> DataFrame:
