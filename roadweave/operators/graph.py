@@ -144,6 +144,22 @@ def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
     return labels
 
 
+def chains(links: DataFrame) -> DataFrame:
+    """(node, component) as ``components`` has it, of (before, after) links that give each node one before it and one after it at most.
+
+    Each round doubles how far back a node looks, so a chain of n nodes takes log2(n) rounds, in whatever order its names are. Links in a
+    circle have no first node: an error."""
+    ups = written(links.select(F.col("after").alias("node"), F.col("before").alias("up")), "chains")
+    for _ in _rounds(64):
+        further = ups.select(F.col("node").alias("__node"), F.col("up").alias("__up"))
+        new = ups.join(further, ups["up"] == further["__node"], "left")
+        ups = written(new.select("node", F.coalesce("__up", "up").alias("up"), F.col("__up").isNotNull().alias("moved")), "chains")
+        if ups.where("moved").isEmpty():
+            break
+    whole = ups.groupBy("up").agg(F.least("up", F.min("node")).alias("component"))
+    return ups.join(whole, "up").select("node", "component").unionByName(whole.select(F.col("up").alias("node"), "component"))
+
+
 def upsert_edges(updates: DataFrame) -> DataFrame:
     """Multi-edges keyed by type and time (time 0 is one edge); the later write wins."""
     key = F.when(F.col("at") == 0, F.lit("0")).otherwise(F.concat_ws("@", "type", F.col("at").cast("string")))
